@@ -14,11 +14,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -27,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import blocks, table, texts
+from .merges import MergeReplay, WordTable, spread
 
 #: Characters whose words are replayed together, and the distinct words above which a worker starts anew.
 BLOCK = 30_000_000
@@ -39,175 +37,39 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-def greedy(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """One word alone: always the merge of lowest rank, leftmost first."""
-    parts = [word[i : i + 1] for i in range(len(word))]
-    while len(parts) > 1:
-        best = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], 1 << 60))
-        if parts[best] + parts[best + 1] not in ranks:
-            break
-        parts[best : best + 2] = [parts[best] + parts[best + 1]]
-    return [ranks[p] for p in parts]
-
-
-class MergeReplay:
-    """Replays the merges of a rank file over all words of a block, rank by rank.
-
-    A token's id is its rank, so the id that a pair merges into is also its place in the order.
-    """
-
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
-        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        pairs = sorted(
-            ((ranks[token[:i]] << 32) | ranks[token[i:]], rank)
-            for token, rank in ranks.items()
-            for i in range(1, len(token))
-            if token[:i] in ranks and token[i:] in ranks
-        )
-        self.codes = np.array([code for code, _ in pairs] or [-1], np.int64)
-        self.becomes = np.array([rank for _, rank in pairs] or [-1], np.int32)
-
-    def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """What each pair of ids merges into, or -1; ids below 0 merge with nothing."""
-        code = (left.astype(np.int64) << 32) | right
-        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        return np.where((left >= 0) & (right >= 0) & (self.codes[at] == code), self.becomes[at], -1)
-
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words, one after another, and how many each word has. No word is empty."""
-        length = np.array([len(w) for w in words], np.int64)
-        starts = np.cumsum(length + 1) - length  # a separator stands before each word and at the end
-        flat = np.frombuffer(b"\0" + b"\0".join(words) + b"\0", np.uint8)
-        ids = self.byte[flat]
-        ids[0] = ids[-1] = -1
-        ids[starts - 1] = -1
-        n = len(ids)
-        nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
-        pair_at = np.full(n, -1, np.int32)  # what the symbol at a place and its right neighbour merge into
-        for at in range(0, n - 1, 1 << 20):
-            end = min(at + (1 << 20), n - 1)
-            pair_at[at:end] = self.pair(ids[at:end], ids[at + 1 : end + 1])
-        index: dict[int, list[np.ndarray]] = {}  # the inverted index: merge -> places
-        heap: list[int] = []
-
-        def add(places: np.ndarray, ranks: np.ndarray) -> None:
-            order = np.argsort(ranks, kind="stable")
-            places, ranks = places[order], ranks[order]
-            cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
-            edges = [0, *cuts.tolist(), len(ranks)]
-            for rank, a, b in zip(ranks[edges[:-1]].tolist(), edges, edges[1:], strict=False):
-                if rank in index:
-                    index[rank].append(places[a:b])
-                else:
-                    index[rank] = [places[a:b]]
-                    heapq.heappush(heap, rank)
-
-        first = np.flatnonzero(pair_at >= 0)
-        if len(first):
-            add(first, pair_at[first])
-        late: list[np.ndarray] = []
-        while heap:
-            rank = heapq.heappop(heap)
-            found = index.pop(rank)
-            at = np.concatenate(found) if len(found) > 1 else found[0]
-            at = at[pair_at[at] == rank]
-            if not len(at):
-                continue
-            if len(found) > 1:
-                at = np.unique(at)
-            other = nxt[at]
-            if len(at) > 1 and (at[1:] == other[:-1]).any():  # as in "aaa": the leftmost goes first
-                keep, taken = [], -1
-                for k, (place, right) in enumerate(zip(at.tolist(), other.tolist(), strict=True)):
-                    if place != taken:
-                        keep.append(k)
-                        taken = right
-                at, other = at[keep], other[keep]
-            after = nxt[other]
-            ids[at] = rank
-            ids[other] = -2
-            pair_at[other] = -1
-            nxt[at] = after
-            prv[after] = at
-            touched = np.concatenate([prv[at], at])
-            if len(at) > 1:
-                touched = np.unique(touched)
-            new = self.pair(ids[touched], ids[nxt[touched]])
-            pair_at[touched] = new
-            touched, new = touched[new >= 0], new[new >= 0]
-            if len(new):
-                if (early := new < rank).any():
-                    late.append(touched[early])
-                add(touched, new)
-        alive = ids >= 0
-        counts = np.add.reduceat(alive, starts - 1, dtype=np.int64) if len(words) else length
-        tokens = ids[alive]
-        if late:  # a merge of an earlier rank turned up late: these words are done one by one
-            ends = np.cumsum(counts)
-            parts, done = [], 0
-            for k in np.unique(np.searchsorted(starts, np.concatenate(late), side="right") - 1).tolist():
-                own = np.array(greedy(words[k], self.ranks), np.int32)
-                parts += [tokens[done : ends[k] - counts[k]], own]
-                done = ends[k]
-                counts[k] = len(own)
-            tokens = np.concatenate([*parts, tokens[done:]])
-        return tokens, counts
+def merge_replay(ranks: dict[bytes, int]) -> MergeReplay:
+    """The replay of a rank file: a token's id is its rank, and a pair merges into what it spells."""
+    halves = ((ranks[token[:i]], ranks[token[i:]], rank) for token, rank in ranks.items() for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks)
+    return MergeReplay([ranks[bytes([b])] for b in range(256)], halves, np.arange(max(ranks.values()) + 1))
 
 
 class Codec:
     """Texts to ids and back, for one rank file and one split pattern; holds a worker's known words."""
 
     def __init__(self, path: str, pattern: str):
-        self.replay = MergeReplay(read_ranks(path))
+        self.ranks = read_ranks(path)
+        self.replay = merge_replay(self.ranks)
         self.split = regex.compile(pattern).findall
-        by_id = {rank: token for token, rank in self.replay.ranks.items()}
+        by_id = {rank: token for token, rank in self.ranks.items()}
         tokens = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
         self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.token_len = np.array([len(t) for t in tokens], np.int64)
         self.token_at = np.cumsum(self.token_len) - self.token_len
-        self.forget()
-
-    def forget(self) -> None:
-        self.index: defaultdict[str, int] = defaultdict()  # word -> its number, in order of appearance
-        self.index.default_factory = self.index.__len__
-        self.word_at, self.word_len, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-
-    def number(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The word numbers of all texts in a row, and how many each text has."""
-        number, out = self.index.__getitem__, []
-        for text in texts:
-            words = self.split(text)
-            out.append(np.fromiter(map(number, words), np.int32, len(words)))
-        return np.concatenate(out) if out else np.zeros(0, np.int32), np.array([len(x) for x in out], np.int64)
-
-    def learn(self) -> None:
-        """Encodes the words that have turned up since the last call, all together."""
-        have = len(self.word_len)
-        words = [w.encode("utf-8", "replace") for w in islice(self.index, have, None)]
-        if not words:
-            return
-        whole = np.array([self.replay.ranks.get(w, -1) for w in words], np.int32)  # the library looks whole words up first
-        tokens, counts = self.replay.encode([w for w, x in zip(words, whole.tolist(), strict=True) if x < 0])
-        length = np.ones(len(words), np.int64)
-        length[whole < 0] = counts
-        at = np.cumsum(length) - length
-        flat = np.empty(int(length.sum()), np.int32)
-        flat[at[whole >= 0]] = whole[whole >= 0]
-        flat[np.repeat(whole < 0, length)] = tokens
-        self.word_at = np.concatenate([self.word_at, at + len(self.pool)])
-        self.word_len = np.concatenate([self.word_len, length])
-        self.pool = np.concatenate([self.pool, flat])
+        self.table = WordTable()
 
     def ids(self, words: np.ndarray, per_text: np.ndarray) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        flat, counts = spread(self.pool, self.word_at[words], self.word_len[words])
+        table = self.table
+        flat, counts = spread(table.pool, table.word_at[words], table.word_len[words])
         cuts = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(per_text)])].tolist()
         flat = flat.astype("<u4")
         return [flat[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
 
+    def learn(self) -> None:
+        self.table.learn(self.replay, self.ranks)  # the library looks a whole word up before it merges
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        numbered = self.number(texts)
+        numbered = self.table.number(map(self.split, texts))
         self.learn()
         return self.ids(*numbered)
 
@@ -225,26 +87,19 @@ class Codec:
             for doc_ids, numbered in held:
                 yield doc_ids, self.ids(*numbered)
             held.clear()
-            if len(self.index) > KEPT_WORDS:
-                self.forget()
+            if len(self.table.index) > KEPT_WORDS:
+                self.table.forget()
 
         for frame in blocks(frames):
             texts = frame.text.tolist()
-            held.append((frame.doc_id.to_numpy(), self.number(texts)))
+            held.append((frame.doc_id.to_numpy(), self.table.number(map(self.split, texts))))
             chars += sum(map(len, texts))
-            if chars > BLOCK or len(self.index) > 2 * KEPT_WORDS:
+            if chars > BLOCK or len(self.table.index) > 2 * KEPT_WORDS:
                 yield from flush()
                 chars = 0
         yield from flush()
 
 
-def spread(pool: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """pool[a : a + n] for each a and n, in a row; and the lengths."""
-    ends = np.cumsum(length)
-    total = int(ends[-1]) if len(ends) else 0
-    return pool[np.repeat(at - (ends - length), length) + np.arange(total)], length
-
-
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
     """One for each Python worker, which keeps it from task to task."""

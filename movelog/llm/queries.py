@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import op03_bpe
+from . import op01_warc, op03_bpe, op06_token_counts, op07_url_filter
 
-_MODULES = (op03_bpe,)
+_MODULES = (op01_warc, op03_bpe, op06_token_counts, op07_url_filter)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
