@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import op01_warc, op02_near_dedup, op03_bpe, op05_avi, op06_token_counts, op07_url_filter
+from . import op01_warc, op02_near_dedup, op03_bpe, op05_avi, op06_token_counts, op07_url_filter, op10_edit_fingerprint
 
-_MODULES = (op01_warc, op02_near_dedup, op03_bpe, op05_avi, op06_token_counts, op07_url_filter)
+_MODULES = (op01_warc, op02_near_dedup, op03_bpe, op05_avi, op06_token_counts, op07_url_filter, op10_edit_fingerprint)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
