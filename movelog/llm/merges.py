@@ -24,9 +24,11 @@ class MergeReplay:
     def __init__(self, byte: list[int], merges: Iterable[tuple[int, int, int]], result: np.ndarray, last: list[int] | None = None):
         self.byte, self.last = np.array(byte, np.int32), np.array(last or byte, np.int32)
         self.result = result.astype(np.int32)
-        pairs = sorted(((left << 32) | right, rank) for left, right, rank in merges)
-        self.codes = np.array([code for code, _ in pairs] or [-1], np.int64)
-        self.becomes = np.array([rank for _, rank in pairs] or [-1], np.int32)
+        pairs = np.fromiter((((left << 32) | right, rank) for left, right, rank in merges), [("code", "<i8"), ("rank", "<i4")])
+        if not len(pairs):
+            pairs = np.array([(-1, -1)], pairs.dtype)
+        pairs.sort(order="code")
+        self.codes, self.becomes = pairs["code"].copy(), pairs["rank"].copy()
 
     def greedy(self, word: bytes) -> list[int]:
         """One word alone: always the merge of lowest rank, leftmost first."""

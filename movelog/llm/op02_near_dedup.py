@@ -1,10 +1,10 @@
 """MinHash near-deduplication with odd sketches.
 
 1. One pass over the texts gives each document its number of distinct shingles, a key of its whole
-   set, band keys of its MinHash samples, and an odd sketch: the samples folded into a parity
-   bitmap. Equal sets collapse to the smallest doc_id before anything else is compared.
+   set, band keys of MinHash samples, and an odd sketch: samples folded into a parity bitmap. Equal sets collapse to the smallest doc_id before anything else is compared.
 2. Within a band bucket all members are held against the bucket's smallest id, a star instead of
-   all pairs. The population count of two sketches' XOR estimates their similarity; pairs that can
+   all pairs; then, TURNS times, the members outside the bucket's largest component against one of
+   its members, another in each bucket and turn. The population count of two sketches' XOR estimates their similarity; pairs that can
    reach the threshold are confirmed on their full shingle sets.
 3. Buckets that still hold several components after that are searched completely: members outside
    the bucket's main component are held against all others of another component, in blocks of
@@ -12,8 +12,9 @@
    out. These are confirmed on full sets too.
 4. Confirmed links are joined into components.
 
-With 30 bands of 5 samples a pair at similarity 0.8 shares no bucket in 7 of a million cases; the
-sketch test lies over four standard deviations below the threshold.
+With 30 bands of 5 samples a pair at similarity 0.8 shares no bucket in 7 of a million cases. The
+sketch is made of up to 4096 one-permutation samples, more than the bands need, so that its test can
+lie close below the threshold, and yet four standard deviations.
 
 Defined results: null or empty texts have no shingles and are linked with nothing; rows that repeat
 a doc_id count as one document in links and give one row each; a null doc_id is linked with nothing,
@@ -37,10 +38,14 @@ from .shingles import mix, shingle_sets
 
 BANDS, ROWS = 30, 5
 SAMPLES = BANDS * ROWS
-SKETCH_BITS = 1024
+BIN_BITS = 12
+SKETCH_BITS = 4096
 SKETCH_WORDS = SKETCH_BITS // 64
+SLACK = 0.04
 #: Ids up to this many are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Rounds of stars after the first, before what is still apart is searched completely.
+TURNS = 1
 #: Members and probes of one bucket that meet in one block.
 BLOCK_ROWS = 256
 
@@ -69,37 +74,36 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return key.T.view(np.int64)
 
 
-def odd_sketches(samples: np.ndarray) -> np.ndarray:
-    """len(sets) x SKETCH_WORDS: bit p is the parity of how many samples fall on p."""
-    k, n = samples.shape
-    place = mix(samples.astype(np.uint64) + (np.arange(1, k + 1, dtype=np.uint64) << np.uint64(32))[:, None]) % np.uint64(SKETCH_BITS)
-    flat = place.astype(np.int64) + np.arange(n) * SKETCH_BITS
-    parity = (np.bincount(flat.ravel(), minlength=n * SKETCH_BITS) & 1).astype(np.uint8)
-    return np.packbits(parity.reshape(n, SKETCH_BITS), axis=1, bitorder="little").view("<i8")
+def odd_sketch(shingles: np.ndarray) -> tuple[np.ndarray, int]:
+    """The parity bitmap of a set's one-permutation samples, and how many samples it has.
 
-
-def most_different_bits(similarity: float) -> int:
-    """The expected population count of the XOR of two odd sketches of this similarity."""
-    return int(SKETCH_BITS * (1 - (1 - 2 / SKETCH_BITS) ** (2 * SAMPLES * (1 - similarity))) / 2)
+    The hashes are sorted, so the first one with each value of the top bits is that bin's minimum.
+    Bit p is the parity of how many samples fall on p.
+    """
+    top = shingles >> np.uint64(64 - BIN_BITS)
+    samples = shingles[np.concatenate([[True], top[1:] != top[:-1]])]
+    parity = (np.bincount((mix(samples) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
+    return np.packbits(parity, bitorder="little").view("<i8"), len(samples)
 
 
 def features(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set_key, bands, sketch; the last three are null without shingles."""
+    """doc_id, n_shingles, set_key, bands, sketch, bins; all but the first two are null without shingles."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in blocks(frames):
             sets = shingle_sets(frame.text.tolist(), width)
             full = [k for k, s in enumerate(sets) if len(s)]
-            out = pd.DataFrame({"doc_id": frame.doc_id.array, "n_shingles": [len(s) for s in sets], "set_key": None, "bands": None, "sketch": None})
+            out = pd.DataFrame({"doc_id": frame.doc_id.array, "n_shingles": [len(s) for s in sets], "set_key": None, "bands": None, "sketch": None, "bins": None})
             if full:
                 samples = min_hashes([sets[k] for k in full])
-                keys = [None] * len(sets), [None] * len(sets), [None] * len(sets)
-                for k, band, sketch in zip(full, band_keys(samples), odd_sketches(samples), strict=True):
-                    keys[0][k], keys[1][k], keys[2][k] = hashlib.blake2b(sets[k].tobytes(), digest_size=16).digest(), band, sketch
-                out["set_key"], out["bands"], out["sketch"] = keys
+                rows: list[tuple] = [(None, None, None, None)] * len(sets)
+                for k, band in zip(full, band_keys(samples), strict=True):
+                    rows[k] = (hashlib.blake2b(sets[k].tobytes(), digest_size=16).digest(), band, *odd_sketch(sets[k]))
+                for name, values in zip(("set_key", "bands", "sketch", "bins"), zip(*rows, strict=True), strict=True):
+                    out[name] = pd.Series(values, dtype="Int32" if name == "bins" else object)
             yield out
 
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>")
+    return docs.mapInPandas(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>, bins int")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -114,8 +118,18 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return wanted.mapInPandas(run, "node long, shingles array<long>")
 
 
-def different_bits(a: str, b: str) -> Column:
-    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in range(SKETCH_WORDS)])
+def similar(a: str, b: str, least: float) -> Column:
+    """Do two sketches allow the similarity.
+
+    The XOR's population count estimates how many samples differ, so how many are equal. Sets of the
+    least similarity have a union of (n + m) / (1 + least), which fills so many bins, of whose
+    samples that share is equal. SLACK is over four standard deviations.
+    """
+    bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}s{k}").bitwiseXOR(F.col(f"{b}s{k}"))) for k in range(SKETCH_WORDS)])
+    differ = F.log(F.greatest(1 - 2 * bits / SKETCH_BITS, F.lit(1e-9))) * (-SKETCH_BITS / 2)
+    bins = 1 << BIN_BITS
+    filled = (1 - F.exp((F.col(f"{a}n") + F.col(f"{b}n")) * (-1 / ((1 + least) * bins)))) * bins
+    return F.col(f"{a}bins") + F.col(f"{b}bins") - differ >= 2 * (least - SLACK) * filled - 2
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
@@ -130,13 +144,12 @@ def confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int, name:
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document."""
     docs = texts(df, id_col, text_col)
-    worst = most_different_bits(percent / 100 - 0.15)
     all_rows = materialise(features(docs, width), "near-features")
     known = all_rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     # Equal sets meet in partial sums before the shuffle, however many copies there are.
-    grouped = known.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    grouped = known.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("bins").alias("bins"))
     reps = materialise(grouped, "near-reps")
-    sketches = reps.select("node", "n", *[F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH_WORDS)])
+    sketches = reps.select("node", "n", "bins", *[F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH_WORDS)])
     banded = reps.select("node", F.explode("bands").alias("band"))
     leaders = banded.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = materialise(banded.join(leaders, "band").select("band", "node", "leader"), "near-shared")
@@ -146,27 +159,42 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
 
     def likely(left: str, right: str) -> Column:
         sizes = F.least(F.col(f"{left}n"), F.col(f"{right}n")) * 100 >= F.greatest(F.col(f"{left}n"), F.col(f"{right}n")) * percent
-        return sizes & (different_bits(f"{left}s", f"{right}s") <= worst)
-
-    stars = shared.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    star_pairs = materialise(stars.join(side("b"), "b").join(side("a"), "a").where(likely("a", "b")).select("a", "b"), "near-stars")
-    links = confirmed(docs, star_pairs, width, percent, "near-star")
-    first = components(links, "near-first")
-
-    placed = shared.join(first, "node", "left").select("band", "node", F.coalesce("component", "node").alias("part"))
-    sizes = placed.groupBy("band", "part").agg(F.count(F.lit(1)).alias("size"))
-    open_bands = sizes.groupBy("band").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.sum("size").alias("total"), F.max("size").alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        return sizes & similar(left, right, percent / 100)
+
+    def open_rows(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The members of buckets with their component, and the buckets that hold several of them."""
+        placed = shared.join(parts, "node", "left").select("band", "node", F.coalesce("component", "node").alias("part"))
+        sizes = placed.groupBy("band", "part").agg(F.count(F.lit(1)).alias("size"))
+        grouped = sizes.groupBy("band").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.sum("size").alias("total"), F.max("size").alias("largest"), F.count(F.lit(1)).alias("parts"))
+        return placed, grouped.where("parts > 1")
+
+    def linked_by(stars: DataFrame, name: str) -> DataFrame:
+        pairs = stars.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+        likely_pairs = materialise(pairs.join(side("b"), "b").join(side("a"), "a").where(likely("a", "b")).select("a", "b"), f"{name}-stars")
+        return confirmed(docs, likely_pairs, width, percent, name)
+
+    links = linked_by(shared.where("node != leader"), "near-1")
+    for turn in range(2, 2 + TURNS):
+        parts = components(links, f"near-parts-{turn}")
+        placed, open_bands = open_rows(parts)
+        rows = placed.join(open_bands.select("band", "main"), "band")
+        first = F.struct(F.xxhash64("node", "band", F.lit(turn)), "node")
+        heads = rows.where("part = main").groupBy("band").agg(F.min(first)["node"].alias("leader"))
+        links = materialise(links.union(linked_by(rows.where("part != main").join(heads, "band"), f"near-{turn}")).distinct(), f"near-links-{turn}")
+    placed, open_bands = open_rows(components(links, "near-parts"))
     blocks_of = lambda count: F.ceil(count / BLOCK_ROWS).cast("int")
     rest = placed.join(open_bands.select("band", "main", blocks_of(F.col("total")).alias("m_blocks"), blocks_of(F.col("total") - F.col("largest")).alias("p_blocks")), "band")
-    rest = materialise(rest.join(sketches, "node"), "near-rest")
+    rest = materialise(rest.join(sketches.join(reps.select("node", "bands"), "node"), "node"), "near-rest")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
-    keep = [c for c in sketches.columns if c != "node"]
+    keep = [*(c for c in sketches.columns if c != "node"), "bands"]
     members = rest.select("band", "node", "part", *keep, own("m_blocks", 1).alias("i"), every("p_blocks").alias("j"))
     probes = rest.where("part != main").select("band", "node", "part", *keep, every("m_blocks").alias("i"), own("p_blocks", 2).alias("j"))
     m = members.select("band", "i", "j", F.col("node").alias("a"), F.col("part").alias("apart"), *[F.col(c).alias(f"a{c}") for c in keep])
     p = probes.select("band", "i", "j", F.col("node").alias("b"), F.col("part").alias("bpart"), *[F.col(c).alias(f"b{c}") for c in keep])
     met = (m.band == p.band) & (m.i == p.i) & (m.j == p.j) & (F.col("apart") != F.col("bpart")) & likely("a", "b")
+    # Only in the first bucket that two members share do they come out as a pair.
+    met &= F.array_position(F.zip_with("abands", "bbands", lambda x, y: x == y), True) == F.array_position("abands", m.band)
     rest_pairs = materialise(m.join(p, met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-rest-pairs")
     more = confirmed(docs, rest_pairs, width, percent, "near-rest")
     linked = components(links.union(more), "near-all")

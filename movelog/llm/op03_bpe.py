@@ -26,9 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import blocks, table, texts
 from .merges import MergeReplay, WordTable, spread
 
-#: Characters whose words are replayed together, and the distinct words above which a worker starts anew.
-BLOCK = 30_000_000
-KEPT_WORDS = 500_000
+#: Characters whose words are replayed together; a worker starts anew above one distinct word for each 50.
+BLOCK = 12_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -77,7 +76,7 @@ class Codec:
         which = np.frombuffer(ids, "<u4")
         return spread(self.token_bytes, self.token_at[which], self.token_len[which])[0].tobytes()
 
-    def encoded(self, frames: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    def encoded(self, frames: Iterator[pd.DataFrame], block: int = BLOCK) -> Iterator[tuple[np.ndarray, list[bytes]]]:
         """doc_ids and ids, block by block; a block's words are replayed together."""
         held: list[tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]] = []
         chars = 0
@@ -87,17 +86,18 @@ class Codec:
             for doc_ids, numbered in held:
                 yield doc_ids, self.ids(*numbered)
             held.clear()
-            if len(self.table.index) > KEPT_WORDS:
+            if len(self.table.index) > block // 50:
                 self.table.forget()
 
         for frame in blocks(frames):
             texts = frame.text.tolist()
             held.append((frame.doc_id.to_numpy(), self.table.number(map(self.split, texts))))
             chars += sum(map(len, texts))
-            if chars > BLOCK or len(self.table.index) > 2 * KEPT_WORDS:
+            if chars > block or len(self.table.index) > block // 25:
                 yield from flush()
                 chars = 0
         yield from flush()
+        self.table.forget()  # an idle worker keeps nothing but the ranks
 
 
 @lru_cache(maxsize=2)
@@ -128,12 +128,12 @@ def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
     return df.select("doc_id", "ids").mapInPandas(run, "doc_id long, ids binary, decoded binary")
 
 
-def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes, then decodes the ids, in one pass."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = codec(path, pattern)
-        for doc_ids, ids in bpe.encoded(frames):
+        for doc_ids, ids in bpe.encoded(frames, block):
             yield pd.DataFrame(
                 {
                     "doc_id": doc_ids,

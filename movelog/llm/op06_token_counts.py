@@ -109,6 +109,7 @@ class WordCounter:
                 yield from flush()
                 chars = 0
         yield from flush()
+        self.table.forget()  # an idle worker keeps nothing but the vocabulary
 
 
 @lru_cache(maxsize=2)
