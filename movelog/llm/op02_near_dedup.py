@@ -41,7 +41,7 @@ SAMPLES = BANDS * ROWS
 BIN_BITS = 12
 SKETCH_BITS = 4096
 SKETCH_WORDS = SKETCH_BITS // 64
-SLACK = 0.04
+SLACK = 0.036
 #: Ids up to this many are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Rounds of stars after the first, before what is still apart is searched completely.
@@ -123,7 +123,7 @@ def similar(a: str, b: str, least: float) -> Column:
 
     The XOR's population count estimates how many samples differ, so how many are equal. Sets of the
     least similarity have a union of (n + m) / (1 + least), which fills so many bins, of whose
-    samples that share is equal. SLACK is over four standard deviations.
+    samples that share is equal. SLACK is four standard deviations; 2 more is what one bin that two members share costs a small set.
     """
     bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}s{k}").bitwiseXOR(F.col(f"{b}s{k}"))) for k in range(SKETCH_WORDS)])
     differ = F.log(F.greatest(1 - 2 * bits / SKETCH_BITS, F.lit(1e-9))) * (-SKETCH_BITS / 2)
