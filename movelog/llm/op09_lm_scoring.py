@@ -1,14 +1,18 @@
 """LM scoring by masked pseudo-likelihood.
 
 A window network predicts every word from the words on both sides; a document's score is the sum of
-the conditional log-probabilities of its words. Words are classes: the most frequent words of the
-corpus have one each, all others share hashed classes by their ending, and one class stands outside
-the text.
+the conditional log-probabilities of its words, P(class | classes around) * P(word | class). The most
+frequent words of the corpus are classes of their own, all others share hashed classes by their
+ending, and one class stands outside the text. Within a class a word has its share of the class's
+counts. The cube of the number of classes grows in proportion to the counted vocabulary.
 
 Everything the network can learn from a corpus is how often each (left, word, right) occurs. So
-tasks count words and then windows over all documents, Spark adds the counts, and at most CLASSES
-cubed sums reach the driver, where numpy trains the network on all of them, weighted by their
-counts. Its predictions for all contexts are one table of bounded size, by which tasks score texts.
+tasks count words and then windows over all documents, and Spark adds the counts, which stay a
+table. In each round of training tasks compute gradients of their left classes' windows, weighted by
+counts; only sums as large as the parameters reach the driver, which takes the step.
+
+The counts of the COMMON most frequent words are sent to the tasks that score; every other word
+of a document is joined with the table of all word counts.
 
 Defined results: a null or empty text has 0 words, the score 0 and a null mean; repeated rows give
 one row each, and count as often; an empty table gives no rows; extra columns are ignored.
@@ -19,19 +23,29 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, table, texts
+from .common import blocks, materialise, table, texts
 
+#: The least numbers of classes; `class_sizes` has more for larger vocabularies.
 TOP, ENDINGS = 95, 32
 CLASSES = 1 + TOP + ENDINGS
 HIDDEN, ROUNDS = 24, 100
+#: Rounds and step of the training in tasks, where each round is a job.
+TASK_ROUNDS, TASK_STEP = 40, 0.06
 KEPT_WORDS = 200_000
+#: Words whose counts are sent to the tasks that score; all others are joined.
+COMMON = 100_000
+#: Windows that a task adds up at one time.
+KEPT_WINDOWS = 4_000_000
+#: Tasks of a round of training, at most.
+TRAINERS = 24
 _WORDS = re.compile(r"\w+|[^\w\s]").findall
 
 
@@ -52,123 +66,205 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def class_sizes(vocabulary: int) -> tuple[int, int]:
+    """Words with classes of their own and classes by ending: the cube of all classes is 8 x the vocabulary."""
+    classes = max(CLASSES, round(2 * vocabulary ** (1 / 3)))
+    return classes - 1 - classes // 4, classes // 4
+
+
 class Classes(dict):
     """word -> class; new words are classed as they turn up."""
 
-    def __init__(self, top: list[str]):
+    def __init__(self, top: list[str], endings: int = ENDINGS):
         super().__init__()
         self.top = {w: k for k, w in enumerate(top, 1)}
+        self.own, self.endings = len(top), endings
+        self.size = 1 + len(top) + endings
 
     def __missing__(self, word: str) -> int:
-        found = self.top.get(word) or 1 + TOP + zlib.crc32(word[-3:].encode("utf-8", "replace")) % ENDINGS
+        found = self.top.get(word) or 1 + self.own + zlib.crc32(word[-3:].encode("utf-8", "replace")) % self.endings
         if len(self) < KEPT_WORDS:
             self[word] = found
         return found
 
-    def windows(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The code of every (left, word, right) of all texts in a row, and how many each text has."""
-        rows, counts = [np.zeros(1, np.int64)], []
-        for text in batch:
-            words = _WORDS(text.lower())
-            counts.append(len(words))
+    def windows(self, batch: list[list[str]]) -> np.ndarray:
+        """The code of every (left, word, right) of all texts' words in a row."""
+        rows = [np.zeros(1, np.int64)]
+        for words in batch:
             rows += [np.fromiter(map(self.__getitem__, words), np.int64, len(words)), np.zeros(1, np.int64)]
         flat = np.concatenate(rows)
         # A text's words stand between two zeros; the zeros themselves are not predicted.
         inner = np.ones(len(flat), bool)
-        inner[np.cumsum([0] + [n + 1 for n in counts])] = False
+        inner[np.cumsum([0] + [len(words) + 1 for words in batch])] = False
         at = np.flatnonzero(inner)
-        return (flat[at - 1] * CLASSES + flat[at]) * CLASSES + flat[at + 1], np.array(counts, np.int64)
+        return (flat[at - 1] * self.size + flat[at]) * self.size + flat[at + 1]
+
 
+def words_of(batch: list[str]) -> list[list[str]]:
+    return [_WORDS(text.lower()) for text in batch]
 
-def window_counts(docs: DataFrame, top: list[str]) -> DataFrame:
+
+def window_counts(docs: DataFrame, top: list[str], endings: int = ENDINGS) -> DataFrame:
     """left, counts: for each left class how often each (word, right) follows it, as bytes of int64.
 
-    A task adds up its own windows before the shuffle; then the sums of one left class, CLASSES
-    squared at most, become one row.
+    A task adds up its own windows before the shuffle, KEPT_WINDOWS at a time; then the sums of one
+    left class, the number of classes squared at most, become one row.
     """
+    size = Classes(top, endings).size
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classes, total = Classes(top), np.zeros(CLASSES**3, np.int64)
+        classes, held, n = Classes(top, endings), [], 0
+
+        def sums() -> Iterator[pd.DataFrame]:
+            codes, counts = np.unique(np.concatenate(held), return_counts=True)
+            for at in range(0, len(codes), 200_000):
+                yield pd.DataFrame({"code": codes[at : at + 200_000], "n": counts[at : at + 200_000]})
+
         for frame in blocks(frames):
-            total += np.bincount(classes.windows(frame.text.tolist())[0], minlength=CLASSES**3)
-        seen = np.flatnonzero(total)
-        for at in range(0, len(seen), 200_000):
-            part = seen[at : at + 200_000]
-            yield pd.DataFrame({"code": part, "n": total[part]})
+            held.append(classes.windows(words_of(frame.text.tolist())))
+            n += len(held[-1])
+            if n > KEPT_WINDOWS:
+                yield from sums()
+                held, n = [], 0
+        if n:
+            yield from sums()
 
     def dense(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        counts = np.zeros(CLASSES**2, np.int64)
-        counts[rows["code"].to_numpy() % CLASSES**2] = rows["n"].to_numpy()
+        counts = np.zeros(size**2, np.int64)
+        counts[rows["code"].to_numpy() % size**2] = rows["n"].to_numpy()
         return pd.DataFrame({"left": [key[0]], "counts": [counts.tobytes()]})
 
     sums = docs.select("text").mapInPandas(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    by_left = sums.groupBy(F.floor(F.col("code") / CLASSES**2).cast("int").alias("left"))
+    by_left = sums.groupBy(F.floor(F.col("code") / F.lit(size**2)).cast("int").alias("left"))
     return by_left.applyInPandas(dense, "left int, counts binary")
 
 
-def train(seen: np.ndarray, rounds: int = ROUNDS, seed: int = 11) -> np.ndarray:
-    """Log-probabilities by window code, of the network fitted to all windows with Adam.
+def forward(p: dict[str, np.ndarray], left: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the contexts of one left class: hidden values, log-probabilities and the logarithms of their sums."""
+    hidden = np.tanh(p["left"][left] + p["right"])
+    logits = hidden @ p["out"] + p["bias"]
+    most = logits.max(1, keepdims=True)
+    norm = most + np.log(np.exp(logits - most).sum(1, keepdims=True))
+    return hidden, logits - norm, norm[:, 0]
 
-    seen: left x word x right counts. Contexts go through one left class after another, so that no
-    array is larger than the counts.
-    """
-    total = np.float32(max(seen.sum(), 1))
-    rng = np.random.default_rng(seed)
-    prior = np.log((seen.sum((0, 2)) + 1) / (total + CLASSES)).astype(np.float32)
-    p = {"left": rng.normal(0, 0.1, (CLASSES, HIDDEN)), "right": rng.normal(0, 0.1, (CLASSES, HIDDEN)), "out": rng.normal(0, 0.1, (HIDDEN, CLASSES)), "bias": prior}
-    p = {k: v.astype(np.float32) for k, v in p.items()}
-    first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    at_once = 8  # left classes
 
-    def forward(a: int) -> tuple[np.ndarray, np.ndarray]:
-        hidden = np.tanh(p["left"][a : a + at_once, None, :] + p["right"][None, :, :]).reshape(-1, HIDDEN)
-        logits = hidden @ p["out"] + p["bias"]
-        logits -= logits.max(1, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(1, keepdims=True))
-        return hidden, logits
+def gradient(p: dict[str, np.ndarray], left: int, seen: np.ndarray, total: float, grad: dict[str, np.ndarray]) -> None:
+    """Adds the gradient over the windows of one left class; seen: word x right counts."""
+    hidden, logp, _ = forward(p, left)
+    own = seen.T
+    error = (np.exp(logp) * own.sum(1, keepdims=True) - own) / np.float32(total)
+    back = error @ p["out"].T * (1 - hidden**2)
+    grad["out"] += hidden.T @ error
+    grad["bias"] += error.sum(0)
+    grad["left"][left] += back.sum(0)
+    grad["right"] += back
+
 
+def fitted(of_class: np.ndarray, gradients: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], rounds: int, step: float, seed: int = 11) -> dict[str, np.ndarray]:
+    """The network's parameters after rounds of Adam; of_class: how often each class occurs."""
+    size, rng = len(of_class), np.random.default_rng(seed)
+    p = {"left": rng.normal(0, 0.1, (size, HIDDEN)), "right": rng.normal(0, 0.1, (size, HIDDEN)), "out": rng.normal(0, 0.1, (HIDDEN, size)), "bias": np.log((of_class + 1) / (of_class.sum() + size))}
+    p = {k: v.astype(np.float32) for k, v in p.items()}
+    first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     for t in range(1, rounds + 1):
-        grad = {k: np.zeros_like(v) for k, v in p.items()}
-        for a in range(0, CLASSES, at_once):
-            hidden, logp = forward(a)
-            own = seen[a : a + at_once].transpose(0, 2, 1).reshape(-1, CLASSES)
-            error = (np.exp(logp) * own.sum(1, keepdims=True) - own) / total
-            back = (error @ p["out"].T * (1 - hidden**2)).reshape(-1, CLASSES, HIDDEN)
-            grad["out"] += hidden.T @ error
-            grad["bias"] += error.sum(0)
-            grad["left"][a : a + at_once] = back.sum(1)
-            grad["right"] += back.sum(0)
-        for k, g in grad.items():
+        for k, g in gradients(p).items():
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.99 * second[k] + 0.01 * g * g
-            p[k] -= 0.03 * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.99**t)) + 1e-9)
-    out = np.empty((CLASSES, CLASSES, CLASSES), np.float32)
-    for a in range(0, CLASSES, at_once):
-        out[a : a + at_once] = forward(a)[1].reshape(-1, CLASSES, CLASSES).transpose(0, 2, 1)
-    return out.ravel()
+            p[k] -= step * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.99**t)) + 1e-9)
+    return p
+
+
+def train(seen: np.ndarray, rounds: int = ROUNDS, seed: int = 11) -> np.ndarray:
+    """Log-probabilities by window code, of the network fitted to counts that are held in memory.
+
+    seen: left x word x right counts.
+    """
+    def gradients(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        grad = {k: np.zeros_like(v) for k, v in p.items()}
+        for left in range(len(seen)):
+            gradient(p, left, seen[left], max(seen.sum(), 1), grad)
+        return grad
+
+    p = fitted(seen.sum((0, 2)), gradients, rounds, 0.03, seed)
+    return np.stack([forward(p, left)[1].T for left in range(len(seen))]).ravel()
+
+
+def train_in_tasks(windows: DataFrame, size: int, rounds: int = TASK_ROUNDS) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The parameters of the network fitted to a table of window counts, and how often each class occurs."""
+    def classes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = np.zeros(size, np.int64)
+        for frame in frames:
+            for counts in frame["counts"]:
+                found += np.frombuffer(counts, np.int64).reshape(size, size).sum(1)
+        yield pd.DataFrame({"sums": [found.tobytes()]})
+
+    of_class = np.sum([np.frombuffer(r[0], np.int64) for r in windows.mapInPandas(classes, "sums binary").collect()], axis=0, initial=0) + np.zeros(size, np.int64)
+    total = max(int(of_class.sum()), 1)
+
+    def gradients(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        sent = windows.sparkSession.sparkContext.broadcast(p)
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            p = sent.value
+            grad, any_rows = {k: np.zeros_like(v) for k, v in p.items()}, False
+            for frame in frames:
+                for left, counts in zip(frame["left"], frame["counts"], strict=True):
+                    gradient(p, left, np.frombuffer(counts, np.int64).reshape(size, size).astype(np.float32), total, grad)
+                    any_rows = True
+            if any_rows:
+                yield pd.DataFrame({k: [v.tobytes()] for k, v in grad.items()})
+
+        grad = {k: np.zeros_like(v) for k, v in p.items()}
+        for row in windows.mapInPandas(run, ", ".join(f"{k} binary" for k in p)).collect():
+            for k in p:
+                grad[k] += np.frombuffer(row[k], np.float32).reshape(p[k].shape)
+        sent.destroy()
+        return grad
+
+    return fitted(of_class, gradients, rounds if of_class.any() else 0, TASK_STEP), of_class
 
 
-def pseudo_likelihood(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudo_likelihood(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON) -> DataFrame:
     """doc_id, n_words, log_likelihood, mean_log_likelihood for every whole text."""
     docs = texts(df, id_col, text_col)
-    top = [r["word"] for r in word_counts(docs).orderBy(F.desc("n"), "word").limit(TOP).collect()]
-    seen = np.zeros((CLASSES, CLASSES, CLASSES), np.float32)
-    for row in window_counts(docs, top).collect():  # CLASSES rows at most, of CLASSES ** 2 counts
-        seen[row["left"]] = np.frombuffer(row["counts"], np.int64).reshape(CLASSES, CLASSES)
-    logp = train(seen)
-    del seen
-    sent = df.sparkSession.sparkContext.broadcast(logp)  # CLASSES ** 3 floats: 8 MB
+    spark = df.sparkSession
+    words = materialise(word_counts(docs), "lm-words")
+    own, endings = class_sizes(words.count())
+    most = words.orderBy(F.desc("n"), "word").limit(max(own, common)).toPandas()
+    top = most["word"].tolist()[:own]
+    size = Classes(top, endings).size
+    # The left classes are dealt out evenly, as every round of training reads them.
+    windows = materialise(window_counts(docs, top, endings).repartition(min(size, TRAINERS), "left"), "lm-windows")
+    p, of_class = train_in_tasks(windows, size)
+    norms = np.stack([forward(p, left)[2] for left in range(size)])
+    known = dict(zip(most["word"], most["n"], strict=True))
+    sent = spark.sparkContext.broadcast((p, norms, np.log(np.maximum(of_class, 1)), known))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classes, logp = Classes(top), sent.value
+        p, norms, of_class, known = sent.value
+        classes, out = Classes(top, endings), np.ascontiguousarray(p["out"].T)
+        shares: dict[str, float] = {w: np.log(n) - of_class[classes[w]] for w, n in known.items()}
+        row = TaskContext.get().partitionId() << 40
         for frame in blocks(frames):
-            codes, counts = classes.windows(frame.text.tolist())
-            sums = np.concatenate([[0.0], np.cumsum(logp[codes], dtype=np.float64)])
-            ends = np.cumsum(counts)
-            yield pd.DataFrame({"doc_id": frame.doc_id, "n_words": counts, "log_likelihood": np.round(sums[ends] - sums[ends - counts], 6)})
-
-    scored = docs.mapInPandas(run, "doc_id long, n_words long, log_likelihood double")
-    return scored.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
+            batch = words_of(frame.text.tolist())
+            counts = np.array([len(words) for words in batch], np.int64)
+            codes = classes.windows(batch)
+            left, word, right = codes // size**2, codes // size % size, codes % size
+            logp = np.einsum("ij,ij->i", np.tanh(p["left"][left] + p["right"][right]), out[word]) + p["bias"][word] - norms[left, right]
+            within = np.fromiter((shares.get(w, np.nan) for words in batch for w in words), np.float64, len(codes))
+            rest = np.isnan(within)
+            # A word that is not common has its class's part here; the join adds its count's logarithm.
+            within[rest] = -of_class[word[rest]]
+            sums, ends = np.concatenate([[0.0], np.cumsum(logp + within)]), np.cumsum(counts)
+            others = [list(Counter(w for w in words if w not in shares).items()) for words in batch]
+            yield pd.DataFrame({"row": row + np.arange(len(frame)), "doc_id": frame.doc_id, "n_words": counts, "sum": sums[ends] - sums[ends - counts], "rest": [[{"word": w, "k": k} for w, k in o] for o in others]})
+            row += len(frame)
+
+    scored = materialise(docs.mapInPandas(run, "row long, doc_id long, n_words long, sum double, rest array<struct<word: string, k: long>>"), "lm-scored")
+    rare = scored.select("row", F.inline("rest")).join(words, "word").groupBy("row").agg(F.sum(F.col("k") * F.log("n")).alias("more"))
+    total = F.round(F.col("sum") + F.coalesce("more", F.lit(0.0)), 6).alias("log_likelihood")
+    out = scored.select("row", "doc_id", "n_words", "sum").join(rare, "row", "left").select("doc_id", "n_words", total)
+    return out.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

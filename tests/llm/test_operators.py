@@ -395,6 +395,24 @@ def test_lm_edges(spark, odd):
     assert op09_lm_scoring.pseudo_likelihood(empty(odd)).count() == 0
 
 
+def test_words_of_one_ending_score_by_their_counts(spark):
+    # 120 words are more frequent, so that the words of the ending have no classes of their own.
+    rows = [(k, " ".join(f"c{n}" for n in range(120))) for k in range(50)]
+    rows += [(100, "the usual walking day"), (101, "the usual qzxking day"), *[(k, "the usual walking day") for k in range(102, 140)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = {r.word: r.n for r in op09_lm_scoring.word_counts(docs).collect()}
+    # With no common words their counts come by the join.
+    found = [{r.doc_id: r.log_likelihood for r in op09_lm_scoring.pseudo_likelihood(docs, common=common).collect()} for common in (0, 100_000)]
+    assert all(abs(found[0][i] - found[1][i]) < 1e-3 for i in found[0])
+    assert abs(found[0][100] - found[0][101] - np.log(39)) < 1e-3
+    assert counts["walking"] == 39 and counts["qzxking"] == 1
+
+
+def test_classes_grow_with_the_vocabulary():
+    sizes = [1 + sum(op09_lm_scoring.class_sizes(v)) for v in (0, 10_000, 1_000_000, 30_000_000)]
+    assert sizes[0] == sizes[1] == op09_lm_scoring.CLASSES < sizes[2] < sizes[3]
+
+
 # ---------------------------------------------------------------- op10
 
 
