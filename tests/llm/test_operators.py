@@ -357,6 +357,24 @@ def test_mix_keeps_all_and_reaches_the_weights(spark):
         op08_mixing.quotas({str(k): 1.0 for k in range(2000)})
 
 
+def test_many_sources_keep_their_exact_weights(spark):
+    from collections import Counter
+    from fractions import Fraction
+
+    sources = [("big", 500.0, 300), *[(f"s{k}", 1.0, 1) for k in range(1000)]]
+    share, done = {s: Fraction(w) / 1500 for s, w, _ in sources}, Counter()
+    for source, block, epoch, slot, release, deadline in op08_mixing.dealt(sources):
+        i = epoch * dict((s, n) for s, _, n in sources)[source] + block
+        assert release == i // share[source] <= slot < deadline == -(-(i + 1) // share[source]) and i == done[source]
+        done[source] += 1
+        assert all(abs(done[s] - (slot + 1) * share[s]) < 1 for s in ("big", "s0", "s999", source))
+    rows = [(k, "x" * 100, "en", f"s{k}" if k < 1100 else "big", 100) for k in range(1400)]
+    found = op08_mixing.schedule(spark.createDataFrame(rows, DOCS), {f"s{k}": 1.0 for k in range(1100)} | {"big": 550.0}, block_chars=100).collect()
+    assert len(found) == 1400 and all(r.release <= r.slot < r.deadline and r.epochs >= 1 for r in found)
+    big = [r for r in found if r.source == "big"]
+    assert all((r.release, r.deadline) == (3 * r.block, 3 * (r.block + 1)) for r in big)
+
+
 def test_mix_edges(spark, odd):
     out = op08_mixing.mix(odd)
     assert out.columns == odd.columns and out.select("text").distinct().count() == odd.select("text").distinct().count()
