@@ -13,8 +13,9 @@
 4. Confirmed links are joined into components.
 
 With 30 bands of 5 samples a pair at similarity 0.8 shares no bucket in 7 of a million cases. The
-sketch is made of up to 4096 one-permutation samples, more than the bands need, so that its test can
-lie close below the threshold, and yet four standard deviations.
+sketch is made of up to 4096 one-permutation samples, more than the bands need; its test lies SIGMAS
+standard deviations, which depend on the sets' sizes, below the threshold. Sets whose union has few
+shingles skip it and are confirmed on full sets straight away.
 
 Defined results: null or empty texts have no shingles and are linked with nothing; rows that repeat
 a doc_id count as one document in links and give one row each; a null doc_id is linked with nothing,
@@ -41,7 +42,10 @@ SAMPLES = BANDS * ROWS
 BIN_BITS = 12
 SKETCH_BITS = 4096
 SKETCH_WORDS = SKETCH_BITS // 64
-SLACK = 0.036
+#: The sketch test's distance from the threshold: standard deviations, and a least share.
+SIGMAS, SLACK = 6, 0.05
+#: Pairs whose union would have fewer shingles at the least similarity pass the sketch test.
+EXACT_UNION = 100
 #: Ids up to this many are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Rounds of stars after the first, before what is still apart is searched completely.
@@ -123,13 +127,27 @@ def similar(a: str, b: str, least: float) -> Column:
 
     The XOR's population count estimates how many samples differ, so how many are equal. Sets of the
     least similarity have a union of (n + m) / (1 + least), which fills so many bins, of whose
-    samples that share is equal. SLACK is four standard deviations; 2 more is what one bin that two members share costs a small set.
+    samples that share is equal. 2 more is what one bin that two members share costs a small set.
     """
     bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}s{k}").bitwiseXOR(F.col(f"{b}s{k}"))) for k in range(SKETCH_WORDS)])
     differ = F.log(F.greatest(1 - 2 * bits / SKETCH_BITS, F.lit(1e-9))) * (-SKETCH_BITS / 2)
+    union = (F.col(f"{a}n") + F.col(f"{b}n")) / (1 + least)
     bins = 1 << BIN_BITS
-    filled = (1 - F.exp((F.col(f"{a}n") + F.col(f"{b}n")) * (-1 / ((1 + least) * bins)))) * bins
-    return F.col(f"{a}bins") + F.col(f"{b}bins") - differ >= 2 * (least - SLACK) * filled - 2
+    filled = (1 - F.exp(-union / bins)) * bins
+    return (union < EXACT_UNION) | (F.col(f"{a}bins") + F.col(f"{b}bins") - differ >= 2 * (least * filled - slack(union, least)) - 2)
+
+
+def slack(union: Column, least: float) -> Column:
+    """How many equal samples fewer than expected the sketch test allows.
+
+    Their variance: which bins are filled, which of their samples are equal, and the estimate of the
+    samples that differ, 2 * (1 - least) of the filled bins, from the sketch's bits.
+    """
+    bins = 1 << BIN_BITS
+    free = F.exp(-union / bins)
+    filled = (1 - free) * bins
+    variance = least * (1 - least) * filled + least**2 * bins * free * (1 - (1 + union / bins) * free) + SKETCH_BITS / 16 * (F.exp(filled * (8 * (1 - least) / SKETCH_BITS)) - 1)
+    return F.greatest(SIGMAS * F.sqrt(variance), SLACK * filled)
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int, name: str) -> DataFrame:

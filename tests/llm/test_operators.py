@@ -146,6 +146,24 @@ def test_sketch_keeps_pairs_at_the_threshold():
             assert ka + kb - differ >= 2 * (0.8 - op02_near_dedup.SLACK) * filled - 2
 
 
+def test_sketch_test_has_room_at_every_size(spark):
+    # Links at similarity 0.8 exactly; the number of rejected ones was not zero with one slack for all sizes.
+    rng, rows = np.random.default_rng(3), []
+    for union, trials in ((20, 3_000), (100, 3_000), (200, 3_000), (300, 3_000), (600, 3_000), (3_000, 500)):
+        for _ in range(trials):
+            pool = rng.integers(0, 1 << 64, union, dtype=np.uint64)
+            both, one = union * 8 // 10, union // 10
+            a, b = np.sort(pool[: both + one]), np.sort(np.concatenate([pool[:both], pool[both + one :]]))
+            (sa, ka), (sb, kb) = op02_near_dedup.odd_sketch(a), op02_near_dedup.odd_sketch(b)
+            rows.append((len(a), ka, sa.tolist(), len(b), kb, sb.tolist()))
+    names = lambda x: [F.col(f"{x}s")[k].alias(f"{x}s{k}") for k in range(op02_near_dedup.SKETCH_WORDS)]
+    pairs = spark.createDataFrame(rows, "an long, abins long, as array<long>, bn long, bbins long, bs array<long>")
+    passed = pairs.select("an", "abins", "bn", "bbins", *names("a"), *names("b")).where(op02_near_dedup.similar("a", "b", 0.8))
+    assert passed.count() == len(rows)
+    sizes = spark.createDataFrame([(100.0,), (1_000.0,), (100_000.0,)], "u double")
+    assert all(r[0] >= 0.05 * r[1] for r in sizes.select(op02_near_dedup.slack(F.col("u"), 0.8), (1 - F.exp(-F.col("u") / 4096)) * 4096).collect())
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99)], "a long, b long")
     found = {r.node: r.component for r in components.components(edges).collect()}
