@@ -23,7 +23,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import blocks, table, texts
+from .common import blocks, map_frames, table, texts
 from .merges import MergeReplay, WordTable, spread
 
 #: Characters whose words are replayed together; a worker starts anew above one distinct word for each 50.
@@ -76,12 +76,12 @@ class Codec:
         which = np.frombuffer(ids, "<u4")
         return spread(self.token_bytes, self.token_at[which], self.token_len[which])[0].tobytes()
 
-    def encoded(self, frames: Iterator[pd.DataFrame], block: int = BLOCK) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    def encoded(self, frames: Iterator[pd.DataFrame], block: int = BLOCK) -> Iterator[tuple[pd.api.extensions.ExtensionArray, list[bytes]]]:
         """doc_ids and ids, block by block; a block's words are replayed together."""
-        held: list[tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]] = []
+        held: list[tuple[pd.api.extensions.ExtensionArray, tuple[np.ndarray, np.ndarray]]] = []
         chars = 0
 
-        def flush() -> Iterator[tuple[np.ndarray, list[bytes]]]:
+        def flush() -> Iterator[tuple[pd.api.extensions.ExtensionArray, list[bytes]]]:
             self.learn()
             for doc_ids, numbered in held:
                 yield doc_ids, self.ids(*numbered)
@@ -91,7 +91,7 @@ class Codec:
 
         for frame in blocks(frames):
             texts = frame.text.tolist()
-            held.append((frame.doc_id.to_numpy(), self.table.number(map(self.split, texts))))
+            held.append((frame.doc_id.array, self.table.number(map(self.split, texts))))
             chars += sum(map(len, texts))
             if chars > block or len(self.table.index) > block // 25:
                 yield from flush()
@@ -113,7 +113,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
         for doc_ids, ids in codec(path, pattern).encoded(frames):
             yield pd.DataFrame({"doc_id": doc_ids, "ids": ids})
 
-    return texts(df, id_col, text_col).mapInPandas(run, "doc_id long, ids binary")
+    return map_frames(texts(df, id_col, text_col), run, "doc_id long, ids binary")
 
 
 def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -125,7 +125,7 @@ def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
                 part = frame.iloc[at : at + 500]
                 yield part.assign(decoded=[codec(path, pattern).decode(x) for x in part.ids])
 
-    return df.select("doc_id", "ids").mapInPandas(run, "doc_id long, ids binary, decoded binary")
+    return map_frames(df.select("doc_id", "ids"), run, "doc_id long, ids binary, decoded binary")
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -143,7 +143,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
                 }
             )
 
-    return texts(df, id_col, text_col).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_frames(texts(df, id_col, text_col), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

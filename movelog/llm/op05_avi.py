@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import blocks, table, texts
+from .common import blocks, map_frames, table, texts
 
 SIDE, UNIT = 24, 576
 FRAMES_A_SECOND = 25
@@ -344,7 +344,7 @@ def with_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             raw = [t.encode("utf-8", "replace") for t in frame.text]
             yield pd.DataFrame({"doc_id": frame.doc_id, "n_bytes": [len(r) for r in raw], "media": store(raw)})
 
-    return texts(df, id_col, text_col).mapInPandas(run, "doc_id long, n_bytes long, media binary")
+    return map_frames(texts(df, id_col, text_col), run, "doc_id long, n_bytes long, media binary")
 
 
 def clips(df: DataFrame) -> DataFrame:
@@ -360,7 +360,7 @@ def clips(df: DataFrame) -> DataFrame:
                     rows += [(doc_id, k, a, b, a / rate, b / rate) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
             yield pd.DataFrame(rows, columns=["doc_id", "clip", "start_frame", "end_frame", "start_s", "end_s"])
 
-    return df.select("doc_id", "media").where("media IS NOT NULL").mapInPandas(run, "doc_id long, clip int, start_frame int, end_frame int, start_s double, end_s double")
+    return map_frames(df.select("doc_id", "media").where("media IS NOT NULL"), run, "doc_id long, clip int, start_frame int, end_frame int, start_s double, end_s double")
 
 
 def media_features(df: DataFrame) -> DataFrame:
@@ -376,7 +376,7 @@ def media_features(df: DataFrame) -> DataFrame:
             yield pd.concat([frame[["doc_id", "n_bytes"]].reset_index(drop=True), out], axis=1)
 
     columns = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return df.select("doc_id", "n_bytes", "media").mapInPandas(run, columns)
+    return map_frames(df.select("doc_id", "n_bytes", "media"), run, columns)
 
 
 def op5_avi(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, table, texts
+from .common import blocks, map_frames, table, texts
 from .merges import MergeReplay, WordTable, per_row
 
 #: Characters whose words are merged together, and the distinct words above which a worker starts anew.
@@ -55,7 +55,6 @@ class WordCounter:
         result = np.array([vocab[a + b] for a, b in pairs])
         self.replay = MergeReplay([vocab[c] for c in chars], ((vocab[a], vocab[b], rank) for rank, (a, b) in enumerate(pairs)), result, [vocab[c + end] for c in chars])
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        self.blank = regex.compile(spec["normalizer"]["normalizers"][1]["pattern"]["Regex"])
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]))
         self.whole = self.proven({bytes(names[c] for c in token.removesuffix(end)): n for token, n in vocab.items() if token.endswith(end) and token != end})
         self.table = WordTable()
@@ -126,7 +125,7 @@ def token_counts(df: DataFrame, path: str, limit: int, id_col: str = "doc_id", t
             yield ids.assign(n_tokens=counts)
 
     rows = texts(df, id_col, text_col).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
-    return rows.mapInPandas(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return map_frames(rows, run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
