@@ -1,15 +1,16 @@
 """MinHash near-deduplication with odd sketches.
 
 1. One pass over the texts gives each document its number of distinct shingles, a key of its whole
-   set, band keys of MinHash samples, and an odd sketch: samples folded into a parity bitmap. Equal sets collapse to the smallest doc_id before anything else is compared.
-2. Within a band bucket all members are held against the bucket's smallest id, a star instead of
-   all pairs; then, TURNS times, the members outside the bucket's largest component against one of
-   its members, another in each bucket and turn. The population count of two sketches' XOR estimates their similarity; pairs that can
-   reach the threshold are confirmed on their full shingle sets.
+   set, band keys of MinHash samples, and an odd sketch: samples folded into a parity bitmap. Equal
+   sets collapse to the smallest doc_id before anything else is compared.
+2. Within a band bucket all members are held against one leader, a star instead of all pairs: the
+   member whose buckets hold the most members in sum, as the least edited of a group's copies does.
+   The population count of two sketches' XOR estimates their similarity; pairs that can reach the
+   threshold are confirmed on their full shingle sets.
 3. Buckets that still hold several components after that are searched completely: members outside
    the bucket's main component are held against all others of another component, in blocks of
-   bounded size, inside a join whose condition is the sketch test, so that only likely pairs come
-   out. These are confirmed on full sets too.
+   bounded size. A block's task tests sketches and then full sets, and only links come out of it
+   that join what it has not joined yet, so that a bucket gives fewer links than members.
 4. Confirmed links are joined into components.
 
 With 30 bands of 5 samples a pair at similarity 0.8 shares no bucket in 7 of a million cases. The
@@ -25,7 +26,7 @@ has a null component and is kept; an empty table gives no rows; extra columns ar
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -33,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, materialise, table, texts
+from .common import blocks, map_frames, materialise, table, texts
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -48,10 +49,8 @@ SIGMAS, SLACK = 6, 0.05
 EXACT_UNION = 100
 #: Ids up to this many are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: Rounds of stars after the first, before what is still apart is searched completely.
-TURNS = 1
-#: Members and probes of one bucket that meet in one block.
-BLOCK_ROWS = 256
+#: Members, or probes, of one bucket that meet in one block, and their shingles (8 bytes each).
+BLOCK_ROWS, BLOCK_SHINGLES = 1_024, 1_000_000
 
 _RNG = np.random.default_rng(7)
 _XOR = _RNG.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
@@ -107,7 +106,7 @@ def features(docs: DataFrame, width: int) -> DataFrame:
                     out[name] = pd.Series(values, dtype="Int32" if name == "bins" else object)
             yield out
 
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>, bins int")
+    return map_frames(docs, run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>, bins int")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -119,35 +118,85 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
     small = ids.count() <= BROADCAST_IDS
     wanted = docs.join(F.broadcast(ids) if small else ids, docs.doc_id == ids.node, "left_semi")
-    return wanted.mapInPandas(run, "node long, shingles array<long>")
+    return map_frames(wanted, run, "node long, shingles array<long>")
+
+
+class Arrays:
+    """The functions of columns that the sketch test takes, for numpy arrays."""
+
+    exp, log, sqrt, greatest = np.exp, np.log, np.sqrt, np.maximum
 
 
 def similar(a: str, b: str, least: float) -> Column:
-    """Do two sketches allow the similarity.
+    """Do two sketches allow the similarity: for the columns n, bins, s0, s1, ... under the prefixes a and b."""
+    bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}s{k}").bitwiseXOR(F.col(f"{b}s{k}"))) for k in range(SKETCH_WORDS)])
+    chance = F.greatest(1 - 2 * bits / SKETCH_BITS, F.lit(1e-9))
+    return allowed(chance, F.col(f"{a}n") + F.col(f"{b}n"), F.col(f"{a}bins") + F.col(f"{b}bins"), least, F)
+
+
+def allowed(chance, sizes, bins, least: float, by):
+    """The test itself, for columns (by: functions) or arrays (by: Arrays).
 
     The XOR's population count estimates how many samples differ, so how many are equal. Sets of the
-    least similarity have a union of (n + m) / (1 + least), which fills so many bins, of whose
+    least similarity have a union of sizes / (1 + least), which fills so many bins, of whose
     samples that share is equal. 2 more is what one bin that two members share costs a small set.
     """
-    bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}s{k}").bitwiseXOR(F.col(f"{b}s{k}"))) for k in range(SKETCH_WORDS)])
-    differ = F.log(F.greatest(1 - 2 * bits / SKETCH_BITS, F.lit(1e-9))) * (-SKETCH_BITS / 2)
-    union = (F.col(f"{a}n") + F.col(f"{b}n")) / (1 + least)
-    bins = 1 << BIN_BITS
-    filled = (1 - F.exp(-union / bins)) * bins
-    return (union < EXACT_UNION) | (F.col(f"{a}bins") + F.col(f"{b}bins") - differ >= 2 * (least * filled - slack(union, least)) - 2)
+    differ = by.log(chance) * (-SKETCH_BITS / 2)
+    union = sizes / (1 + least)
+    filled = (1 - by.exp(-union / (1 << BIN_BITS))) * (1 << BIN_BITS)
+    return (union < EXACT_UNION) | (bins - differ >= 2 * (least * filled - slack(union, least, by)) - 2)
 
 
-def slack(union: Column, least: float) -> Column:
+def slack(union, least: float, by=F):
     """How many equal samples fewer than expected the sketch test allows.
 
     Their variance: which bins are filled, which of their samples are equal, and the estimate of the
     samples that differ, 2 * (1 - least) of the filled bins, from the sketch's bits.
     """
     bins = 1 << BIN_BITS
-    free = F.exp(-union / bins)
+    free = by.exp(-union / bins)
     filled = (1 - free) * bins
-    variance = least * (1 - least) * filled + least**2 * bins * free * (1 - (1 + union / bins) * free) + SKETCH_BITS / 16 * (F.exp(filled * (8 * (1 - least) / SKETCH_BITS)) - 1)
-    return F.greatest(SIGMAS * F.sqrt(variance), SLACK * filled)
+    variance = least * (1 - least) * filled + least**2 * bins * free * (1 - (1 + union / bins) * free) + SKETCH_BITS / 16 * (by.exp(filled * (8 * (1 - least) / SKETCH_BITS)) - 1)
+    return by.greatest(SIGMAS * by.sqrt(variance), SLACK * filled)
+
+
+def searched(percent: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """For one block: holds all its probes against its members, and gives links between different parts.
+
+    Pairs whose first common bucket is another one, whose sizes differ too much or whose sketches do
+    not allow the similarity are passed over; the others are compared on their full sets. Parts
+    that a link has joined are one from then on, so that there are fewer links than rows.
+    """
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        codes = np.unique(np.concatenate(rows["shingles"].to_list()), return_inverse=True)[1]
+        at = np.concatenate([[0], np.cumsum(rows["shingles"].str.len())]).tolist()
+        own = [codes[a:b] for a, b in zip(at, at[1:], strict=False)]
+        mark = np.zeros(int(codes.max()) + 1, bool)
+        n, bins, part, node = (rows[c].to_numpy() for c in ("n", "bins", "part", "node"))
+        bands, sketch = np.stack(rows["bands"]), np.stack(rows["sketch"]).view(np.uint64)
+        probe = rows["probe"].to_numpy(bool)
+        part = part.copy()
+        first = (bands == key[0]).argmax(axis=1)[0]
+        held = np.flatnonzero(~probe)
+        links = []
+        for k in np.flatnonzero(probe).tolist():
+            near = held[(part[held] != part[k]) & (np.minimum(n[held], n[k]) * 100 >= np.maximum(n[held], n[k]) * percent)]
+            near = near[~(bands[near, :first] == bands[k, :first]).any(axis=1)]
+            bits = np.bitwise_count(sketch[near] ^ sketch[k]).sum(axis=1, dtype=np.int64)
+            near = near[allowed(np.maximum(1 - 2 * bits / SKETCH_BITS, 1e-9), n[near] + n[k], bins[near] + bins[k], percent / 100, Arrays)]
+            if not len(near):
+                continue
+            mark[own[k]] = True
+            both = np.add.reduceat(mark[np.concatenate([own[m] for m in near.tolist()])], np.cumsum(n[near]) - n[near], dtype=np.int64)
+            mark[own[k]] = False
+            for m in near[both * 100 >= percent * (n[near] + n[k] - both)].tolist():
+                if part[m] != part[k]:
+                    links.append((min(node[k], node[m]), max(node[k], node[m])))
+                    part[part == part[m]] = part[k]
+        return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+
+    return run
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
@@ -169,8 +218,13 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     reps = materialise(grouped, "near-reps")
     sketches = reps.select("node", "n", "bins", *[F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH_WORDS)])
     banded = reps.select("node", F.explode("bands").alias("band"))
-    leaders = banded.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = materialise(banded.join(leaders, "band").select("band", "node", "leader"), "near-shared")
+    crowded = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = materialise(banded.join(crowded, "band"), "near-crowded")
+    # The member whose buckets are the fullest in sum leads: of a group's copies the one nearest to what they are copies of.
+    weights = shared.groupBy("node").agg(F.sum("members").alias("weight"))
+    weighed = materialise(shared.join(weights, "node").select("band", "node", "weight"), "near-weighed")
+    leaders = weighed.groupBy("band").agg(F.max(F.struct("weight", -F.col("node"), "node"))["node"].alias("leader"))
+    shared = materialise(weighed.join(leaders, "band").select("band", "node", "leader"), "near-shared")
 
     def side(letter: str) -> DataFrame:
         return sketches.select([F.col(c).alias(letter if c == "node" else letter + c) for c in sketches.columns])
@@ -179,42 +233,27 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
         sizes = F.least(F.col(f"{left}n"), F.col(f"{right}n")) * 100 >= F.greatest(F.col(f"{left}n"), F.col(f"{right}n")) * percent
         return sizes & similar(left, right, percent / 100)
 
-    def open_rows(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The members of buckets with their component, and the buckets that hold several of them."""
-        placed = shared.join(parts, "node", "left").select("band", "node", F.coalesce("component", "node").alias("part"))
-        sizes = placed.groupBy("band", "part").agg(F.count(F.lit(1)).alias("size"))
-        grouped = sizes.groupBy("band").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.sum("size").alias("total"), F.max("size").alias("largest"), F.count(F.lit(1)).alias("parts"))
-        return placed, grouped.where("parts > 1")
-
-    def linked_by(stars: DataFrame, name: str) -> DataFrame:
-        pairs = stars.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        likely_pairs = materialise(pairs.join(side("b"), "b").join(side("a"), "a").where(likely("a", "b")).select("a", "b"), f"{name}-stars")
-        return confirmed(docs, likely_pairs, width, percent, name)
-
-    links = linked_by(shared.where("node != leader"), "near-1")
-    for turn in range(2, 2 + TURNS):
-        parts = components(links, f"near-parts-{turn}")
-        placed, open_bands = open_rows(parts)
-        rows = placed.join(open_bands.select("band", "main"), "band")
-        first = F.struct(F.xxhash64("node", "band", F.lit(turn)), "node")
-        heads = rows.where("part = main").groupBy("band").agg(F.min(first)["node"].alias("leader"))
-        links = materialise(links.union(linked_by(rows.where("part != main").join(heads, "band"), f"near-{turn}")).distinct(), f"near-links-{turn}")
-    placed, open_bands = open_rows(components(links, "near-parts"))
-    blocks_of = lambda count: F.ceil(count / BLOCK_ROWS).cast("int")
-    rest = placed.join(open_bands.select("band", "main", blocks_of(F.col("total")).alias("m_blocks"), blocks_of(F.col("total") - F.col("largest")).alias("p_blocks")), "band")
-    rest = materialise(rest.join(sketches.join(reps.select("node", "bands"), "node"), "node"), "near-rest")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    stars = shared.where("node != leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    stars = materialise(stars.join(side("b"), "b").join(side("a"), "a").where(likely("a", "b")).select("a", "b"), "near-stars")
+    links = confirmed(docs, stars, width, percent, "near-stars")
+    # Sums by bucket and component come first, so that a hot bucket meets in partial sums.
+    placed = shared.drop("leader").join(components(links, "near-parts"), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    sizes = placed.groupBy("band", "part").agg(F.count(F.lit(1)).alias("size"))
+    bands = sizes.groupBy("band").agg(F.max(F.struct("size", "part"))["part"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    rest = placed.join(bands.select("band", "main"), "band").join(reps.select("node", "n"), "node")
+    rest = materialise(rest.withColumn("probe", F.col("part") != F.col("main")).drop("main"), "near-open")
+    room = lambda rows, shingles: F.ceil(F.greatest(rows / BLOCK_ROWS, shingles / BLOCK_SHINGLES, F.lit(1))).cast("int")
+    apart = F.col("probe").cast("int")
+    sizes = rest.groupBy("band").agg(room(F.count(F.lit(1)), F.sum("n")).alias("m_blocks"), room(F.sum(apart), F.sum(apart * F.col("n"))).alias("p_blocks"))
+    rest = rest.join(sizes, "band")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     own = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
-    keep = [*(c for c in sketches.columns if c != "node"), "bands"]
-    members = rest.select("band", "node", "part", *keep, own("m_blocks", 1).alias("i"), every("p_blocks").alias("j"))
-    probes = rest.where("part != main").select("band", "node", "part", *keep, every("m_blocks").alias("i"), own("p_blocks", 2).alias("j"))
-    m = members.select("band", "i", "j", F.col("node").alias("a"), F.col("part").alias("apart"), *[F.col(c).alias(f"a{c}") for c in keep])
-    p = probes.select("band", "i", "j", F.col("node").alias("b"), F.col("part").alias("bpart"), *[F.col(c).alias(f"b{c}") for c in keep])
-    met = (m.band == p.band) & (m.i == p.i) & (m.j == p.j) & (F.col("apart") != F.col("bpart")) & likely("a", "b")
-    # Only in the first bucket that two members share do they come out as a pair.
-    met &= F.array_position(F.zip_with("abands", "bbands", lambda x, y: x == y), True) == F.array_position("abands", m.band)
-    rest_pairs = materialise(m.join(p, met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-rest-pairs")
-    more = confirmed(docs, rest_pairs, width, percent, "near-rest")
+    members = rest.select("band", "node", "part", F.lit(False).alias("probe"), own("m_blocks", 1).alias("i"), F.explode(every("p_blocks")).alias("j"))
+    probes = rest.where("probe").select("band", "node", "part", "probe", F.explode(every("m_blocks")).alias("i"), own("p_blocks", 2).alias("j"))
+    ids = materialise(rest.select("node").distinct(), "near-rest-ids")
+    sets = sets_of(docs, ids, width).join(reps.select("node", "n", "bins", "sketch", "bands"), "node")
+    met = members.union(probes).join(materialise(sets, "near-rest-sets"), "node").groupBy("band", "i", "j")
+    more = materialise(met.applyInPandas(searched(percent), "a long, b long").distinct(), "near-rest-links")
     linked = components(links.union(more), "near-all")
 
     of_set = reps.select("set_key", "node").join(linked, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
