@@ -40,7 +40,8 @@ def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[p
     """As mapInPandas, but whole numbers stay whole beside nulls.
 
     pandas would read a column of longs with a null as floats, which merges ids above 2^53. Such
-    columns come as nullable integers here, and results are cast to the schema from Arrow's side.
+    columns come as nullable integers here, and results are cast to the schema from Arrow's side;
+    columns that a result leaves out are null.
     """
     wanted = to_arrow_schema(StructType.fromDDL(schema))
 
@@ -54,6 +55,7 @@ def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[p
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in run(frames(batches)):
+            frame = frame.assign(**{name: None for name in wanted.names if name not in frame})
             yield pa.RecordBatch.from_pandas(frame, wanted, preserve_index=False)
 
     return df.mapInArrow(mapped, schema)

@@ -34,6 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .buckets import Judge, complete, gathered, stars
 from .common import blocks, map_frames, materialise, table, texts
 from .components import components
 from .shingles import mix, shingle_sets
@@ -49,8 +50,6 @@ SIGMAS, SLACK = 6, 0.05
 EXACT_UNION = 100
 #: Ids up to this many are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: Members, or probes, of one bucket that meet in one block, and their shingles (8 bytes each).
-BLOCK_ROWS, BLOCK_SHINGLES = 1_024, 1_000_000
 
 _RNG = np.random.default_rng(7)
 _XOR = _RNG.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
@@ -160,43 +159,32 @@ def slack(union, least: float, by=F):
     return by.greatest(SIGMAS * by.sqrt(variance), SLACK * filled)
 
 
-def searched(percent: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    """For one block: holds all its probes against its members, and gives links between different parts.
+def judged(percent: int) -> Judge:
+    """Pairs of a block whose sizes and sketches allow the similarity are compared on their full sets."""
 
-    Pairs whose first common bucket is another one, whose sizes differ too much or whose sketches do
-    not allow the similarity are passed over; the others are compared on their full sets. Parts
-    that a link has joined are one from then on, so that there are fewer links than rows.
-    """
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def judge(rows: pd.DataFrame) -> Callable[[int, np.ndarray], np.ndarray]:
         codes = np.unique(np.concatenate(rows["shingles"].to_list()), return_inverse=True)[1]
         at = np.concatenate([[0], np.cumsum(rows["shingles"].str.len())]).tolist()
         own = [codes[a:b] for a, b in zip(at, at[1:], strict=False)]
         mark = np.zeros(int(codes.max()) + 1, bool)
-        n, bins, part, node = (rows[c].to_numpy() for c in ("n", "bins", "part", "node"))
-        bands, sketch = np.stack(rows["bands"]), np.stack(rows["sketch"]).view(np.uint64)
-        probe = rows["probe"].to_numpy(bool)
-        part = part.copy()
-        first = (bands == key[0]).argmax(axis=1)[0]
-        held = np.flatnonzero(~probe)
-        links = []
-        for k in np.flatnonzero(probe).tolist():
-            near = held[(part[held] != part[k]) & (np.minimum(n[held], n[k]) * 100 >= np.maximum(n[held], n[k]) * percent)]
-            near = near[~(bands[near, :first] == bands[k, :first]).any(axis=1)]
-            bits = np.bitwise_count(sketch[near] ^ sketch[k]).sum(axis=1, dtype=np.int64)
-            near = near[allowed(np.maximum(1 - 2 * bits / SKETCH_BITS, 1e-9), n[near] + n[k], bins[near] + bins[k], percent / 100, Arrays)]
-            if not len(near):
-                continue
-            mark[own[k]] = True
-            both = np.add.reduceat(mark[np.concatenate([own[m] for m in near.tolist()])], np.cumsum(n[near]) - n[near], dtype=np.int64)
-            mark[own[k]] = False
-            for m in near[both * 100 >= percent * (n[near] + n[k] - both)].tolist():
-                if part[m] != part[k]:
-                    links.append((min(node[k], node[m]), max(node[k], node[m])))
-                    part[part == part[m]] = part[k]
-        return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
-
-    return run
+        n, bins, sketch = rows["n"].to_numpy(), rows["bins"].to_numpy(), np.stack(rows["sketch"]).view(np.uint64)
+
+        def linked(k: int, near: np.ndarray) -> np.ndarray:
+            out = np.minimum(n[near], n[k]) * 100 >= np.maximum(n[near], n[k]) * percent
+            at = np.flatnonzero(out)
+            bits = np.bitwise_count(sketch[near[at]] ^ sketch[k]).sum(axis=1, dtype=np.int64)
+            out[at] = allowed(np.maximum(1 - 2 * bits / SKETCH_BITS, 1e-9), n[near[at]] + n[k], bins[near[at]] + bins[k], percent / 100, Arrays)
+            some = near[out]
+            if len(some):
+                mark[own[k]] = True
+                both = np.add.reduceat(mark[np.concatenate([own[m] for m in some.tolist()])], np.cumsum(n[some]) - n[some], dtype=np.int64)
+                mark[own[k]] = False
+                out[out] = both * 100 >= percent * (n[some] + n[k] - both)
+            return out
+
+        return linked
+
+    return judge
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
@@ -217,14 +205,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     grouped = known.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("bins").alias("bins"))
     reps = materialise(grouped, "near-reps")
     sketches = reps.select("node", "n", "bins", *[F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH_WORDS)])
-    banded = reps.select("node", F.explode("bands").alias("band"))
-    crowded = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = materialise(banded.join(crowded, "band"), "near-crowded")
-    # The member whose buckets are the fullest in sum leads: of a group's copies the one nearest to what they are copies of.
-    weights = shared.groupBy("node").agg(F.sum("members").alias("weight"))
-    weighed = materialise(shared.join(weights, "node").select("band", "node", "weight"), "near-weighed")
-    leaders = weighed.groupBy("band").agg(F.max(F.struct("weight", -F.col("node"), "node"))["node"].alias("leader"))
-    shared = materialise(weighed.join(leaders, "band").select("band", "node", "leader"), "near-shared")
+    shared = gathered(reps, "near")
 
     def side(letter: str) -> DataFrame:
         return sketches.select([F.col(c).alias(letter if c == "node" else letter + c) for c in sketches.columns])
@@ -233,27 +214,10 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
         sizes = F.least(F.col(f"{left}n"), F.col(f"{right}n")) * 100 >= F.greatest(F.col(f"{left}n"), F.col(f"{right}n")) * percent
         return sizes & similar(left, right, percent / 100)
 
-    stars = shared.where("node != leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    stars = materialise(stars.join(side("b"), "b").join(side("a"), "a").where(likely("a", "b")).select("a", "b"), "near-stars")
-    links = confirmed(docs, stars, width, percent, "near-stars")
-    # Sums by bucket and component come first, so that a hot bucket meets in partial sums.
-    placed = shared.drop("leader").join(components(links, "near-parts"), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    sizes = placed.groupBy("band", "part").agg(F.count(F.lit(1)).alias("size"))
-    bands = sizes.groupBy("band").agg(F.max(F.struct("size", "part"))["part"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    rest = placed.join(bands.select("band", "main"), "band").join(reps.select("node", "n"), "node")
-    rest = materialise(rest.withColumn("probe", F.col("part") != F.col("main")).drop("main"), "near-open")
-    room = lambda rows, shingles: F.ceil(F.greatest(rows / BLOCK_ROWS, shingles / BLOCK_SHINGLES, F.lit(1))).cast("int")
-    apart = F.col("probe").cast("int")
-    sizes = rest.groupBy("band").agg(room(F.count(F.lit(1)), F.sum("n")).alias("m_blocks"), room(F.sum(apart), F.sum(apart * F.col("n"))).alias("p_blocks"))
-    rest = rest.join(sizes, "band")
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    own = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
-    members = rest.select("band", "node", "part", F.lit(False).alias("probe"), own("m_blocks", 1).alias("i"), F.explode(every("p_blocks")).alias("j"))
-    probes = rest.where("probe").select("band", "node", "part", "probe", F.explode(every("m_blocks")).alias("i"), own("p_blocks", 2).alias("j"))
-    ids = materialise(rest.select("node").distinct(), "near-rest-ids")
-    sets = sets_of(docs, ids, width).join(reps.select("node", "n", "bins", "sketch", "bands"), "node")
-    met = members.union(probes).join(materialise(sets, "near-rest-sets"), "node").groupBy("band", "i", "j")
-    more = materialise(met.applyInPandas(searched(percent), "a long, b long").distinct(), "near-rest-links")
+    pairs = materialise(stars(shared).join(side("b"), "b").join(side("a"), "a").where(likely("a", "b")).select("a", "b"), "near-stars")
+    links = confirmed(docs, pairs, width, percent, "near-stars")
+    held = lambda ids: sets_of(docs, ids, width).join(reps.select("node", "n", "bins", "sketch", "bands"), "node")
+    more = complete(shared, links, reps.select("node", F.col("n").alias("size")), held, judged(percent), "near-rest")
     linked = components(links.union(more), "near-all")
 
     of_set = reps.select("set_key", "node").join(linked, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))

@@ -455,42 +455,111 @@ def test_classes_grow_with_the_vocabulary():
 def plain_walk(text):
     """The embedding's sampled values, character by character."""
     m = op10_edit_fingerprint
-    out = []
-    cut = [[1 if ord(c) == 0 else ord(c) for c in text[i : i + m.SEGMENT]] + [0] * (m.SEGMENT + m.GRAM) for i in range(0, len(text), m.SEGMENT)]
-    for k in range(m.SAMPLES):
-        places = [p for p in m._PLACES[k].tolist() if p < 3 * len(text)]
-        if not places:
-            out.append(0)
-            continue
-        segment, steps = divmod(places[-1], m.STEPS)
-        chars, at = cut[segment], 0
-        for j in range(steps):
-            c = chars[at]
-            at += int(m._MOVE[j][c % (m.CHARS - 1) + 1 if c else 0])
+    chars = [ord(c) + 1 for c in text] + [0] * m.GRAM
+    grams = []
+    for i in range(len(text) + 1):
         h = np.zeros(1, np.uint64)
         for g in range(m.GRAM):
-            h = shingles.mix(h + np.uint64(chars[at + g]))
-        out.append(int(h[0] >> np.uint64(60)))
+            h = shingles.mix(h + np.uint64(chars[i + g] if i + g < len(chars) else 0))
+        grams.append(h)
+    height = [int(g[0]) >> 1 for g in grams[:-1]]
+    columns = [(c - 1) % (m.CHARS - 1) + 1 if c else 0 for c in chars]
+    for i in range(len(text)):
+        if all(height[i] < height[k] for k in range(max(0, i - m.NEAR_CHARS), min(len(text), i + m.NEAR_CHARS + 1)) if k != i):
+            columns[i], level = m.CHARS, 0
+            while level + 1 < len(m.WAITS) and int(shingles.mix(grams[i] + np.uint64(level + 1))[0]) % m.RARER == 0:
+                level += 1
+                columns[i] += 1
+    steps = int(np.ceil(m.PACE * len(text)))
+    at, path = 0, []
+    for j in range(steps):
+        path.append(at)
+        at += int(m._MOVE[j % m.STEPS][columns[at]])
+    out = []
+    for places in m._PLACES:
+        for d in range(m.DIGITS):
+            if not text:
+                out.append(0)
+                continue
+            first = [p for p in places.tolist() if p < steps][-1]
+            i = path[min(first + d * m.APART, steps - 1)]
+            i = max(0, i - m.GRAM) if i == len(text) else i
+            out.append(int(shingles.mix(grams[i] ^ np.uint64(0x9E3779B97F4A7C15))[0]) >> 60)
     return out
 
 
 def test_embedding_by_brute_force():
     rng = random.Random(6)
-    texts = ["", "a", "é\0字", "x" * 256, "".join(rng.choice("abc de") for _ in range(700))]
+    texts = ["", "a", "é\0字", "x" * 256, "".join(rng.choice("abc de") for _ in range(2500)), "ab" * 40]
     assert op10_edit_fingerprint.digits_of(texts).tolist() == [plain_walk(t) for t in texts]
+    assert op10_edit_fingerprint.digits_of(texts[::-1]).tolist() == [plain_walk(t) for t in texts[::-1]]
+
+
+def like(a, b):
+    x, y = op10_edit_fingerprint.digits_of([a, b])
+    return float(op10_edit_fingerprint.likeness(x[None], y[None], np.array([not a]), np.array([not b]))[0])
 
 
-def test_likeness_falls_with_edits():
+def changed_at_random(rng, text, n):
+    chars = list(text)
+    for _ in range(n):
+        kind, at = rng.randrange(3), rng.randrange(len(chars))
+        if kind == 1:
+            chars.insert(at, rng.choice("abcdefgh "))
+        elif kind:
+            del chars[at]
+        else:
+            chars[at] = rng.choice("abcdefgh ")
+    return "".join(chars)
+
+
+def test_likeness_falls_with_edits_and_survives_shifts():
     rng = random.Random(7)
-    text = "".join(rng.choice("abcdefgh ") for _ in range(3000))
-    near = []
-    for n in (0, 3, 30, 300):
-        chars = list(text)
-        for _ in range(n):
-            chars.insert(rng.randrange(len(chars)), "z")
-        a, b = op10_edit_fingerprint.digits_of([text, "".join(chars)])
-        near.append(float(op10_edit_fingerprint.likeness(a[None], b[None], np.array([False]), np.array([False]))[0]))
-    assert near[0] == 1 and near[0] > near[1] > near[2] > near[3]
+    found = {"one percent": [], "inserted": [], "block": [], "other": []}
+    for _ in range(8):
+        text, other = ("".join(rng.choice("abcdefghijklmnop  ") for _ in range(5000)) for _ in range(2))
+        found["one percent"].append(like(text, changed_at_random(rng, text, 50)))
+        found["inserted"].append(like(text, "x" + text))
+        found["block"].append(like(text, other[:16] + text))
+        found["other"].append(like(text, other))
+    mean = {k: sum(v) / len(v) for k, v in found.items()}
+    assert mean["one percent"] > 0.5 and mean["inserted"] > 0.9 and mean["block"] > 0.7 and max(found["other"]) < 0.15
+    assert like(text, text) == 1 and like("", "") == 1 and like("", text) == 0
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_edit_distance_by_brute_force():
+    rng = random.Random(9)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abé") for _ in range(rng.randint(0, 25))) for _ in range(2))
+        d = edit_distance(a, b)
+        assert [op10_edit_fingerprint.within(a, b, k) for k in (d - 1, d, d + 1)] == [False, True, True]
+
+
+def test_near_texts_find_the_pairs_of_brute_force(spark):
+    rng, rows = random.Random(12), []
+    for g in range(40):
+        base = "".join(rng.choice("abcdefghijklmnop  ") for _ in range(rng.randint(100, 400)))
+        for k in range(rng.randint(1, 5)):
+            rows.append((len(rows), changed_at_random(rng, base, rng.randint(0, max(1, len(base) // 80)) if k else 0)))
+    close = {(a, b) for a, x in rows for b, y in rows if a < b and abs(len(x) - len(y)) <= 8 and edit_distance(x, y) <= max(len(x), len(y)) * 2 // 100}
+    docs = spark.createDataFrame(rows + [(1000, ""), (1001, None), (None, rows[0][1])], "doc_id long, text string")
+    found = {r.doc_id: r.near_id for r in op10_edit_fingerprint.near_texts(docs).collect()}
+    same = [(a, b) for a, b in close if found[a] == found[b]]
+    assert len(close) > 20 and len(same) >= 0.9 * len(close)
+    linked = {frozenset(p) for p in close}
+    for i, c in found.items():
+        assert c is None if i is None else c <= i and (c == i or any(i in p for p in linked))
+    assert found[1000] == 1000 and found[1001] == 1001
 
 
 @pytest.mark.parametrize("rows_a_range", [3, 50, 5000])
@@ -505,7 +574,12 @@ def test_next_by_brute_force(spark, rows_a_range):
     for k, (i, text) in enumerate(rows):
         changed = op10_edit_fingerprint.edited(text, rows[(k + 1) % len(rows)][1])
         assert found[i].edited_sha256 == hashlib.sha256(changed.encode()).hexdigest() and found[i].n_chars == len(text)
-        assert found[i].edited_fingerprint == op10_edit_fingerprint.hexadecimal(op10_edit_fingerprint.digits_of([changed]))[0]
+        following = rows[(k + 1) % len(rows)][1]
+        own, other, after = op10_edit_fingerprint.hexadecimal(op10_edit_fingerprint.digits_of([text, changed, following]))
+        assert (found[i].fingerprint, found[i].edited_fingerprint) == (own, other)
+        for value, print_, at in ((found[i].near_edited, other, changed), (found[i].near_next, after, following)):
+            want = max(0.0, (sum(x == y for x, y in zip(own, print_)) / op10_edit_fingerprint.SAMPLES - 1 / 16) / (15 / 16)) if text and at else float(text == at)
+            assert abs(value - want) < 1e-9
 
 
 def test_fingerprint_edges(spark, odd):
@@ -515,5 +589,27 @@ def test_fingerprint_edges(spark, odd):
     assert op10_edit_fingerprint.next_compared(empty(odd)).count() == 0
     alone = op10_edit_fingerprint.next_compared(odd.where("doc_id = 4")).collect()
     assert len(alone) == 1 and alone[0].near_next == 1.0
-    near = {r.doc_id: r.component_id for r in op10_edit_fingerprint.near_texts(odd).collect()}
-    assert near[4] == near[5] == 4 and near[1] == 1 and near[2] == 2
+    near = {r.doc_id: r.near_id for r in op10_edit_fingerprint.near_texts(odd).collect()}
+    assert near[4] == near[5] == 4 and near[1] == 1 and near[2] == 2 and near[None] is None
+    whole = op10_edit_fingerprint.fingerprinted(odd).collect()
+    assert len(whole) == odd.count() and {r.near_id for r in whole if r.doc_id == 5} == {4}
+    assert op10_edit_fingerprint.fingerprinted(empty(odd)).count() == 0
+    hot = spark.createDataFrame([(7, f"text {k % 40}") for k in range(400)] + [(k, f"other {k}") for k in range(8, 60)], "doc_id long, text string")
+    found = op10_edit_fingerprint.next_compared(hot, rows_a_range=20)
+    assert found.count() == 452 and found.where("doc_id = 7").count() == 400
+    assert {r.near_next for r in found.where("doc_id = 7").collect() if r.near_next == 1.0}  # repeats follow one another
+
+
+def test_ids_above_2_53_beside_nulls(spark, odd):
+    big = (1 << 53) + 1
+    docs = spark.createDataFrame([(big, "some text of a few words"), (None, "other text"), (big + 2, "some text of a few words")], "doc_id long, text string").coalesce(1)
+    docs = docs.withColumn("lang", F.lit("en")).withColumn("source", F.lit("s"))
+    net = op04_toxicity.train(["good day"] * 5 + ["two words"] * 5, np.array([0] * 5 + [1] * 5), ["en"] * 10)
+    media = op05_avi.with_media(docs)
+    for name, out in {
+        "2": op02_near_dedup.near_duplicates(docs, 2), "3": op03_bpe.round_trip(docs, BYTES, public_tokenizers.PATTERN), "3b": op03_bpe.decode(op03_bpe.encode(docs, BYTES, public_tokenizers.PATTERN), BYTES, public_tokenizers.PATTERN),
+        "4": op04_toxicity.scored(docs, net), "4b": op04_toxicity.keep_clean(docs, net), "5": op05_avi.media_features(media), "5b": op05_avi.clips(media), "6": op06_token_counts.token_counts(docs, WORDS, 100),
+        "8": op08_mixing.mix(docs), "9": op09_lm_scoring.pseudo_likelihood(docs), "10": op10_edit_fingerprint.fingerprinted(docs), "10b": op10_edit_fingerprint.fingerprints(docs),
+    }.items():
+        assert {r.doc_id for r in out.select("doc_id").collect()} == {big, None, big + 2}, name
+    assert {r.component_id for r in op02_near_dedup.near_duplicates(docs, 2).collect()} == {big, None}
