@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .buckets import Judge, complete, gathered, stars
-from .common import blocks, map_frames, materialise, table, texts
+from .common import BROADCAST_IDS, blocks, map_frames, materialise, table, texts
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -48,8 +48,6 @@ SKETCH_WORDS = SKETCH_BITS // 64
 SIGMAS, SLACK = 6, 0.05
 #: Pairs whose union would have fewer shingles at the least similarity pass the sketch test.
 EXACT_UNION = 100
-#: Ids up to this many are broadcast (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
 
 _RNG = np.random.default_rng(7)
 _XOR = _RNG.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)

@@ -5,6 +5,8 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -339,15 +341,26 @@ def test_url_model_by_brute_force(spark):
 def test_earliest_deadline_keeps_to_the_shares():
     rng = random.Random(5)
     for _ in range(20):
-        quota = op08_mixing.quotas({f"s{k}": rng.random() + 0.01 for k in range(rng.randint(1, 40))}, 500)
-        assert sum(quota.values()) == 500
-        slots = op08_mixing.earliest_deadline(quota)
-        assert sorted(x for s in slots.values() for x in s) == list(range(500))
-        for s, q in quota.items():
-            for k, slot in enumerate(slots[s]):
-                assert k * 500 // q <= slot < -(-(k + 1) * 500 // q)
-            done = np.searchsorted(slots[s], np.arange(501))
-            assert (np.abs(done - np.arange(501) * q / 500) < 1).all()
+        weights = {f"s{k}": rng.random() + 0.01 for k in range(rng.randint(1, 40))}
+        blocks = {s: rng.randint(1, 60) for s in weights}
+        total = sum(map(Fraction, weights.values()))
+        done = dict.fromkeys(weights, 0)
+        for at, (source, block, epoch, slot, release, deadline) in enumerate(op08_mixing.dealt([(s, weights[s], blocks[s]) for s in weights], epochs=10**9)):
+            i, share = done[source], Fraction(weights[source]) / total
+            assert slot == at and (epoch, block) == divmod(i, blocks[source]) and release == i // share <= slot < deadline == -(-(i + 1) // share)
+            done[source] += 1
+            assert all(abs(done[s] - (slot + 1) * Fraction(w) / total) < 1 for s, w in weights.items())
+        assert all(done[s] >= blocks[s] for s in weights)
+
+
+def test_small_weights_and_epochs():
+    sources = [("tiny", 0.0001, 2), ("big", 0.9999, 30), *[(f"z{k}", 1e-9, 1) for k in range(50)]]
+    found = list(op08_mixing.dealt(sources, epochs=3))
+    by = {s: [r for r in found if r[0] == s] for s in ("tiny", "big", "z7")}
+    assert len(by["big"]) == 90 and 2 <= len(by["tiny"]) <= 6 and 1 <= len(by["z7"]) <= 3  # each at least once, at most three times
+    assert all(r[4] <= r[3] < r[5] for r in found) and len({r[3] for r in found}) == len(found)
+    once = list(op08_mixing.dealt(sources, epochs=1))
+    assert sorted((r[0], r[1]) for r in once) == sorted((s, k) for s, _, n in sources for k in range(n))
 
 
 def test_schedule_by_brute_force(spark):
@@ -367,27 +380,28 @@ def test_schedule_by_brute_force(spark):
 def test_mix_keeps_all_and_reaches_the_weights(spark):
     rows = [(k, "x" * 100, "en", "big" if k % 4 else "small", 100) for k in range(4000)]
     docs = spark.createDataFrame(rows, DOCS)
-    out = op08_mixing.mix(docs, {"big": 1.0, "small": 1.0}, block_chars=1000)
+    out = op08_mixing.mix(docs, {"big": 1.0, "small": 1.0}, block_chars=1000, epochs=3)
     assert out.columns == docs.columns
     counts = {r.source: r["count"] for r in out.groupBy("source").count().collect()}
     assert abs(counts["big"] - counts["small"]) <= 20 and out.select("doc_id").distinct().count() == 4000
+    once = [(r.doc_id, r.source) for r in op08_mixing.mix(docs, {"big": 1.0, "small": 1.0}, block_chars=1000).collect()]
+    assert sorted(i for i, _ in once) == list(range(4000))  # each once
+    first = [s for _, s in once[:1000]]
+    assert abs(first.count("big") - first.count("small")) <= 20
     with pytest.raises(ValueError):
-        op08_mixing.quotas({str(k): 1.0 for k in range(2000)})
+        list(op08_mixing.dealt([("a", 0.0, 1)]))
 
 
 def test_many_sources_keep_their_exact_weights(spark):
-    from collections import Counter
-    from fractions import Fraction
-
     sources = [("big", 500.0, 300), *[(f"s{k}", 1.0, 1) for k in range(1000)]]
     share, done = {s: Fraction(w) / 1500 for s, w, _ in sources}, Counter()
-    for source, block, epoch, slot, release, deadline in op08_mixing.dealt(sources):
+    for source, block, epoch, slot, release, deadline in op08_mixing.dealt(sources, epochs=10**9):
         i = epoch * dict((s, n) for s, _, n in sources)[source] + block
         assert release == i // share[source] <= slot < deadline == -(-(i + 1) // share[source]) and i == done[source]
         done[source] += 1
         assert all(abs(done[s] - (slot + 1) * share[s]) < 1 for s in ("big", "s0", "s999", source))
     rows = [(k, "x" * 100, "en", f"s{k}" if k < 1100 else "big", 100) for k in range(1400)]
-    found = op08_mixing.schedule(spark.createDataFrame(rows, DOCS), {f"s{k}": 1.0 for k in range(1100)} | {"big": 550.0}, block_chars=100).collect()
+    found = op08_mixing.schedule(spark.createDataFrame(rows, DOCS), {f"s{k}": 1.0 for k in range(1100)} | {"big": 550.0}, block_chars=100, epochs=10**9).collect()
     assert len(found) == 1400 and all(r.release <= r.slot < r.deadline and r.epochs >= 1 for r in found)
     big = [r for r in found if r.source == "big"]
     assert all((r.release, r.deadline) == (3 * r.block, 3 * (r.block + 1)) for r in big)
@@ -592,7 +606,7 @@ def test_fingerprint_edges(spark, odd):
     near = {r.doc_id: r.near_id for r in op10_edit_fingerprint.near_texts(odd).collect()}
     assert near[4] == near[5] == 4 and near[1] == 1 and near[2] == 2 and near[None] is None
     whole = op10_edit_fingerprint.fingerprinted(odd).collect()
-    assert len(whole) == odd.count() and {r.near_id for r in whole if r.doc_id == 5} == {4}
+    assert len(whole) == odd.count() and {4, 5} == {x for r in whole if r.doc_id in (4, 5) for x in (r.doc_id, r.near_leader) if x}
     assert op10_edit_fingerprint.fingerprinted(empty(odd)).count() == 0
     hot = spark.createDataFrame([(7, f"text {k % 40}") for k in range(400)] + [(k, f"other {k}") for k in range(8, 60)], "doc_id long, text string")
     found = op10_edit_fingerprint.next_compared(hot, rows_a_range=20)

@@ -35,6 +35,7 @@ def test_stages(spark, tmp_path):
     alive = [(k, t) for k, t, *_ in rows if k in kept["toxicity"]]
     assert kept["near_dedup"] == {k for k, (_, c) in brute_components(alive, 5, 80).items() if c == k}
     assert kept["mixing"] == kept["near_dedup"] == kept["bpe"]
+    assert docs.count() == len(kept["bpe"])  # mixing brings no duplicates back
     codec = op03_bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     by = {k: t or "" for k, t, *_ in rows}
     for r in docs.collect():
