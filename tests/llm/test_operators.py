@@ -490,7 +490,7 @@ def plain_walk(text):
         path.append(at)
         at += int(m._MOVE[j % m.STEPS][columns[at]])
     out = []
-    for places in m._PLACES:
+    for g, places in enumerate(m._PLACES):
         for d in range(m.DIGITS):
             if not text:
                 out.append(0)
@@ -498,7 +498,7 @@ def plain_walk(text):
             first = [p for p in places.tolist() if p < steps][-1]
             i = path[min(first + d * m.APART, steps - 1)]
             i = max(0, i - m.GRAM) if i == len(text) else i
-            out.append(int(shingles.mix(grams[i] ^ np.uint64(0x9E3779B97F4A7C15))[0]) >> 60)
+            out.append(int(shingles.mix(grams[i] ^ m._DRAWS[g])[0]) >> 60)
     return out
 
 
@@ -537,7 +537,7 @@ def test_likeness_falls_with_edits_and_survives_shifts():
         found["block"].append(like(text, other[:16] + text))
         found["other"].append(like(text, other))
     mean = {k: sum(v) / len(v) for k, v in found.items()}
-    assert mean["one percent"] > 0.5 and mean["inserted"] > 0.9 and mean["block"] > 0.7 and max(found["other"]) < 0.15
+    assert mean["one percent"] > 0.5 and mean["inserted"] > 0.9 and mean["block"] > 0.7 and mean["other"] < 0.1
     assert like(text, text) == 1 and like("", "") == 1 and like("", text) == 0
 
 
