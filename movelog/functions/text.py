@@ -19,8 +19,8 @@ def id_from_url(url: Column) -> Column:
 
 
 def parse_elo(c: Column) -> Column:
-    """Digits to an integer; anything else, null included, to 0."""
-    return F.coalesce(F.when(F.trim(c).rlike("^[0-9]+$"), _cast(F.trim(c), "int")), F.lit(0))
+    """Digits alone to an integer; anything else, blanks around them and null included, to 0."""
+    return F.coalesce(F.when(c.rlike(r"\A[0-9]+\z"), _cast(c, "int")), F.lit(0))
 
 
 def clock_seconds(c: Column) -> Column:

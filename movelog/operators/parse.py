@@ -12,6 +12,8 @@ TAGS = ("Event", "Site", "Date", "White", "Black", "WhiteElo", "BlackElo", "Time
 KEYWORD = "blitz"
 RESULT = r"\s*(?:0-1|1-0|1/2-1/2)\s*$"
 MOVE = r"(\d+)(?:\.\.\.)?\.?\s*((?:(?:[KQRBN]?[a-h]?[1-8]?x?[a-h][1-8])(?:=[QRBN])?|(?:O-O(?:-O)?|0-0(?:-0)?))(?:\+\+?|\#)?)(?:[!?]{1,2})?(?:\s*\{([^}]+)\})?"
+SECTION = r"(?s)\n\n(.+?)\n\n\["
+OPEN_SECTION = r"(?s)\n\n(.+)"
 EVAL = r"\[%eval\s+([^\]]+)\]"
 CLOCK = r"\[%clk\s+([^\]]+)\]"
 
@@ -31,21 +33,22 @@ def filter_event(games: DataFrame, keyword: str = KEYWORD) -> DataFrame:
 
 
 def move_section(game: Column) -> Column:
-    """What follows the first blank line, without the result at its end."""
-    return F.regexp_replace(F.regexp_extract(game, r"(?s)\n\n(.+)", 1), RESULT, "")
+    """What follows the first blank line, up to a blank line before another tag, without the result at its end."""
+    bounded, open_end = F.regexp_extract(game, SECTION, 1), F.regexp_extract(game, OPEN_SECTION, 1)
+    return F.regexp_replace(F.when(bounded != "", bounded).otherwise(open_end), RESULT, "")
 
 
 def explode_moves(games: DataFrame, section: str = "section") -> DataFrame:
     """One row per move: half_move is its place in the text, whatever its number says (move_number)."""
-    found = [F.regexp_extract_all(section, F.lit(MOVE), F.lit(k)) for k in (1, 2, 3)]
-    zipped = F.arrays_zip(*[f.alias(n) for f, n in zip(found, ("number", "move", "note"), strict=True)])
-    rows = games.select(*[c for c in games.columns if c != section], F.posexplode(zipped).alias("place", "m"))
-    note = F.col("m")["note"]
+    # One pass over the section; the groups are then taken out of each short match.
+    rows = games.select(*[c for c in games.columns if c != section], F.posexplode(F.regexp_extract_all(section, F.lit(MOVE), F.lit(0))).alias("place", "m"))
+    part = lambda k: F.regexp_extract("m", MOVE, k)
+    note = part(3)
     return rows.select(
         *[c for c in games.columns if c != section],
         (F.col("place") + 1).alias("half_move"),
-        F.col("m")["number"].cast("int").alias("move_number"),
-        F.col("m")["move"].alias("move"),
+        part(1).cast("int").alias("move_number"),
+        part(2).alias("move"),
         F.nullif(F.trim(F.regexp_extract(note, EVAL, 1)), F.lit("")).alias("eval_text"),
         F.nullif(F.trim(F.regexp_extract(note, CLOCK, 1)), F.lit("")).alias("clock_text"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import increment_seconds, normalize_color
-from .checks import check_min_segment, check_unique, missing_references, strict
+from .checks import check_allowed, check_min_segment, check_nulls, check_numeric, check_unique, missing_references, strict
 
 
 def per_game_cap(player_games: DataFrame, max_half_move: int) -> DataFrame:
@@ -34,12 +34,28 @@ def join_one_to_many(left: DataFrame, right: DataFrame, key: str, left_key: list
     return left.join(right, key)
 
 
+def input_checks(player_games: DataFrame, moves: DataFrame) -> dict[str, DataFrame]:
+    """What is wrong with the two inputs, by kind of fault: colours, keys, numbers, nulls and time controls."""
+    colors = player_games.select(F.lower("player_color").alias("player_color"), "game_id", "time_control")
+    return {
+        "colours": check_allowed(colors, "player_color", ["white", "black"]),
+        "a game with two rows of a colour": check_unique(colors, ["game_id", "player_color"]),
+        "numbers of player games": check_numeric(player_games, ["plies_both_gt_thr", "player_elo", "opponent_elo"]),
+        "numbers of moves": check_numeric(moves, ["half_move", "clock", "clock_delta"]),
+        "nulls in moves": check_nulls(moves, ["game_id", "half_move", "fen_before", "fen_after", "move_uci"]),
+        "time controls without an increment": colors.where(increment_seconds(F.col("time_control")).isNull()).select("game_id", "time_control"),
+    }
+
+
 def build_player_moves(player_games: DataFrame, moves: DataFrame, drop_first: int, max_half_move: int, min_segment: int, check: bool = True) -> DataFrame:
     """One row per player, game and half-move: flags, clock changes and thinking times.
 
-    moves carries move_uci, fen_before, fen_after and clock_delta. With `check`, unknown games, doubled
-    keys and games with too few used rows raise; without it they pass.
+    moves carries move_uci, fen_before, fen_after and clock_delta. With `check`, what `input_checks`
+    finds, unknown games, doubled keys and games with too few used rows raise; without it they pass.
     """
+    if check:
+        for what, violations in input_checks(player_games, moves).items():
+            strict(violations, what)
     games = player_games.withColumn("player_color", normalize_color(F.col("player_color")))
     own = games.select("player", "game_id", F.col("rating_bin"), "split_by_player", "split_by_games", "player_color", "player_elo", "opponent_elo", "time_control")
     each = moves.select("game_id", "half_move", "move", "move_uci", "fen_before", "fen_after", "clock", "clock_delta")

@@ -41,10 +41,13 @@ def prefixes(moves: DataFrame, columns: dict[str, str], opening: int, keys: tupl
 
     Columns in `current` include the row itself. One array per game is built, and each row of the
     window takes its slice, so the bytes that are shuffled grow with the game, not with its square.
+    Only the places of the window are exploded.
     """
     rest = [c for c in moves.columns if c not in keys]
     rows = moves.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("half_move", *[c for c in rest if c != "half_move"]))).alias("__rows"))
-    each = rows.select(*keys, "__rows", F.posexplode("__rows").alias("__place", "__row")).where(in_eval_window(F.col("__place"), F.col("__row.player_color"), opening))
+    n = F.size("__rows")
+    places = F.filter(F.sequence(F.lit(0), n - 1), lambda p: in_eval_window(p, F.get("__rows", p)["player_color"], opening))
+    each = rows.where(n > 0).select(*keys, "__rows", F.explode(places).alias("__place")).withColumn("__row", F.get("__rows", F.col("__place")))
 
     def before(c: str, name: str) -> Column:
         return F.transform(F.slice("__rows", 1, F.col("__place") + (1 if c in current else 0)), lambda r: r[c]).alias(name)
@@ -58,27 +61,30 @@ def prefix_with_candidate(rows: DataFrame, prefix: str, candidate: str, name: st
     return rows.withColumn(name, F.when(F.col(candidate).isNotNull(), F.concat(F.col(prefix), F.array(candidate))))
 
 
-def ordered_fold(df: DataFrame, keys: list[str], order: str, init: Any, step: Callable[[Any, dict], Any], state_type: str = "string", max_rows: int = 100_000) -> DataFrame:
+def ordered_fold(df: DataFrame, keys: list[str], order: str, init: Any, step: Callable[[Any, dict], Any], state_type: str = "string") -> DataFrame:
     """All columns, and the state before and after each row; `step(state, row)` gives the next state.
 
-    A group is one game and must fit a task; more than max_rows rows raise. Where the step can be
-    said as a column, `sql_fold` does the same without Python.
+    Groups are streams: rows come sorted by keys and order, and the state is carried from one batch
+    to the next, so that no group is held whole. Where the step can be said as a column, `sql_fold` does
+    the same without Python.
     """
     columns = df.columns
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > max_rows:
-            raise ValueError(f"a group has {len(rows)} rows")
-        rows = rows.sort_values(order, kind="stable")
-        state, before, after = init, [], []
-        for row in rows.to_dict("records"):
-            before.append(state)
-            state = step(state, row)
-            after.append(state)
-        return rows.assign(state_before=before, state_after=after)[[*columns, "state_before", "state_after"]]
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, init
+        for frame in frames:
+            before, after = [], []
+            for row in frame.astype(object).where(frame.notna(), None).to_dict("records"):
+                if (key := [row[k] for k in keys]) != now:
+                    now, state = key, init
+                before.append(state)
+                state = step(state, row)
+                after.append(state)
+            yield frame.assign(state_before=before, state_after=after)[[*columns, "state_before", "state_after"]]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.groupBy(*keys).applyInPandas(fold, f"{schema}, state_before {state_type}, state_after {state_type}")
+    ordered = df.repartition(*keys).sortWithinPartitions(*keys, F.col(order).asc_nulls_last())
+    return ordered.mapInPandas(fold, f"{schema}, state_before {state_type}, state_after {state_type}")
 
 
 def sql_fold(df: DataFrame, keys: list[str], order: str, value: str, init: Column, step: Callable[[Column, Column], Column]) -> DataFrame:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.games import binned, eligible, game_split_any, games_meta, perspectives, player_stats, selected_games, truncate_at_cutoff
 from ..operators.sampling import Selection, attach_splits, preselect_players, sample_games, select_players, split_by_hash
+from ..sources.shared import kept
 
+# The columns of the dataset's files, in their order.
 GAME_OUTPUT = ("split_by_player", "split_by_games", "game_id", "date", "white", "black", "white_elo", "black_elo", "time_control", "termination", "result", "n_plies", "plies_both_gt_thr")
 PLAYER_GAME_OUTPUT = ("split_by_player", "split_by_games", "rating_bin", "player", "opponent", "player_color", "game_id", "player_elo", "opponent_elo", "avg_elo", "date", "time_control", "termination", "result", "n_plies", "plies_both_gt_thr")
 
@@ -29,7 +32,7 @@ SMALL = DatasetParams(selection=Selection(preselect=8, candidates_factor=2, fina
 
 @dataclass
 class Dataset:
-    """The steps of a build, each a lazy DataFrame."""
+    """The steps of a build. The eligible and the sampled games, which several steps read, are written once."""
 
     moves: DataFrame
     params: DatasetParams = DatasetParams()
@@ -42,10 +45,32 @@ class Dataset:
         self.stats = player_stats(self.player_games, p.min_games)
         self.binned = binned(self.stats, *p.bins)
         self.preselected = preselect_players(self.binned, s.preselect)
-        self.eligible = eligible(self.player_games, self.preselected, p.min_plies, p.same_bin, p.bins)
-        self.final, self.pool = select_players(self.eligible, s)
-        self.game_split = split_by_hash(selected_games(self.pool), "game_id", s.test_game_share, s.game_salt)
-        self.sampled = sample_games(attach_splits(self.pool, self.final, self.game_split), s)
+
+    @cached_property
+    def eligible(self) -> DataFrame:
+        p = self.params
+        return kept(eligible(self.player_games, self.preselected, p.min_plies, p.same_bin, p.bins), "eligible")
+
+    @cached_property
+    def selected(self) -> tuple[DataFrame, DataFrame]:
+        return select_players(self.eligible, self.params.selection)
+
+    @property
+    def final(self) -> DataFrame:
+        return self.selected[0]
+
+    @property
+    def pool(self) -> DataFrame:
+        return self.selected[1]
+
+    @cached_property
+    def game_split(self) -> DataFrame:
+        s = self.params.selection
+        return split_by_hash(selected_games(self.pool), "game_id", s.test_game_share, s.game_salt)
+
+    @cached_property
+    def sampled(self) -> DataFrame:
+        return kept(sample_games(attach_splits(self.pool, self.final, self.game_split), self.params.selection), "sampled")
 
     def players(self) -> DataFrame:
         return self.final.select(F.col("avg_bin").alias("rating_bin"), "player", "split_by_player", "avg_elo", F.col("n_games").alias("n_games_month"), F.col("n_eligible").alias("n_eligible_games"))

@@ -80,7 +80,7 @@ def frame_games(spark: SparkSession, sf_dir: str) -> DataFrame:
     return games.select(P.tag(F.col("game"), "Site").alias("site"), F.length("game").alias("n_chars"), F.md5("game").alias("game_md5"))
 
 
-@query()
+@query("SELECT game_id, CAST(date AS STRING) AS date, white, black, white_elo, black_elo, time_control, termination, result, half_move, move, clock FROM moves")
 def read_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared.shared_folder(spark, "moves-csv")
     tables.write_moves(X.moves(spark, sf_dir), path)
@@ -338,6 +338,20 @@ def dataset_player_games(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build(spark, sf_dir).player_games_out()
 
 
+COUNTED = ("players", "games", "moves", "player_games")
+
+
+@query("""SELECT 'players' AS table_name, count(*) AS n FROM final UNION ALL SELECT 'games', count(DISTINCT game_id) FROM sampled UNION ALL SELECT 'player_games', count(*) FROM sampled
+UNION ALL SELECT 'moves', count(*) FROM moves m JOIN games_meta g USING (game_id) WHERE m.game_id IN (SELECT game_id FROM sampled) AND m.half_move <= g.plies_both_gt_thr""")
+def dataset_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One build writes all four tables."""
+    path = shared.shared_folder(spark, "dataset")
+    found = build(spark, sf_dir).tables()
+    tables.write_dataset(found, path)
+    counts = [spark.read.schema(found[name].schema).parquet(f"{path}/{name}").agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n")) for name in COUNTED]
+    return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
+
+
 # ------------------------------------------------------------ sequences and player moves
 
 

@@ -7,13 +7,19 @@ from pyspark.sql import functions as F
 
 #: What opens a game, and so what separates two games.
 OPENING = '[Event "'
-SEPARATOR = "\n\n" + OPENING
+SEPARATOR = "\n" + OPENING
+#: How the rest of an event tag begins: with its value and the quote after it, and not as a line of its own.
+REST = r'^(?:[^\[%;"\r\n][^"\r\n]*)?"'
 
 
 def framed(value: Column) -> Column:
-    """A record with its opening put back, which the separator has taken from all but the first."""
-    text = F.regexp_replace(value, r"^\s+|\s+$", "")
-    return F.when(text.startswith(OPENING), text).otherwise(F.concat(F.lit(OPENING), text))
+    """A record as a game with its opening put back, which the separator has taken; null for text before the first game.
+
+    A game begins at every line that begins with the opening, with or without a blank line before it.
+    Line ends become single line feeds.
+    """
+    text = F.rtrim(F.regexp_replace(value, "\r\n?", "\n"), F.lit(" \t\n"))
+    return F.when(text.startswith(OPENING), text).when(text.rlike(REST), F.concat(F.lit(OPENING), text))
 
 
 def read_games(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
@@ -21,7 +27,7 @@ def read_games(spark: SparkSession, path: str, partitions: int | None = None) ->
 
     A compressed archive is read by one task, so its games are dealt out again before any parsing.
     """
-    games = spark.read.option("lineSep", SEPARATOR).text(path).where(F.trim("value") != "").select(framed(F.col("value")).alias("game"))
+    games = spark.read.option("lineSep", SEPARATOR).text(path).select(framed(F.col("value")).alias("game")).where("game IS NOT NULL")
     return games.repartition(partitions) if partitions else games
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Columns of the raw move table, by their names in files.
+# Columns of the raw move table, by their names in files.
 RAW_MOVES = "GameId string, Date string, White string, Black string, WhiteElo int, BlackElo int, TimeControl string, Termination string, GameResult string, HalfMove int, Move string, Eval double, Clock int"
 #: File name -> name in this package.
 RAW_NAMES = {"GameId": "game_id", "Date": "date", "White": "white", "Black": "black", "WhiteElo": "white_elo", "BlackElo": "black_elo", "TimeControl": "time_control", "Termination": "termination", "GameResult": "result", "HalfMove": "half_move", "Move": "move", "Eval": "eval", "Clock": "clock"}

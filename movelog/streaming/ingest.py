@@ -12,7 +12,7 @@ from ..sources.archive import SEPARATOR, framed
 
 def stream_games(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of games, one row each, from the text files of a folder."""
-    return spark.readStream.option("lineSep", SEPARATOR).text(folder).where(F.trim("value") != "").select(framed(F.col("value")).alias("game"))
+    return spark.readStream.option("lineSep", SEPARATOR).text(folder).select(framed(F.col("value")).alias("game")).where("game IS NOT NULL")
 
 
 def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, keyword: str = "blitz") -> StreamingQuery:

@@ -32,7 +32,7 @@ def test_eval(spark):
 
 
 def test_elo(spark):
-    assert values(spark, T.parse_elo, ["2186", "?", "", None, "99999999999999"]) == [2186, 0, 0, 0, 0]
+    assert values(spark, T.parse_elo, ["2186", "?", "", None, "99999999999999", " 1500", "1500\n"]) == [2186, 0, 0, 0, 0, 0, 0]
 
 
 def test_id(spark):
@@ -148,6 +148,48 @@ def test_archive_round_trip(spark):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
+def test_odd_archives(spark, tmp_path):
+    text = 'a comment\n[Site "before any game"]\n[Event "Blitz A"]\n[Site "x/1"]\n\n1. e4 1-0\n[Event "Blitz B"]\r\n[Site "x/2"]\r\n\r\n1. d4 { [Event "inside"] } d5\r\n\r\n\r\n[Event ""]\n\n1. c4\n'
+    (tmp_path / "a.pgn").write_text(text, newline="")
+    (tmp_path / "b.pgn").write_text('[Event " C"]\n[Site "x/3"]\n\n1. f4\n')
+    (tmp_path / "c.pgn").write_text("no game\n")
+    want = ['[Event " C"]\n[Site "x/3"]\n\n1. f4', '[Event ""]\n\n1. c4', '[Event "Blitz A"]\n[Site "x/1"]\n\n1. e4 1-0', '[Event "Blitz B"]\n[Site "x/2"]\n\n1. d4 { [Event "inside"] } d5']
+    assert sorted(r.game for r in archive.read_games(spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_move_section_ends_before_another_tag(spark):
+    texts = ["t\n\n1. e4 1-0", "t\n\n1. e4\n\n[Event x", "t\n\n1. e4\n\n2. d4 0-1\n", "no blank line"]
+    assert values(spark, P.move_section, texts) == ["1. e4", "1. e4", "1. e4\n\n2. d4", ""]
+
+
+def test_fold_streams_over_batches(spark):
+    rows = [(g, k, f"m{k}") for g in (None, "a", "b") for k in range(1, 41)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = Q.ordered_fold(spark.createDataFrame(rows, "g string, k long, m string"), ["g"], "k", 0, lambda s, r: s + r["k"], "long").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == 120 and all(r.state_after == r.k * (r.k + 1) // 2 and r.state_before == r.state_after - r.k for r in found)
+
+
+def test_input_checks_of_player_moves(spark):
+    games = spark.createDataFrame([("p", "g", "White", 3, 1500, 1500, "180+2")], "player string, game_id string, player_color string, plies_both_gt_thr int, player_elo int, opponent_elo int, time_control string")
+    moves = spark.createDataFrame([("g", 1, "e4", "u", "a", "b", 1.0, 0.0)], "game_id string, half_move int, move string, move_uci string, fen_before string, fen_after string, clock double, clock_delta double")
+    assert all(v.count() == 0 for v in PM.input_checks(games, moves).values())
+    wrong = {
+        "colours": (games.withColumn("player_color", F.lit("green")), moves),
+        "a game with two rows of a colour": (games.union(games.withColumn("player", F.lit("q"))), moves),
+        "numbers of player games": (games.withColumn("player_elo", F.lit("x")), moves),
+        "numbers of moves": (games, moves.withColumn("clock", F.lit("x"))),
+        "nulls in moves": (games, moves.withColumn("fen_after", F.lit(None).cast("string"))),
+        "time controls without an increment": (games.withColumn("time_control", F.lit("180")), moves),
+    }
+    for what, (g, m) in wrong.items():
+        assert [k for k, v in PM.input_checks(g, m).items() if v.count()] == [what]
+        with pytest.raises(V.CheckFailed, match=what):
+            PM.build_player_moves(g, m, 1, 5, 2)
+
+
 def test_dataset_properties(spark):
     data = Dataset(fixtures.moves(spark, "/root/testdata/sf0.001"), SMALL)
     rows, players = data.player_games_out().collect(), data.players().collect()
