@@ -250,6 +250,39 @@ def test_toxicity_batches_do_not_change_scores():
     assert np.allclose(together, single)
 
 
+def test_scores_by_a_plain_convolution():
+    rng = random.Random(13)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gammas", "deltaic", "vile", "x"]) for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    labels = np.array([int("vile" in t) for t in texts])
+    net = op04_toxicity.train(texts, labels, ["en"] * 60)
+    m = op04_toxicity
+    found, verdicts = m.Scorer(net)(texts, ["en"] * 60)
+    for text, score, verdict in zip(texts, found, verdicts):
+        vectors = [net.emb[m.hashed(w)].mean(axis=0) for w in re.findall(r"\w+", text)] + [np.zeros(m.DIM)] * m.WIDTHS[-1]
+        pooled = []
+        for n, width in enumerate(m.WIDTHS):
+            first = sum(m.WIDTHS[:n])
+            windows = [sum(vectors[i + k] @ net.kernels[:, first + k] for k in range(width)) for i in range(len(vectors) - m.WIDTHS[-1] + 1)]
+            pooled.append(np.max(windows, axis=0))
+        logit = np.maximum(np.concatenate(pooled) + net.bias, 0) @ net.out + net.shift
+        assert abs(score - 1 / (1 + np.exp(-(logit - net.common + np.log(0.3 / 0.7))))) < 1e-4
+        assert verdict == (logit >= net.thresholds["en"]) or abs(logit - net.thresholds["en"]) < 1e-4
+
+
+def test_every_language_with_both_classes_has_a_threshold():
+    texts = [f"{w} day" for w in ("good", "vile") for _ in range(150)]
+    net = op04_toxicity.train(texts, np.array([0] * 150 + [1] * 150), ["en", "de", "fr"] * 100)
+    assert set(net.thresholds) == {"en", "de", "fr"}
+
+
+def test_toxicity_collects_each_id_once(spark):
+    docs = spark.createDataFrame([(k % 2, f"text {k}", "en") for k in range(100)] + [(9, "y" * 50, "en"), (11, "z", None)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in (0, 1, 9, 11)] * 3, "doc_id long, quality int, toxic int")
+    rows = op04_toxicity.labelled(docs, labels)
+    kept = [k for k in (0, 1, 9, 11) if zlib.crc32(str(k).encode()) % 4 != 2]
+    assert rows.doc_id.tolist() == kept and len(op04_toxicity.labelled(docs, labels, max_rows=1)) <= 2
+
+
 def test_toxicity_query_and_edges(spark, odd):
     rows = op04_toxicity.op4_toxicity(spark, SF).collect()
     assert len(rows) == 200
@@ -335,6 +368,25 @@ def test_url_model_by_brute_force(spark):
     assert rows[0]["__probability"][1] > 0.5 > rows[1]["__probability"][1]
 
 
+def test_url_model_on_held_out_urls(spark):
+    held = [(k, u, y) for k, (u, y, out) in enumerate(op07_url_filter.labelled_urls()) if out]
+    assert len(op07_url_filter.labelled_urls()) == 600 and len(held) > 100
+    pages = spark.createDataFrame([(k, u) for k, u, _ in held], "page_id long, url string")
+    score = {r.page_id: r.score for r in op07_url_filter.judge_urls(pages, op07_url_filter.fit(spark)).collect()}
+    hits, called, real = (sum(1 for k, _, y in held if f(score[k] >= 0.5, y)) for f in (lambda s, y: s and y, lambda s, y: s, lambda s, y: y))
+    assert hits / called > 0.9 and hits / real > 0.9
+
+
+def test_url_edges(spark):
+    model = op07_url_filter.fit(spark)
+    rows = [(1, "http://casino-x.test/" + "a" * 200_000), (1, "http://library.test/"), (1, "http://library.test/"), (None, "http://library.test/"), (2, None), (3, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("score", F.lit("s")).withColumn("verdict", F.lit(1))
+    found = op07_url_filter.judge_urls(pages, model).collect()
+    assert len(found) == 6 and {r.verdict for r in found if r.page_id in (2, 3)} == {"allow"} and len({r.score for r in found if r.host == "library.test"}) == 1
+    assert max(len(r.path) for r in found) == 200_001
+    assert op07_url_filter.judge_urls(pages.limit(0), model).count() == 0
+
+
 # ---------------------------------------------------------------- op8
 
 
