@@ -524,11 +524,9 @@ def plain_walk(text):
     chars = [ord(c) + 1 for c in text] + [0] * m.GRAM
     grams = []
     for i in range(len(text) + 1):
-        h = np.zeros(1, np.uint64)
-        for g in range(m.GRAM):
-            h = shingles.mix(h + np.uint64(chars[i + g] if i + g < len(chars) else 0))
-        grams.append(h)
-    height = [int(g[0]) >> 1 for g in grams[:-1]]
+        total = sum(int(m._WEIGHTS[g]) * (chars[i + g] if i + g < len(chars) else 0) for g in range(m.GRAM)) % (1 << 64)
+        grams.append(shingles.mix(np.array([total], np.uint64)))
+    height = [int(g[0]) >> 33 for g in grams[:-1]]
     columns = [(c - 1) % (m.CHARS - 1) + 1 if c else 0 for c in chars]
     for i in range(len(text)):
         if all(height[i] < height[k] for k in range(max(0, i - m.NEAR_CHARS), min(len(text), i + m.NEAR_CHARS + 1)) if k != i):
@@ -561,6 +559,14 @@ def test_embedding_by_brute_force():
     assert op10_edit_fingerprint.digits_of(texts[::-1]).tolist() == [plain_walk(t) for t in texts[::-1]]
 
 
+def test_changed_texts_share_the_walk_of_their_start():
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefgh  ", k=n)) for n in (0, 1, 50, 400, 900, 3000, 9000, 2, 700, 5000)] + ["ab" * 3000, "a" * 4000, ""]
+    changed = [op10_edit_fingerprint.edited(a, b) for a, b in zip(texts, texts[1:])]
+    own, other = op10_edit_fingerprint.digits_of_edited(texts, changed, [len(t) - len(t) // 4 for t in texts[:-1]])
+    assert (own == op10_edit_fingerprint.digits_of(texts)).all() and (other == op10_edit_fingerprint.digits_of(changed)).all()
+
+
 def like(a, b):
     x, y = op10_edit_fingerprint.digits_of([a, b])
     return float(op10_edit_fingerprint.likeness(x[None], y[None], np.array([not a]), np.array([not b]))[0])
