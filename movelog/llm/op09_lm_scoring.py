@@ -22,8 +22,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, materialise, table, texts
+from .common import blocks, map_frames, materialise, table, texts
 
 #: The least numbers of classes; `class_sizes` has more for larger vocabularies.
 TOP, ENDINGS = 95, 32
@@ -43,7 +44,7 @@ KEPT_WORDS = 200_000
 #: Words whose counts are sent to the tasks that score; all others are joined.
 COMMON = 100_000
 #: Windows that a task adds up at one time.
-KEPT_WINDOWS = 4_000_000
+KEPT_WINDOWS = 2_000_000
 #: Tasks of a round of training, at most.
 TRAINERS = 24
 _WORDS = re.compile(r"\w+|[^\w\s]").findall
@@ -89,15 +90,19 @@ class Classes(dict):
 
     def windows(self, batch: list[list[str]]) -> np.ndarray:
         """The code of every (left, word, right) of all texts' words in a row."""
-        rows = [np.zeros(1, np.int64)]
-        for words in batch:
-            rows += [np.fromiter(map(self.__getitem__, words), np.int64, len(words)), np.zeros(1, np.int64)]
-        flat = np.concatenate(rows)
-        # A text's words stand between two zeros; the zeros themselves are not predicted.
-        inner = np.ones(len(flat), bool)
-        inner[np.cumsum([0] + [len(words) + 1 for words in batch])] = False
-        at = np.flatnonzero(inner)
-        return (flat[at - 1] * self.size + flat[at]) * self.size + flat[at + 1]
+        counts = np.array([len(words) for words in batch], np.int64)
+        return window_codes(np.fromiter((k for words in batch for k in map(self.__getitem__, words)), np.int64, int(counts.sum())), counts, self.size)
+
+
+def window_codes(classes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """The same from the classes of all words in a row, and how many words each text has.
+
+    A text's words stand between two zeros; the zeros themselves are not predicted.
+    """
+    at = np.arange(len(classes)) + np.repeat(np.arange(1, len(counts) + 1), counts)
+    flat = np.zeros(len(classes) + len(counts) + 1, np.int64)
+    flat[at] = classes
+    return (flat[at - 1] * size + flat[at]) * size + flat[at + 1]
 
 
 def words_of(batch: list[str]) -> list[list[str]]:
@@ -224,6 +229,44 @@ def train_in_tasks(windows: DataFrame, size: int, rounds: int = TASK_ROUNDS) ->
     return fitted(of_class, gradients, rounds if of_class.any() else 0, TASK_STEP), of_class
 
 
+class ScoredWords:
+    """A task's distinct words numbered in order of appearance, with the class and the share of each."""
+
+    def __init__(self, classes: Classes, known: dict[str, int], of_class: np.ndarray):
+        self.classes, self.known, self.log_class = classes, known, of_class
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: defaultdict[str, int] = defaultdict()
+        self.index.default_factory = self.index.__len__
+        self.names: list[str] = []
+        self.of_class, self.share, self.is_rare = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool)
+
+    def number(self, batch: list[list[str]], n: int) -> np.ndarray:
+        if len(self.index) > KEPT_WORDS:
+            self.forget()
+        ids = np.fromiter((k for words in batch for k in map(self.index.__getitem__, words)), np.int64, n)
+        new = list(islice(self.index, len(self.names), None))
+        if new:
+            classes = np.fromiter(map(self.classes.__getitem__, new), np.int64, len(new))
+            counts = np.fromiter((self.known.get(w, 0) for w in new), np.float64, len(new))
+            self.names += new
+            self.of_class = np.concatenate([self.of_class, classes])
+            self.share = np.concatenate([self.share, np.log(np.maximum(counts, 1)) - self.log_class[classes]])
+            self.is_rare = np.concatenate([self.is_rare, counts == 0])
+        return ids
+
+    def rare(self, ids: np.ndarray, counts: np.ndarray) -> list[list[dict]]:
+        """For each text its words that are not common, and how often each occurs in it."""
+        out: list[list[dict]] = [[] for _ in range(len(counts))]
+        at = np.flatnonzero(self.is_rare[ids])
+        text = np.repeat(np.arange(len(counts)), counts)[at]
+        pairs, times = np.unique(text * len(self.names) + ids[at], return_counts=True)
+        for pair, k in zip(pairs.tolist(), times.tolist(), strict=True):
+            out[pair // len(self.names)].append({"word": self.names[pair % len(self.names)], "k": k})
+        return out
+
+
 def pseudo_likelihood(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON) -> DataFrame:
     """doc_id, n_words, log_likelihood, mean_log_likelihood for every whole text."""
     docs = texts(df, id_col, text_col)
@@ -242,25 +285,22 @@ def pseudo_likelihood(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p, norms, of_class, known = sent.value
-        classes, out = Classes(top, endings), np.ascontiguousarray(p["out"].T)
-        shares: dict[str, float] = {w: np.log(n) - of_class[classes[w]] for w, n in known.items()}
+        out = np.ascontiguousarray(p["out"].T)
         row = TaskContext.get().partitionId() << 40
+        words = ScoredWords(Classes(top, endings), known, of_class)
         for frame in blocks(frames):
             batch = words_of(frame.text.tolist())
-            counts = np.array([len(words) for words in batch], np.int64)
-            codes = classes.windows(batch)
+            counts = np.array([len(x) for x in batch], np.int64)
+            ids = words.number(batch, int(counts.sum()))
+            codes = window_codes(words.of_class[ids], counts, size)
             left, word, right = codes // size**2, codes // size % size, codes % size
             logp = np.einsum("ij,ij->i", np.tanh(p["left"][left] + p["right"][right]), out[word]) + p["bias"][word] - norms[left, right]
-            within = np.fromiter((shares.get(w, np.nan) for words in batch for w in words), np.float64, len(codes))
-            rest = np.isnan(within)
             # A word that is not common has its class's part here; the join adds its count's logarithm.
-            within[rest] = -of_class[word[rest]]
-            sums, ends = np.concatenate([[0.0], np.cumsum(logp + within)]), np.cumsum(counts)
-            others = [list(Counter(w for w in words if w not in shares).items()) for words in batch]
-            yield pd.DataFrame({"row": row + np.arange(len(frame)), "doc_id": frame.doc_id, "n_words": counts, "sum": sums[ends] - sums[ends - counts], "rest": [[{"word": w, "k": k} for w, k in o] for o in others]})
+            sums, ends = np.concatenate([[0.0], np.cumsum(logp + words.share[ids])]), np.cumsum(counts)
+            yield pd.DataFrame({"row": row + np.arange(len(frame)), "doc_id": frame.doc_id.array, "n_words": counts, "sum": sums[ends] - sums[ends - counts], "rest": words.rare(ids, counts)})
             row += len(frame)
 
-    scored = materialise(docs.mapInPandas(run, "row long, doc_id long, n_words long, sum double, rest array<struct<word: string, k: long>>"), "lm-scored")
+    scored = materialise(map_frames(docs, run, "row long, doc_id long, n_words long, sum double, rest array<struct<word: string, k: long>>"), "lm-scored")
     rare = scored.select("row", F.inline("rest")).join(words, "word").groupBy("row").agg(F.sum(F.col("k") * F.log("n")).alias("more"))
     total = F.round(F.col("sum") + F.coalesce("more", F.lit(0.0)), 6).alias("log_likelihood")
     out = scored.select("row", "doc_id", "n_words", "sum").join(rare, "row", "left").select("doc_id", "n_words", total)

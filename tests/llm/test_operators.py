@@ -510,6 +510,25 @@ def test_words_of_one_ending_score_by_their_counts(spark):
     assert counts["walking"] == 39 and counts["qzxking"] == 1
 
 
+def test_document_scores_by_a_plain_sum(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60)
+    kept = {}
+    train = op09_lm_scoring.train_in_tasks
+    monkeypatch.setattr(op09_lm_scoring, "train_in_tasks", lambda windows, size: kept.setdefault("net", train(windows, size, 3)))
+    found = {r.doc_id: r for r in op09_lm_scoring.pseudo_likelihood(docs, common=50).collect()}
+    (p, of_class), rows = kept["net"], docs.collect()
+    split = {r.doc_id: re.findall(r"\w+|[^\w\s]", (r.text or "").lower()) for r in rows}
+    counts = Counter(w for words in split.values() for w in words)
+    own, endings = op09_lm_scoring.class_sizes(len(counts))
+    classes = op09_lm_scoring.Classes([w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:own]], endings)
+    for i, words in split.items():
+        ids, total = [0, *(classes[w] for w in words), 0], 0.0
+        for k, w in enumerate(words):
+            logits = np.tanh(p["left"][ids[k]] + p["right"][ids[k + 2]]) @ p["out"] + p["bias"]
+            total += logits[ids[k + 1]] - np.log(np.exp(logits).sum()) + np.log(counts[w] / of_class[ids[k + 1]])
+        assert found[i].n_words == len(words) and abs(found[i].log_likelihood - total) < 1e-3 * max(1, len(words))
+
+
 def test_classes_grow_with_the_vocabulary():
     sizes = [1 + sum(op09_lm_scoring.class_sizes(v)) for v in (0, 10_000, 1_000_000, 30_000_000)]
     assert sizes[0] == sizes[1] == op09_lm_scoring.CLASSES < sizes[2] < sizes[3]
