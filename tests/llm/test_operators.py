@@ -314,6 +314,99 @@ def test_avi_round_trip():
             assert (slow == op05_avi.coefficients(jpeg, scan)).all()
 
 
+def encoded_scan(blocks, tables):
+    """Blocks of (component, coefficients in scan order) by the standard's tables, with end-of-block and runs of 16 zeros."""
+    bits, before = "", {}
+
+    def put(codes, symbol):
+        length, code = next(k for k, v in codes.items() if v == symbol)
+        return f"{code:0{length}b}"
+
+    def number(x):
+        size = abs(x).bit_length()
+        return size, (f"{x if x > 0 else x + (1 << size) - 1:0{size}b}" if size else "")
+
+    for c, block in blocks:
+        dc, ac = tables[min(c, 1)], tables[16 + min(c, 1)]
+        size, own = number(block[0] - before.get(c, 0))
+        before[c] = block[0]
+        bits += put(dc, size) + own
+        run = 0
+        for x in block[1:]:
+            if not x:
+                run += 1
+                continue
+            while run > 15:
+                bits, run = bits + put(ac, 0xF0), run - 16
+            size, own = number(x)
+            bits, run = bits + put(ac, 16 * run + size) + own, 0
+        if run:
+            bits += put(ac, 0)
+    bits += "1" * (-len(bits) % 8)
+    return bytes(int(bits[k : k + 8], 2) for k in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
+
+
+def colour_frame(rng, width=24, height=20):
+    """A frame of three components, 4:2:0, without Huffman tables; and its luma blocks."""
+    m = op05_avi
+    blocks, luma = [], []
+    for _ in range(-(-width // 16) * -(-height // 16)):
+        for c in (0, 0, 0, 0, 1, 2):
+            block = [0] * 64
+            block[0] = rng.randint(-60, 60)
+            for _ in range(rng.randint(0, 4)):
+                block[rng.randrange(1, 64)] = rng.randint(-9, 9)
+            blocks.append((c, block))
+            if not c:
+                luma.append(block)
+    import struct
+
+    head = b"\xff\xd8" + m.segment(0xDB, b"\0" + b"\x08" * 64 + b"\1" + b"\x10" * 64) + m.segment(0xC0, struct.pack(">BHHB", 8, height, width, 3) + b"\1\x22\0\2\x11\1\3\x11\1")
+    return head + m.segment(0xDA, b"\3\1\0\2\x11\3\x11\0\x3f\0") + encoded_scan(blocks, m.usual_tables()) + b"\xff\xd9", luma
+
+
+def foreign_avi(frames, index="relative"):
+    m, body = op05_avi, b"".join(op05_avi.chunk(b"00dc", f) for f in frames)
+    media = m.write_avi(body, np.array([len(f) for f in frames]))
+    at = media.index(b"idx1")
+    if index == "none":
+        return media[:at]
+    if index == "absolute":
+        moved = np.frombuffer(media[at + 8 :], "<u4").reshape(-1, 4).copy()
+        moved[:, 2] += media.index(b"movi")
+        return media[: at + 8] + moved.tobytes()
+    if index == "parts":  # a second RIFF part, as large files have
+        return media + m.chunk(b"RIFF", b"AVIX" + m.chunk(b"LIST", b"movi" + body))
+    return media
+
+
+def test_usual_tables_hold_every_symbol_once():
+    tables = op05_avi.usual_tables()
+    assert [len(set(tables[k].values())) for k in (0, 1, 16, 17)] == [12, 12, 162, 162] and all(len(t) == len(set(t.values())) for t in tables.values())
+    assert tables[16][4, 0b1010] == 0x00 and tables[16][11, 0b11111111001] == 0xF0 and tables[17][2, 0b00] == 0x00 and tables[17][10, 0b1111111010] == 0xF0
+
+
+def test_colour_frames_and_foreign_files(spark):
+    rng = random.Random(21)
+    frames, lumas = zip(*[colour_frame(rng, 24, 20) for _ in range(3)], colour_frame(rng, 40, 8))
+    for frame, luma in zip(frames, lumas):
+        head, scan = op05_avi.split_frame(frame)
+        assert op05_avi.coefficients(op05_avi.parse_head(head), scan).tolist() == luma
+    want = [op05_avi.histograms(op05_avi.parse_head(op05_avi.split_frame(f)[0]), np.array([x]))[0].tolist() for f, x in zip(frames, lumas)]
+    for kind in ("relative", "absolute", "none"):
+        rate, hist, stored = op05_avi.decode(foreign_avi(frames, kind))
+        assert (rate, hist.tolist(), stored) == (25.0, want, None)
+    assert op05_avi.decode(foreign_avi(frames, "parts"))[1].tolist() == want * 2
+    spoilt = [frames[0], frames[1][:60], b"\xff\xd8\xff", frames[2]]
+    assert op05_avi.decode(foreign_avi(spoilt))[1].tolist() == [want[0], want[0], want[0], want[2]]
+    media = [foreign_avi(frames), b"no avi", b"", None, b"RIFF\4\0\0\0AVI ", foreign_avi(frames)[:200]]
+    rows = spark.createDataFrame([(k, 1, x) for k, x in enumerate(media)], "doc_id long, n_bytes long, media binary")
+    found = {r.doc_id: r for r in op05_avi.media_features(rows).collect()}
+    assert found[0].feature.startswith("frames=4;") and found[0].payload_bytes is None and found[0].media_bytes == len(media[0])
+    assert found[1].feature == found[2].feature == "undecodable" and found[3].feature is None and found[3].media_bytes is None and found[4].feature == "frames=0"
+    assert {r.doc_id for r in op05_avi.clips(rows).collect()} == {0}
+
+
 def test_inverse_dct_of_one_coefficient():
     flat = np.zeros(64)
     flat[0] = 80
