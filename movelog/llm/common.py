@@ -77,8 +77,10 @@ def blocks(frames: Iterator[pd.DataFrame], column: str = "text", limit: int = BL
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one set here where it is unset."""
+    """The folder that all executors see: spark.checkpoint.dir; on one machine, where it is unset, one set here."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not found:
         found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
     if not spark.sparkContext.getCheckpointDir():
