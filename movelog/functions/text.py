@@ -133,7 +133,3 @@ def white_value(state: Column, value: Column) -> Column:
 def seconds_or_zero(c: Column) -> Column:
     """A duration to whole seconds; bad ones and null to 0."""
     return F.coalesce(_cast(_cast(c, "double"), "int"), F.lit(0))
-
-
-def cast_vector(c: Column) -> Column:
-    return c.cast("array<float>")

@@ -62,11 +62,6 @@ def drop_index_columns(df: DataFrame, prefix: str) -> DataFrame:
     return df.drop(*[r["column_name"] for r in index_columns(df, prefix).where("is_index").collect()])
 
 
-def distinct_work(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
-    """Distinct (keys, state) over many state columns."""
-    return df.unpivot(keys, columns, "source_col", "state").where("state IS NOT NULL").select(*keys, "state").distinct()
-
-
 def embeddings_long(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """keys, source_col, vec (float32) of vector columns; null vectors stay as such."""
     return df.select(*keys, *[F.col(c).cast("array<float>").alias(c) for c in columns]).unpivot(keys, columns, "source_col", "vec")
