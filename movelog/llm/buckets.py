@@ -26,11 +26,12 @@ def gathered(reps: DataFrame, name: str) -> DataFrame:
     what they are copies of.
     """
     banded = reps.select("node", F.explode("bands").alias("band"))
-    crowded = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    # What is counted for each bucket is written before it is joined, as Spark splits a hot bucket only in a join of two exchanges.
+    crowded = materialise(banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), f"{name}-counts")
     shared = materialise(banded.join(crowded, "band"), f"{name}-crowded")
     weights = shared.groupBy("node").agg(F.sum("members").alias("weight"))
     weighed = materialise(shared.join(weights, "node").select("band", "node", "weight"), f"{name}-weighed")
-    leaders = weighed.groupBy("band").agg(F.max(F.struct("weight", -F.col("node"), "node"))["node"].alias("leader"))
+    leaders = materialise(weighed.groupBy("band").agg(F.max(F.struct("weight", -F.col("node"), "node"))["node"].alias("leader")), f"{name}-leaders")
     return materialise(weighed.join(leaders, "band").select("band", "node", "leader"), f"{name}-shared")
 
 
@@ -49,12 +50,13 @@ def complete(shared: DataFrame, links: DataFrame, sizes: DataFrame, payload: Cal
     # Sums by bucket and component come first, so that a hot bucket meets in partial sums.
     parts = placed.groupBy("band", "part").agg(F.count(F.lit(1)).alias("members"))
     bands = parts.groupBy("band").agg(F.max(F.struct("members", "part"))["part"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    rest = placed.join(bands.select("band", "main"), "band").join(sizes, "node")
+    bands = materialise(bands.select("band", "main"), f"{name}-bands")
+    rest = placed.join(bands, "band").join(sizes, "node")
     rest = materialise(rest.withColumn("probe", F.col("part") != F.col("main")).drop("main"), f"{name}-open")
     room = lambda rows, size: F.ceil(F.greatest(rows / BLOCK_ROWS, size / BLOCK_SIZES, F.lit(1))).cast("int")
     apart = F.col("probe").cast("int")
     counts = rest.groupBy("band").agg(room(F.count(F.lit(1)), F.sum("size")).alias("m_blocks"), room(F.sum(apart), F.sum(apart * F.col("size"))).alias("p_blocks"))
-    rest = rest.join(counts, "band")
+    rest = rest.join(materialise(counts, f"{name}-blocks"), "band")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
     members = rest.select("band", "node", "part", F.lit(False).alias("probe"), own("m_blocks", 1).alias("i"), every("p_blocks").alias("j"))
