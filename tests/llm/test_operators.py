@@ -792,7 +792,7 @@ def test_ids_above_2_53_beside_nulls(spark, odd):
     media = op05_avi.with_media(docs)
     for name, out in {
         "2": op02_near_dedup.near_duplicates(docs, 2), "3": op03_bpe.round_trip(docs, BYTES, public_tokenizers.PATTERN), "3b": op03_bpe.decode(op03_bpe.encode(docs, BYTES, public_tokenizers.PATTERN), BYTES, public_tokenizers.PATTERN),
-        "4": op04_toxicity.scored(docs, net), "4b": op04_toxicity.keep_clean(docs, net), "5": op05_avi.media_features(media), "5b": op05_avi.clips(media), "6": op06_token_counts.token_counts(docs, WORDS, 100),
+        "4": op04_toxicity.scored(docs, net), "4b": op04_toxicity.keep_clean(docs, None), "5": op05_avi.media_features(media), "5b": op05_avi.clips(media), "6": op06_token_counts.token_counts(docs, WORDS, 100),
         "8": op08_mixing.mix(docs), "9": op09_lm_scoring.pseudo_likelihood(docs), "10": op10_edit_fingerprint.fingerprinted(docs), "10b": op10_edit_fingerprint.fingerprints(docs),
     }.items():
         assert {r.doc_id for r in out.select("doc_id").collect()} == {big, None, big + 2}, name
