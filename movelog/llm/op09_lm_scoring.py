@@ -44,7 +44,7 @@ KEPT_WORDS = 200_000
 #: Words whose counts are sent to the tasks that score; all others are joined.
 COMMON = 100_000
 #: Windows that a task adds up at one time.
-KEPT_WINDOWS = 2_000_000
+KEPT_WINDOWS = 4_000_000
 #: Tasks of a round of training, at most.
 TRAINERS = 24
 _WORDS = re.compile(r"\w+|[^\w\s]").findall
@@ -286,6 +286,7 @@ def pseudo_likelihood(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p, norms, of_class, known = sent.value
         out = np.ascontiguousarray(p["out"].T)
+        hidden = np.tanh(p["left"][:, None] + p["right"][None]).reshape(size**2, HIDDEN)  # of all contexts, classes squared
         row = TaskContext.get().partitionId() << 40
         words = ScoredWords(Classes(top, endings), known, of_class)
         for frame in blocks(frames):
@@ -294,7 +295,7 @@ def pseudo_likelihood(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             ids = words.number(batch, int(counts.sum()))
             codes = window_codes(words.of_class[ids], counts, size)
             left, word, right = codes // size**2, codes // size % size, codes % size
-            logp = np.einsum("ij,ij->i", np.tanh(p["left"][left] + p["right"][right]), out[word]) + p["bias"][word] - norms[left, right]
+            logp = np.einsum("ij,ij->i", hidden[left * size + right], out[word]) + p["bias"][word] - norms[left, right]
             # A word that is not common has its class's part here; the join adds its count's logarithm.
             sums, ends = np.concatenate([[0.0], np.cumsum(logp + words.share[ids])]), np.cumsum(counts)
             yield pd.DataFrame({"row": row + np.arange(len(frame)), "doc_id": frame.doc_id.array, "n_words": counts, "sum": sums[ends] - sums[ends - counts], "rest": words.rare(ids, counts)})
