@@ -17,6 +17,8 @@ BLOCK_ROWS, BLOCK_SIZES = 1_024, 1_000_000
 
 #: Of a block's rows, makes the function that says which of some rows one row is linked with.
 Judge = Callable[[pd.DataFrame], Callable[[int, np.ndarray], np.ndarray]]
+#: Of a block's key and rows (node, part, probe and the payload), gives links between different parts: a, b.
+Search = Callable[[tuple, pd.DataFrame], pd.DataFrame]
 
 
 def gathered(reps: DataFrame, name: str) -> DataFrame:
@@ -40,11 +42,11 @@ def stars(shared: DataFrame) -> DataFrame:
     return shared.where("node != leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
-def complete(shared: DataFrame, links: DataFrame, sizes: DataFrame, payload: Callable[[DataFrame], DataFrame], judge: Judge, name: str) -> DataFrame:
+def complete(shared: DataFrame, links: DataFrame, sizes: DataFrame, payload: Callable[[DataFrame], DataFrame], search: Search, name: str) -> DataFrame:
     """a, b: links that join what the given links leave apart, by a search of all buckets that hold several components.
 
     Members outside a bucket's main component are held against all others, in blocks of bounded size.
-    sizes: node, size; payload gives, for a table of nodes, their node, bands and what judge looks at.
+    sizes: node, size; payload gives, for a table of nodes, their node and what the search of a block looks at.
     """
     placed = shared.drop("leader").join(components(links, f"{name}-parts"), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
     # Sums by bucket and component come first, so that a hot bucket meets in partial sums.
@@ -63,10 +65,10 @@ def complete(shared: DataFrame, links: DataFrame, sizes: DataFrame, payload: Cal
     probes = rest.where("probe").select("band", "node", "part", "probe", every("m_blocks").alias("i"), own("p_blocks", 2).alias("j"))
     held = materialise(payload(materialise(rest.select("node").distinct(), f"{name}-ids")), f"{name}-payload")
     met = members.union(probes).join(held, "node").groupBy("band", "i", "j")
-    return materialise(met.applyInPandas(searched(judge), "a long, b long").distinct(), f"{name}-links")
+    return materialise(met.applyInPandas(search, "a long, b long").distinct(), f"{name}-links")
 
 
-def searched(judge: Judge) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+def searched(judge: Judge) -> Search:
     """For one block: holds all its probes against its members, and gives links between different parts.
 
     A pair is judged in the first bucket that both are in. Parts that a link has joined are one from

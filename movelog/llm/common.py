@@ -94,3 +94,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def most_frequent(counts: DataFrame, limit: int, n: str = "n") -> DataFrame:
+    """The rows with the highest counts, at most `limit` of them: all from the lowest power of two on that leaves so few.
+
+    Only the number of rows by power of two reaches the driver, and no task sorts or holds the rows.
+    """
+    sizes = counts.groupBy(F.floor(F.log2(F.col(n))).cast("int").alias("power")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("power")).collect()
+    total, least = 0, None
+    for row in sizes:
+        total += row["rows"]
+        if total > limit:
+            break
+        least = 2 ** row["power"]
+    return counts.where(F.lit(False) if least is None else F.col(n) >= least)

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .buckets import Judge, complete, gathered, stars
+from .buckets import Judge, complete, gathered, searched, stars
 from .common import BROADCAST_IDS, blocks, map_frames, materialise, table, texts
 from .components import components
 from .shingles import mix, shingle_sets
@@ -215,7 +215,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     pairs = materialise(stars(shared).join(side("b"), "b").join(side("a"), "a").where(likely("a", "b")).select("a", "b"), "near-stars")
     links = confirmed(docs, pairs, width, percent, "near-stars")
     held = lambda ids: sets_of(docs, ids, width).join(reps.select("node", "n", "bins", "sketch", "bands"), "node")
-    more = complete(shared, links, reps.select("node", F.col("n").alias("size")), held, judged(percent), "near-rest")
+    more = complete(shared, links, reps.select("node", F.col("n").alias("size")), held, searched(judged(percent)), "near-rest")
     linked = components(links.union(more), "near-all")
 
     of_set = reps.select("set_key", "node").join(linked, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))

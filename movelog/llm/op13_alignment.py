@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import blocks, map_frames, materialise, table, texts
+from .common import blocks, map_frames, materialise, most_frequent, table, texts
 from .merges import per_row, spread
 from .op06_token_counts import byte_characters
 
@@ -266,9 +266,9 @@ class Alignment:
     def known(self) -> pd.DataFrame:
         """code, n, is_best of the most frequent pairs and of all regular ones, sorted by code."""
         foretold = np.flatnonzero(self.same >= 0) * self.n_b + self.same[self.same >= 0]
-        wanted = self.spark.createDataFrame(pd.DataFrame({"code": foretold}), "code long")
-        most = self.pairs.orderBy(F.desc("n"), "code").limit(self.common)
-        return most.union(self.pairs.join(F.broadcast(wanted), "code", "left_semi")).distinct().toPandas().sort_values("code")
+        wanted = self.spark.createDataFrame(pd.DataFrame({"code": foretold}), "code long")  # at most one for each A id
+        sent = most_frequent(self.pairs, self.common).union(self.pairs.join(F.broadcast(wanted), "code", "left_semi")).distinct()
+        return sent.toPandas().sort_values("code")
 
     def documents(self) -> DataFrame:
         known = self.known()
