@@ -25,6 +25,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -77,11 +78,9 @@ class Spelling:
     def joined(self, ids: np.ndarray) -> bytes:
         return spread(self.pool, self.at[ids], self.length[ids])[0].tobytes()
 
-    def spells(self, raw: list[bytes], ids: list[list[int]], whole: np.ndarray) -> bool:
-        """Do the ids of all texts in `whole` spell them; one comparison of all bytes and of each text's length."""
-        kept = flat([i for i, w in zip(ids, whole, strict=True) if w])
-        wanted = [r for r, w in zip(raw, whole, strict=True) if w]
-        return per_row(self.length[kept.flat], kept.counts).tolist() == [len(r) for r in wanted] and self.joined(kept.flat) == b"".join(wanted)
+    def spell(self, ids: Ids, raw: list[bytes]) -> bool:
+        """Do the tokens of all texts spell them; one comparison of all bytes, and of each text's length."""
+        return per_row(self.length[ids.flat], ids.counts).tolist() == [len(r) for r in raw] and self.joined(ids.flat) == b"".join(raw)
 
 
 class Aligner:
@@ -103,13 +102,17 @@ class Aligner:
 
     def encode(self, batch: list[str]) -> tuple[np.ndarray, Ids, Ids]:
         """Which of the texts have tokens, and the tokens of those by A and by B."""
-        raw = [b" " + text.encode("utf-8", "replace") for text in batch]
-        a = [x.ids for x in self.a.encode_batch_fast([" " + text for text in batch], add_special_tokens=False)]
-        b = self.b.encode(batch, num_threads=1)
-        whole = np.array([bool(text) for text in batch], bool)
-        if not (self.of_a.spells(raw, a, whole) and self.of_b.spells(raw, b, whole)):
-            whole &= [self.of_a.joined(np.array(i, np.int64)) == r == self.of_b.joined(np.array(j, np.int64)) for r, i, j in zip(raw, a, b, strict=True)]
-        return whole, flat([ids for ids, w in zip(a, whole, strict=True) if w]), flat([ids for ids, w in zip(b, whole, strict=True) if w])
+        some = [k for k, text in enumerate(batch) if text]
+        raw = [b" " + batch[k].encode("utf-8", "replace") for k in some]
+        a = [x.ids for x in self.a.encode_batch_fast([" " + batch[k] for k in some], add_special_tokens=False)]
+        b = self.b.encode([batch[k] for k in some], num_threads=1)
+        flat_a, flat_b = flat(a), flat(b)
+        if not (self.of_a.spell(flat_a, raw) and self.of_b.spell(flat_b, raw)):
+            kept = [k for k, (i, j, r) in enumerate(zip(a, b, raw, strict=True)) if self.of_a.joined(np.array(i, np.int64)) == r == self.of_b.joined(np.array(j, np.int64))]
+            some, flat_a, flat_b = [some[k] for k in kept], flat([a[k] for k in kept]), flat([b[k] for k in kept])
+        whole = np.zeros(len(batch), bool)
+        whole[some] = True
+        return whole, flat_a, flat_b
 
     def align(self, a: Ids, b: Ids) -> Groups:
         """Groups and links of texts whose tokens of both sides spell the same bytes."""
@@ -154,7 +157,7 @@ class Aligner:
 
 def flat(ids: list[list[int]]) -> Ids:
     counts = np.array([len(x) for x in ids], np.int64)
-    return Ids(np.fromiter((k for x in ids for k in x), np.int64, int(counts.sum())), counts)
+    return Ids(np.fromiter(chain.from_iterable(ids), np.int64, int(counts.sum())), counts)
 
 
 def piece_bytes(model: sentencepiece.SentencePieceProcessor, k: int) -> bytes:
