@@ -31,11 +31,18 @@ def first_ply_where(condition: Column) -> Column:
 def games_meta(moves: DataFrame, threshold: float = 3) -> DataFrame:
     """One row per game, with the last ply before either clock falls to the threshold.
 
-    Null clocks never fall; a game without clocks keeps its full length.
+    Null clocks never fall; a game without clocks keeps its full length. Of a header that differs
+    between a game's rows the least value counts.
+
+    A game's header stands in all its rows, so it is grouped by, not aggregated: the buffers of the
+    aggregate over moves are numbers alone, which a hash table holds without sorting the moves. What
+    is left, a row for each header of a game, is all that the second aggregate has to sort.
     """
     low = F.col("clock") <= threshold
-    white, black = first_ply_where((F.col("half_move") % 2 == 1) & low), first_ply_where((F.col("half_move") % 2 == 0) & low)
-    grouped = moves.groupBy("game_id").agg(*[F.min(c).alias(c) for c in GAME_COLUMNS], F.max("half_move").alias("n_plies"), white.alias("first_white_leq_thr_ply"), black.alias("first_black_leq_thr_ply"))
+    numbers = [F.max("half_move").alias("n_plies"), first_ply_where((F.col("half_move") % 2 == 1) & low).alias("white_ply"), first_ply_where((F.col("half_move") % 2 == 0) & low).alias("black_ply")]
+    headers = moves.groupBy("game_id", *GAME_COLUMNS).agg(*numbers)
+    plies = [F.max("n_plies").alias("n_plies"), F.min("white_ply").alias("first_white_leq_thr_ply"), F.min("black_ply").alias("first_black_leq_thr_ply")]
+    grouped = headers.groupBy("game_id").agg(*[F.min(c).alias(c) for c in GAME_COLUMNS], *plies)
     return grouped.withColumn("plies_both_gt_thr", F.coalesce(F.least("first_white_leq_thr_ply", "first_black_leq_thr_ply") - 1, F.col("n_plies")))
 
 

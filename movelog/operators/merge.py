@@ -16,8 +16,57 @@ def side_extras(known: list[str], side: DataFrame, keys: list[str]) -> DataFrame
 
 
 def merge_side_tables(main: DataFrame, sides: list[DataFrame], keys: list[str] = KEYS) -> DataFrame:
-    """Left joins by key; of columns with one name the first table's stays."""
-    return reduce(lambda left, side: left.join(side_extras(left.columns, side, keys), keys, "left"), sides, main)
+    """Side tables onto the main table by key; of columns with one name the first table's stays.
+
+    A key that a side table has twice raises while the result is made; `merge_faults` lists such keys.
+    """
+    merged = tagged_merge(main, sides, keys)
+    doubled = F.exists(F.array(*[F.col(f"__n{k}") for k in range(1, len(sides) + 1)]), lambda n: n > 1) if sides else F.lit(False)
+    checked = F.when(doubled, F.raise_error(F.concat(F.lit("a side table has several rows of the key "), F.to_json(F.struct(*keys))))).otherwise(F.col("__main"))
+    return merged.select(F.explode(checked).alias("__row"), "*").select(*[F.col(f"__row.{c}").alias(c) for c in main.columns], *new_columns(main, sides, keys))
+
+
+def new_columns(main: DataFrame, sides: list[DataFrame], keys: list[str]) -> list[str]:
+    """The columns that the side tables bring, the first table first."""
+    return list(dict.fromkeys(c for side in sides for c in side.columns if c not in main.columns and c not in keys))
+
+
+def tagged_merge(main: DataFrame, sides: list[DataFrame], keys: list[str]) -> DataFrame:
+    """keys, __main (the main table's rows of the key), __n0, __n1, ... (rows of the key in each table) and the side tables' new columns.
+
+    All tables are one union, tagged by table, and one aggregate by key: a single shuffle, however
+    many side tables there are. A key that tables lack or have twice shows in their counts.
+    """
+    known, parts = set(main.columns), []
+    new = {f.name: f.dataType for side in reversed(sides) for f in side.schema.fields if f.name in new_columns(main, sides, keys)}
+    for k, df in enumerate([main, *sides]):
+        own = [c for c in df.columns if k and c not in known]
+        known |= set(df.columns)
+        row = F.struct(*[F.col(c) for c in main.columns]) if not k else F.lit(None).cast(main.schema)
+        parts.append(df.select(*keys, F.lit(k).alias("__table"), row.alias("__row"), *[(F.col(c) if c in own else F.lit(None).cast(new[c])).alias(c) for c in new]))
+    union = reduce(DataFrame.unionByName, parts)
+    counts = [F.count_if(F.col("__table") == k).alias(f"__n{k}") for k in range(len(parts))]
+    return union.groupBy(*keys).agg(F.collect_list("__row").alias("__main"), *counts, *[F.first(c, ignorenulls=True).alias(c) for c in new])
+
+
+def merge_faults(main: DataFrame, sides: list[DataFrame], keys: list[str] = KEYS) -> DataFrame:
+    """keys, table (number of the side table, from 1), n_main, n_side: keys that a side table lacks, has alone or has more often than once."""
+    merged = tagged_merge(main.select(*keys), [side.select(*keys) for side in sides], keys)
+    each = F.array(*[F.struct(F.lit(k).alias("table"), F.col("__n0").alias("n_main"), F.col(f"__n{k}").alias("n_side")) for k in range(1, len(sides) + 1)])
+    return merged.select(*keys, F.inline(each)).where("n_main != n_side OR n_side > 1")
+
+
+def verified_merge(main: DataFrame, sides: list[DataFrame], keys: list[str], expected: Column, complete: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The merged table with the new columns null outside the expected rows, and column_name, n_missing within them.
+
+    With `complete`, a side table that does not have exactly the main table's keys, each once, raises.
+    """
+    faults = merge_faults(main, sides, keys)
+    if complete and (samples := faults.limit(10).collect()):
+        raise ValueError(f"side tables do not match the main table: {[r.asDict() for r in samples]}")
+    new = new_columns(main, sides, keys)
+    merged = mask_extras(merge_side_tables(main, sides, keys), new, expected)
+    return merged, missing_expected(merged, new, expected)
 
 
 def overlaps(main: DataFrame, sides: list[DataFrame], keys: list[str] = KEYS) -> list[tuple[int, str]]:
@@ -48,11 +97,23 @@ def missing_expected(df: DataFrame, columns: list[str], mask: Column) -> DataFra
 
 
 def index_columns(df: DataFrame, prefix: str) -> DataFrame:
-    """column_name, is_index of columns by prefix: are its values just 0..n-1 or 1..n."""
+    """column_name, is_index of columns by prefix: are its values just 0..n-1 or 1..n, in any order.
+
+    One aggregate finds the columns whose least, greatest and number of values allow that. Only for
+    those, which are few, a bitmap of all values tells whether any is missing; 32,768 values share a
+    bitmap, and tasks merge their bitmaps' bits before they are shuffled.
+    """
     columns = [c for c in df.columns if c.startswith(prefix)]
-    n = F.count(F.lit(1))
-    tests = [F.coalesce((F.count_distinct(F.col(c)) == n) & (F.min(c).isin(0, 1)) & (F.max(c) - F.min(c) == n - 1), F.lit(False)).alias(c) for c in columns]
-    return df.agg(*tests).unpivot([], columns, "column_name", "is_index")
+    value = lambda c: F.col(c).try_cast("double")
+    bounds = df.agg(F.count(F.lit(1)).alias("n"), *[F.struct(F.min(value(c)).alias("lo"), F.max(value(c)).alias("hi"), F.count_if(value(c) == F.floor(value(c))).alias("n")).alias(c) for c in columns]).first()
+    n = bounds["n"]
+    likely = [c for c in columns if n and bounds[c]["lo"] in (0, 1) and bounds[c]["hi"] - bounds[c]["lo"] == n - 1 and bounds[c]["n"] == n]
+    out = [df.sparkSession.createDataFrame([(c, False) for c in columns if c not in likely], "column_name string, is_index boolean")]
+    for c in likely:
+        at = value(c).cast("long")
+        bits = df.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+        out.append(bits.agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("n")).select(F.lit(c).alias("column_name"), (F.col("n") == n).alias("is_index")))
+    return reduce(DataFrame.union, out)
 
 
 def drop_index_columns(df: DataFrame, prefix: str) -> DataFrame:

@@ -38,41 +38,52 @@ def move_section(game: Column) -> Column:
     return F.regexp_replace(F.when(bounded != "", bounded).otherwise(open_end), RESULT, "")
 
 
+#: Private-use characters that stand between moves and their parts while a section is cut up.
+BEGIN, PART, END = "\ue000", "\ue001", "\ue002"
+
+
+def section_moves(section: Column) -> Column:
+    """The moves of a section as an array of (number, move, eval_text, clock_text), in order.
+
+    The move pattern runs over the section once: it puts marks around each move and its parts, and
+    what follows only cuts at the marks. Text between moves lies outside the marks and goes.
+    """
+    bare = F.translate(section, BEGIN + PART + END, "\ufffd" * 3)
+    marked = F.regexp_replace(bare, F.lit(MOVE), F.lit(f"{BEGIN}$1{PART}$2{PART}$3{END}"))
+    found = F.split(marked, BEGIN)
+    each = F.transform(F.slice(found, 2, F.size(found)), lambda m: F.split(F.substring_index(m, END, 1), PART))
+    note = lambda m, pattern: F.nullif(F.trim(F.regexp_extract(m[2], pattern, 1)), F.lit(""))
+    return F.transform(each, lambda m: F.struct(m[0].cast("int").alias("number"), m[1].alias("move"), note(m, EVAL).alias("eval_text"), note(m, CLOCK).alias("clock_text")))
+
+
+def made_once(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """All columns and one more, behind a generator: the optimizer does not put its expression into several places, as it may a projection's."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
+def numbered(games: DataFrame, moves: str = "moves") -> DataFrame:
+    """One row per move of an array of moves: half_move is its place in the text, whatever its number says (move_number)."""
+    rest = [c for c in games.columns if c != moves]
+    rows = games.select(*rest, F.posexplode(moves).alias("__place", "__move"))
+    return rows.select(*rest, (F.col("__place") + 1).alias("half_move"), F.col("__move.number").alias("move_number"), "__move.move", "__move.eval_text", "__move.clock_text")
+
+
 def explode_moves(games: DataFrame, section: str = "section") -> DataFrame:
-    """One row per move: half_move is its place in the text, whatever its number says (move_number)."""
-    # One pass over the section; the groups are then taken out of each short match.
-    rows = games.select(*[c for c in games.columns if c != section], F.posexplode(F.regexp_extract_all(section, F.lit(MOVE), F.lit(0))).alias("place", "m"))
-    part = lambda k: F.regexp_extract("m", MOVE, k)
-    note = part(3)
-    return rows.select(
-        *[c for c in games.columns if c != section],
-        (F.col("place") + 1).alias("half_move"),
-        part(1).cast("int").alias("move_number"),
-        part(2).alias("move"),
-        F.nullif(F.trim(F.regexp_extract(note, EVAL, 1)), F.lit("")).alias("eval_text"),
-        F.nullif(F.trim(F.regexp_extract(note, CLOCK, 1)), F.lit("")).alias("clock_text"),
-    )
+    """One row per move of a section."""
+    return numbered(made_once(games, section_moves(F.col(section)), "__moves").drop(section), "__moves")
 
 
 def judged(games: DataFrame, keyword: str = KEYWORD) -> DataFrame:
-    """Games with their tags, move section and reason to be dropped (null: kept), in one pass."""
-    tagged = extract_tags(games).withColumn("game_id", id_from_url(F.col("Site"))).withColumn("section", move_section(F.col("game")))
-    notes = F.regexp_extract_all("section", F.lit(MOVE), F.lit(3))
-    clocks = F.transform(notes, lambda n: F.regexp_extract(n, CLOCK, 1))
-    evals = F.transform(notes, lambda n: F.regexp_extract(n, EVAL, 1))
-    reason = (
-        F.when(F.col("Event") == "", "no_header")
-        .when(~F.lower("Event").contains(keyword.lower()), "not_eligible")
-        .when(F.col("game_id") == "", "no_id")
-        .when(F.size(notes) == 0, "no_moves")
-        .when(F.exists(clocks, lambda c: (F.trim(c) != "") & clock_seconds(F.trim(c)).isNull()) | F.exists(evals, lambda e: bad_mate(e)), "parse_failure")
-    )
-    return tagged.withColumn("reason", reason)
+    """Games with their tags, moves and reason to be dropped (null: kept). Only eligible games are looked through for moves, once."""
+    tagged = extract_tags(games).withColumn("game_id", id_from_url(F.col("Site")))
+    early = F.when(F.col("Event") == "", "no_header").when(~F.lower("Event").contains(keyword.lower()), "not_eligible").when(F.col("game_id") == "", "no_id")
+    seen = made_once(tagged, F.when(early.isNull(), section_moves(move_section(F.col("game")))), "moves")
+    spoilt = F.exists("moves", lambda m: (m["clock_text"].isNotNull() & clock_seconds(m["clock_text"]).isNull()) | bad_mate(m["eval_text"]))
+    return seen.withColumn("reason", F.coalesce(early, F.when(F.size("moves") == 0, "no_moves").when(spoilt, "parse_failure")))
 
 
-def parse_games(games: DataFrame, keyword: str = KEYWORD) -> tuple[DataFrame, DataFrame]:
-    """The move rows of all usable games, and how many games ended in each way (reason, n)."""
-    seen = judged(games, keyword)
+def usable_moves(seen: DataFrame) -> DataFrame:
+    """The move rows of judged games that are kept."""
     usable = seen.where("reason IS NULL").select(
         "game_id",
         F.try_to_date("Date", "yyyy.MM.dd").alias("date"),
@@ -83,10 +94,26 @@ def parse_games(games: DataFrame, keyword: str = KEYWORD) -> tuple[DataFrame, Da
         F.col("TimeControl").alias("time_control"),
         F.col("Termination").alias("termination"),
         F.col("Result").alias("result"),
-        "section",
+        "moves",
     )
-    moves = explode_moves(usable).withColumn("eval", parse_eval(F.col("eval_text"))).withColumn("clock", clock_seconds(F.col("clock_text")))
-    return moves.drop("eval_text", "clock_text"), seen.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    moves = numbered(usable).withColumn("eval", parse_eval(F.col("eval_text"))).withColumn("clock", clock_seconds(F.col("clock_text")))
+    return moves.drop("eval_text", "clock_text")
+
+
+def reject_counts(seen: DataFrame) -> DataFrame:
+    """reason, n: how many judged games ended in each way."""
+    return seen.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def rejects(seen: DataFrame) -> DataFrame:
+    """reason, Site, game of the judged games that are dropped."""
+    return seen.where("reason IS NOT NULL").select("reason", "Site", "game")
+
+
+def parse_games(games: DataFrame, keyword: str = KEYWORD) -> tuple[DataFrame, DataFrame]:
+    """The move rows of all usable games, and how many games ended in each way (reason, n)."""
+    seen = judged(games, keyword)
+    return usable_moves(seen), reject_counts(seen)
 
 
 def misnumbered(moves: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import increment_seconds, normalize_color
-from .checks import check_allowed, check_min_segment, check_nulls, check_numeric, check_unique, missing_references, strict
+from ..sources.shared import kept
+from .checks import Checks, strict_all
 
 
 def per_game_cap(player_games: DataFrame, max_half_move: int) -> DataFrame:
@@ -29,39 +30,51 @@ def used_length(rows: DataFrame, legacy: bool = False) -> DataFrame:
 def join_one_to_many(left: DataFrame, right: DataFrame, key: str, left_key: list[str], right_key: list[str], check: bool = True) -> DataFrame:
     """An inner join whose sides have unique keys of their own."""
     if check:
-        strict(check_unique(left, left_key), "left side")
-        strict(check_unique(right, right_key), "right side")
+        strict_all(Checks(left).unique("left side", *left_key).report(), Checks(right).unique("right side", *right_key).report())
     return left.join(right, key)
 
 
-def input_checks(player_games: DataFrame, moves: DataFrame) -> dict[str, DataFrame]:
-    """What is wrong with the two inputs, by kind of fault: colours, keys, numbers, nulls and time controls."""
-    colors = player_games.select(F.lower("player_color").alias("player_color"), "game_id", "time_control")
-    return {
-        "colours": check_allowed(colors, "player_color", ["white", "black"]),
-        "a game with two rows of a colour": check_unique(colors, ["game_id", "player_color"]),
-        "numbers of player games": check_numeric(player_games, ["plies_both_gt_thr", "player_elo", "opponent_elo"]),
-        "numbers of moves": check_numeric(moves, ["half_move", "clock", "clock_delta"]),
-        "nulls in moves": check_nulls(moves, ["game_id", "half_move", "fen_before", "fen_after", "move_uci"]),
-        "time controls without an increment": colors.where(increment_seconds(F.col("time_control")).isNull()).select("game_id", "time_control"),
-    }
-
-
-def build_player_moves(player_games: DataFrame, moves: DataFrame, drop_first: int, max_half_move: int, min_segment: int, check: bool = True) -> DataFrame:
+def input_checks(player_games: DataFrame, moves: DataFrame) -> DataFrame:
+    """what, n, samples: what is wrong with the two inputs, with one aggregate for each key of each table."""
+    games = player_games.select(F.lower("player_color").alias("player_color"), "player", "game_id", "time_control", "plies_both_gt_thr", "player_elo", "opponent_elo")
+    of_games = (
+        Checks(games)
+        .allowed("colours", "player_color", ["white", "black"])
+        .numeric("numbers of player games", "plies_both_gt_thr", "player_elo", "opponent_elo")
+        .row("time controls without an increment", increment_seconds(F.col("time_control")).isNull(), "game_id", "time_control")
+        .unique("a game with two rows of a colour", "game_id", "player_color")
+        .unique("a game with two rows of a player", "player", "game_id")
+    )
+    of_moves = (
+        Checks(moves.select("game_id", "half_move", "clock", "clock_delta", "fen_before", "fen_after", "move_uci"))
+        .numeric("numbers of moves", "half_move", "clock", "clock_delta")
+        .nulls("nulls in moves", "game_id", "half_move", "fen_before", "fen_after", "move_uci")
+        .unique("a half-move with two rows", "game_id", "half_move")
+    )
+    return of_games.report().union(of_moves.report())
+
+
+def game_checks(player_games: DataFrame, moves: DataFrame, drop_first: int, max_half_move: int, min_segment: int) -> DataFrame:
+    """what, n, samples: games without moves, and games with too few used half-moves, by one aggregate over both tables' games."""
+    caps = per_game_cap(player_games, max_half_move)
+    used = F.count_if((F.col("half_move") > drop_first) & (F.col("half_move") <= F.col("cap")))
+    games = caps.join(moves.select("game_id", "half_move"), "game_id", "left").groupBy("game_id").agg(F.count("half_move").alias("moves"), used.alias("used_length"))
+    return Checks(games).row("games without moves", F.col("moves") == 0, "game_id").row("short games", (F.col("moves") > 0) & (F.col("used_length") < min_segment), "game_id", "used_length").report()
+
+
+def build_player_moves(player_games: DataFrame, moves: DataFrame, drop_first: int, max_half_move: int, min_segment: int, check: bool = True, save: bool = False) -> DataFrame:
     """One row per player, game and half-move: flags, clock changes and thinking times.
 
-    moves carries move_uci, fen_before, fen_after and clock_delta. With `check`, what `input_checks`
-    finds, unknown games, doubled keys and games with too few used rows raise; without it they pass.
+    moves carries move_uci, fen_before, fen_after and clock_delta. With `check`, what `input_checks` and
+    `game_checks` find raises, all of it in one job; without it, it passes. `save` writes both inputs
+    once before, where they are not tables yet but dear to compute.
     """
-    if check:
-        for what, violations in input_checks(player_games, moves).items():
-            strict(violations, what)
-    games = player_games.withColumn("player_color", normalize_color(F.col("player_color")))
-    own = games.select("player", "game_id", F.col("rating_bin"), "split_by_player", "split_by_games", "player_color", "player_elo", "opponent_elo", "time_control")
+    games = player_games.select("player", "game_id", "rating_bin", "split_by_player", "split_by_games", "player_color", "player_elo", "opponent_elo", "time_control", "plies_both_gt_thr")
     each = moves.select("game_id", "half_move", "move", "move_uci", "fen_before", "fen_after", "clock", "clock_delta")
+    if save:
+        games, each = kept(games, "player-games"), kept(each, "annotated-moves")
     if check:
-        strict(missing_references(own, each, "game_id"), "games without moves")
-    rows = flag_used(join_one_to_many(own, each, "game_id", ["player", "game_id"], ["game_id", "half_move"], check), per_game_cap(player_games, max_half_move), drop_first)
-    if check:
-        strict(check_min_segment(used_length(rows), min_segment), "short games")
+        strict_all(input_checks(games, each), game_checks(games, each, drop_first, max_half_move, min_segment))
+    own = games.withColumn("player_color", normalize_color(F.col("player_color"))).drop("plies_both_gt_thr")
+    rows = flag_used(join_one_to_many(own, each, "game_id", ["player", "game_id"], ["game_id", "half_move"], check=False), per_game_cap(games, max_half_move), drop_first)
     return rows.withColumn("move_thinking_time", F.col("clock_delta") + increment_seconds(F.col("time_control")))

@@ -30,16 +30,43 @@ class Selection:
         return round(self.final * self.test_share)
 
 
+#: The hexadecimal digits of a digest that make its slice: a stratum falls into 65,536 slices.
+SLICE_DIGITS = 4
+
+
 def rank_in(by: list[str], *order: Column) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(*order))
 
 
+def cut_top_n(df: DataFrame, by: list[str], key: str, n: int, salt: str) -> DataFrame:
+    """n rows of each stratum by the hash of the key and then the key, for any n; no stratum is sorted or held whole.
+
+    Rows are counted by stratum and slice of the hash, in every task before anything is shuffled. The
+    counts of a stratum, one for each slice, tell in which slice its n-th row lies. Rows of later slices
+    do not move, rows of earlier ones are in, and each slice is ranked on its own.
+    """
+    digest = hash_order(salt, F.col(key))
+    # Null keys come first, as in the order itself.
+    place = F.coalesce(F.conv(F.substring(digest, 1, SLICE_DIGITS), 16, 10).cast("int"), F.lit(-1))
+    rows = df.withColumns({"__digest": digest, "__slice": place})
+    upto = F.sum("__rows").over(Window.partitionBy(*by).orderBy("__slice"))
+    counts = rows.groupBy(*by, "__slice").agg(F.count(F.lit(1)).alias("__rows")).withColumn("__before", upto - F.col("__rows"))
+    cuts = counts.where((F.col("__before") < n) & (F.col("__before") + F.col("__rows") >= n))
+    cuts = cuts.select(*[F.col(c).alias(f"__of_{c}") for c in by], F.col("__slice").alias("__cut"), (F.lit(n) - F.col("__before")).alias("__left"))
+    # A stratum without a cut has fewer than n rows, which are all in.
+    found = rows.join(cuts, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in by], "left").where("__cut IS NULL OR __slice <= __cut")
+    ranked = found.withColumn("__rank", rank_in([*by, "__slice"], F.col("__digest"), F.col(key)))
+    return ranked.where("__cut IS NULL OR __slice < __cut OR __rank <= __left").select(*df.columns)
+
+
 def hash_top_n(df: DataFrame, by: list[str], key: str, n: int, salt: str) -> DataFrame:
     """n rows of each stratum, by the hash of the key and then the key.
 
-    Spark keeps the best n of each task before it shuffles, for n up to
-    spark.sql.optimizer.windowGroupLimitThreshold.
+    Up to spark.sql.optimizer.windowGroupLimitThreshold Spark itself keeps the best n of each task
+    before it shuffles; a larger n is cut by counts.
     """
+    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        return cut_top_n(df, by, key, n, salt)
     return df.withColumn("__rank", rank_in(by, hash_order(salt, F.col(key)), F.col(key))).where(F.col("__rank") <= n).drop("__rank")
 
 

@@ -1,29 +1,41 @@
-"""Batch scoring: grids of parameters, work without duplicates, and results back in place."""
+"""Batch scoring: grids of parameters, engines started once, work without duplicates, and results back in place."""
 
 from __future__ import annotations
 
+import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..functions.frames import map_frames
 from ..functions.text import is_missing
 
 #: A scorer gets a frame of inputs and returns one value per row.
 Scorer = Callable[[pd.DataFrame], pd.Series]
+#: Starts the scorer of a parameter, which may have a `close` method.
+Start = Callable[[str], Scorer]
+
+#: Engines that a worker keeps at one time, and those it has, the longest unused first.
+KEPT_ENGINES = 4
+_engines: OrderedDict[tuple[str, str], Scorer] = OrderedDict()
 
 
 def score(df: DataFrame, inputs: list[str], scorer: Scorer, result: str = "score", kind: str = "long") -> DataFrame:
-    """The inputs and the scorer's result, in Arrow batches."""
+    """The inputs and the scorer's result, in Arrow batches; whole numbers stay whole beside nulls."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield frame.assign(**{result: scorer(frame)})
 
     rows = df.select(*inputs)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInPandas(run, f"{schema}, `{result}` {kind}")
+    return map_frames(rows, run, StructType([*rows.schema.fields, *StructType.fromDDL(f"`{result}` {kind}").fields]))
 
 
 def score_grid(df: DataFrame, keys: list[str], inputs: list[str], params: list[str], scorer: Scorer, kind: str = "long") -> DataFrame:
@@ -35,6 +47,59 @@ def score_grid(df: DataFrame, keys: list[str], inputs: list[str], params: list[s
     return score(grid, [*dict.fromkeys([*keys, *inputs]), "param"], scorer, kind=kind).select(*keys, "param", "score")
 
 
+def engine(run: str, param: str, start: Start) -> Scorer:
+    """This worker's engine for a parameter: started when first asked for, then kept from task to task."""
+    at = (run, param)
+    if at not in _engines:
+        while len(_engines) >= KEPT_ENGINES:
+            _, old = _engines.popitem(last=False)
+            getattr(old, "close", lambda: None)()
+        _engines[at] = start(param)
+    _engines.move_to_end(at)
+    return _engines[at]
+
+
+def tried(scorer: Scorer, frame: pd.DataFrame) -> tuple[list, list]:
+    """Results and failures of a frame's rows. A frame that fails is halved, so that only rows that fail by themselves have a failure."""
+    if not len(frame):
+        return [], []
+    try:
+        found = list(scorer(frame))
+        if len(found) != len(frame):
+            raise ValueError(f"{len(found)} results for {len(frame)} rows")
+        return found, [None] * len(found)
+    except Exception as e:  # noqa: BLE001 - an engine may raise anything
+        if len(frame) == 1:
+            return [None], [str(e) or type(e).__name__]
+        half = len(frame) // 2
+        first, second = tried(scorer, frame.iloc[:half]), tried(scorer, frame.iloc[half:])
+        return first[0] + second[0], first[1] + second[1]
+
+
+def score_with_engines(df: DataFrame, keys: list[str], inputs: list[str], params: list[str], start: Start, kind: str = "long", tasks_each: int | None = None) -> DataFrame:
+    """keys, param, score, failure: every row once for each parameter, by engines that are dear to start.
+
+    Work is dealt by parameter: each task has rows of one parameter only, in `tasks_each` tasks for each
+    (by default all cores' share), and each worker starts an engine once for a parameter. Rows that
+    an engine fails on have a null score and the failure's text; the rest of their batch is scored.
+    """
+    run, parallel = uuid.uuid4().hex, df.sparkSession.sparkContext.defaultParallelism
+    each = tasks_each or max(1, -(-parallel // max(len(params), 1)))
+    wanted = [*dict.fromkeys([*keys, *inputs])]
+    grid = df.select(*wanted, F.posexplode(F.array(*[F.lit(p) for p in params])).alias("__place", "param"))
+    task = (F.col("__place") * each + F.pmod(F.xxhash64(*keys), F.lit(each))).cast("int")
+    dealt = grid.withColumn("__task", task).repartitionById(max(len(params) * each, 1), "__task").drop("__place", "__task")
+
+    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for param, rows in frame.groupby("param", sort=False):
+                found, failed = tried(engine(run, param, start), rows)
+                yield rows.assign(score=pd.Series(found, rows.index, object), failure=pd.Series(failed, rows.index, object))
+
+    schema = StructType([*dealt.schema.fields, *StructType.fromDDL(f"score {kind}, failure string").fields])
+    return map_frames(dealt, scored, schema).select(*keys, "param", "score", "failure")
+
+
 def widen_scores(long: DataFrame, keys: list[str], params: list[str], prefix: str) -> DataFrame:
     """One column `<prefix>_<param>` for each parameter, which are given, so no job looks for them."""
     wide = long.groupBy(*keys).pivot("param", params).agg(F.first("score"))
@@ -91,3 +156,71 @@ def evaluate_missing(df: DataFrame, keys: list[str], mask: Column, scorer: Score
     wide = scores.groupBy(*keys).pivot("param", columns).agg(F.first("score"))
     wide = wide.select(*keys, *[F.col(f"`{c}`").cast("int").alias(made + c.removeprefix(prefix)) for c in columns])
     return df.join(wide, keys, "left")
+
+
+class ScoreStore:
+    """Scores that are kept between runs: what has been scored once, by its key and parameter, is never scored again.
+
+    Every run writes one new folder of Parquet, partitioned by parameter, and then its name into the
+    manifest. Only folders of the manifest are read, so a run that dies halfway leaves nothing behind
+    that counts; the folder names are new each time, so that nothing is overwritten.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: dict[str, str], kind: str = "long"):
+        """keys: the columns that a score depends on, and their types."""
+        self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
+        self.schema = ", ".join(f"`{name}` {of}" for name, of in keys.items()) + f", score {kind}, param string"
+
+    def runs(self) -> list[str]:
+        """The names of all runs that are committed."""
+        try:
+            found = self.spark.read.schema("run string").json(f"{self.path}/manifest/*")
+        except AnalysisException:  # no run yet
+            return []
+        return sorted({r["run"] for r in found.collect()})
+
+    def stored(self) -> DataFrame:
+        """keys, param, score of everything committed."""
+        folders = [f"{self.path}/scores/{run}" for run in self.runs()]
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        return reduce(DataFrame.unionByName, [self.spark.read.schema(self.schema).parquet(folder) for folder in folders])
+
+    def missing(self, work: DataFrame, params: list[str]) -> DataFrame:
+        """keys, param: the distinct work that is not stored yet; null is a value like any other."""
+        wanted = work.select(*self.keys).distinct().select("*", F.explode(F.array(*[F.lit(p) for p in params])).alias("param"))
+        known = self.stored().select(*[F.col(c).alias(f"__{c}") for c in (*self.keys, "param")])
+        return wanted.join(known, [wanted[c].eqNullSafe(known[f"__{c}"]) for c in (*self.keys, "param")], "left_anti")
+
+    def add(self, work: DataFrame, params: list[str], scorer: Scorer) -> int:
+        """Scores what is missing and commits it; gives how many scores are new. The scorer sees keys and param."""
+        run = uuid.uuid4().hex
+        folder = f"{self.path}/scores/{run}"
+        score(self.missing(work, params), [*self.keys, "param"], scorer).select(*self.keys, "score", "param").write.partitionBy("param").parquet(folder)
+        added = self.spark.read.schema(self.schema).parquet(folder).count()
+        if added:
+            self.spark.createDataFrame([(run,)], "run string").write.json(f"{self.path}/manifest/{run}")
+        return added
+
+    def scattered(self, cells: DataFrame) -> DataFrame:
+        """The cells with each of their scores: a row for each cell and parameter that is stored."""
+        known = self.stored().select(*[F.col(c).alias(f"__{c}") for c in self.keys], "param", "score")
+        return cells.join(known, [cells[c].eqNullSafe(known[f"__{c}"]) for c in self.keys]).drop(*[f"__{c}" for c in self.keys])
+
+
+def evaluate_stored(df: DataFrame, keys: list[str], mask: Column, scorer: Scorer, store: ScoreStore, prefix: str = "fen_", made: str = "eval_") -> tuple[DataFrame, int]:
+    """As `evaluate_missing`, with a store: adds or fills `eval_<x>` of each `fen_<x>` in the rows of the mask; also how many states were new.
+
+    Values that are there stay. Only states without a value that the store has never seen are scored,
+    so that a table that has grown costs what it has grown by. The store's key is `state`.
+    """
+    columns = [c for c in df.columns if c.startswith(prefix)]
+    names = {c: made + c.removeprefix(prefix) for c in columns}
+    open_cells = F.array(*[F.struct(F.lit(c).alias("source_col"), F.when(F.col(names[c]).isNull() if names[c] in df.columns else F.lit(True), F.col(c)).alias("state")) for c in columns])
+    cells = df.where(mask).select(*keys, F.inline(open_cells)).where(~is_missing(F.col("state"), ("",)))
+    added = store.add(cells, ["eval"], scorer)
+    wide = store.scattered(cells).groupBy(*keys).pivot("source_col", columns).agg(F.first("score"))
+    wide = wide.select(*[F.col(k).alias(f"__{k}") for k in keys], *[F.col(f"`{c}`").cast("int").alias(f"__{names[c]}") for c in columns])
+    out = df.join(wide, [df[k].eqNullSafe(wide[f"__{k}"]) for k in keys], "left")
+    filled = [F.coalesce(*([F.col(names[c])] if names[c] in df.columns else []), F.col(f"__{names[c]}")).alias(names[c]) for c in columns]
+    return out.select(*[c for c in df.columns if c not in names.values()], *filled), added

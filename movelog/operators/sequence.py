@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..functions.frames import map_frames, plain_rows
 
 GAME = ("player", "game_id")
 
@@ -61,55 +65,69 @@ def prefix_with_candidate(rows: DataFrame, prefix: str, candidate: str, name: st
     return rows.withColumn(name, F.when(F.col(candidate).isNotNull(), F.concat(F.col(prefix), F.array(candidate))))
 
 
+def folded(rows: Iterable[dict], state: Any, step: Callable[[Any, dict], Any]) -> tuple[list, list, Any]:
+    """The states before and after each row, and the last one."""
+    before, after = [], []
+    for row in rows:
+        before.append(state)
+        state = step(state, row)
+        after.append(state)
+    return before, after, state
+
+
 def ordered_fold(df: DataFrame, keys: list[str], order: str, init: Any, step: Callable[[Any, dict], Any], state_type: str = "string") -> DataFrame:
     """All columns, and the state before and after each row; `step(state, row)` gives the next state.
 
     Groups are streams: rows come sorted by keys and order, and the state is carried from one batch
-    to the next, so that no group is held whole. Where the step can be said as a column, `sql_fold` does
-    the same without Python.
+    to the next, so that no group is held whole. Steps see Python values: whole numbers are never
+    floats, and a null is None. Where the step can be said as a column, `sql_fold` does the same without Python.
     """
-    columns = df.columns
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state = None, init
         for frame in frames:
             before, after = [], []
-            for row in frame.astype(object).where(frame.notna(), None).to_dict("records"):
-                if (key := [row[k] for k in keys]) != now:
+            for key, rows in groupby(plain_rows(frame), lambda row: [row[k] for k in keys]):
+                if key != now:
                     now, state = key, init
-                before.append(state)
-                state = step(state, row)
-                after.append(state)
-            yield frame.assign(state_before=before, state_after=after)[[*columns, "state_before", "state_after"]]
+                one, other, state = folded(rows, state, step)
+                before += one
+                after += other
+            yield frame.assign(state_before=pd.Series(before, frame.index, object), state_after=pd.Series(after, frame.index, object))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     ordered = df.repartition(*keys).sortWithinPartitions(*keys, F.col(order).asc_nulls_last())
-    return ordered.mapInPandas(fold, f"{schema}, state_before {state_type}, state_after {state_type}")
+    return map_frames(ordered, fold, StructType([*df.schema.fields, *StructType.fromDDL(f"state_before {state_type}, state_after {state_type}").fields]))
 
 
 def sql_fold(df: DataFrame, keys: list[str], order: str, value: str, init: Column, step: Callable[[Column, Column], Column]) -> DataFrame:
-    """The same for a step that is a column expression of the state and one value."""
+    """The same for a step that is a column expression of the state and one value.
+
+    A game's rows become one array, and one aggregate over it appends a state for each row, so that
+    every step is taken once.
+    """
     rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("__rows"))
-    at = rows.select(*keys, "__rows", F.posexplode("__rows").alias("__place", "__row"))
-    before = F.aggregate(F.slice("__rows", 1, F.col("__place")), init, lambda s, r: step(s, r[value]))
-    return at.withColumn("state_before", before).select(*keys, F.col(f"__row.{order}").alias(order), F.col(f"__row.{value}").alias(value), "state_before", step(F.col("state_before"), F.col(f"__row.{value}")).alias("state_after"))
+    states = F.aggregate("__rows", F.array(init), lambda s, r: F.concat(s, F.array(step(F.element_at(s, -1), r[value]))))
+    at = rows.select(*keys, "__rows", states.alias("__states")).select(*keys, "__states", F.posexplode("__rows").alias("__place", "__row"))
+    row = [F.col(f"__row.{order}").alias(order), F.col(f"__row.{value}").alias(value)]
+    return at.select(*keys, *row, F.get("__states", F.col("__place")).alias("state_before"), F.get("__states", F.col("__place") + 1).alias("state_after"))
 
 
 def successor_state(df: DataFrame, state: str, action: str, step: Callable[[str, str], str], name: str = "state_after") -> DataFrame:
-    """The state after the action, or null and the failure's text; null actions give neither."""
-    columns = df.columns
+    """The state after the action, or null and the failure's text; null actions give neither.
+
+    Whatever a step raises is that row's failure, by its text or, if it has none, by its kind.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             after, failure = [], []
-            for s, a in zip(frame[state], frame[action], strict=True):
+            for row in plain_rows(frame[[state, action]]):
                 try:
-                    after.append(None if pd.isna(a) else step(s, a))
+                    after.append(None if row[action] is None else step(row[state], row[action]))
                     failure.append(None)
-                except ValueError as e:
+                except Exception as e:  # noqa: BLE001 - the caller's rules may raise anything
                     after.append(None)
-                    failure.append(str(e))
-            yield frame.assign(**{name: after, "failure": failure})[[*columns, name, "failure"]]
+                    failure.append(str(e) or type(e).__name__)
+            yield frame.assign(**{name: pd.Series(after, frame.index, object), "failure": pd.Series(failure, frame.index, object)})
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(run, f"{schema}, `{name}` string, failure string")
+    return map_frames(df, run, StructType([*df.schema.fields, *StructType.fromDDL(f"`{name}` string, failure string").fields]))

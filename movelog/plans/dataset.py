@@ -32,19 +32,24 @@ SMALL = DatasetParams(selection=Selection(preselect=8, candidates_factor=2, fina
 
 @dataclass
 class Dataset:
-    """The steps of a build. The eligible and the sampled games, which several steps read, are written once."""
+    """The steps of a build. What several steps read is written once: the game summary, eligible games, final players and sampled games."""
 
     moves: DataFrame
     params: DatasetParams = DatasetParams()
     meta: DataFrame | None = None
 
-    def __post_init__(self) -> None:
-        p, s = self.params, self.params.selection
-        self.meta = self.meta if self.meta is not None else games_meta(self.moves, p.threshold)
-        self.player_games = perspectives(self.meta)
-        self.stats = player_stats(self.player_games, p.min_games)
-        self.binned = binned(self.stats, *p.bins)
-        self.preselected = preselect_players(self.binned, s.preselect)
+    @cached_property
+    def summary(self) -> DataFrame:
+        """One row per game; `meta`, where the caller has it already."""
+        return self.meta if self.meta is not None else kept(games_meta(self.moves, self.params.threshold), "games-meta")
+
+    @cached_property
+    def player_games(self) -> DataFrame:
+        return perspectives(self.summary)
+
+    @cached_property
+    def preselected(self) -> DataFrame:
+        return preselect_players(binned(player_stats(self.player_games, self.params.min_games), *self.params.bins), self.params.selection.preselect)
 
     @cached_property
     def eligible(self) -> DataFrame:
@@ -53,7 +58,9 @@ class Dataset:
 
     @cached_property
     def selected(self) -> tuple[DataFrame, DataFrame]:
-        return select_players(self.eligible, self.params.selection)
+        """The final players, and the eligible games they may be sampled from."""
+        players, pool = select_players(self.eligible, self.params.selection)
+        return kept(players, "final-players"), pool
 
     @property
     def final(self) -> DataFrame:
@@ -80,10 +87,10 @@ class Dataset:
 
     def games(self) -> DataFrame:
         splits = game_split_any(self.sampled).join(self.sampled.select("game_id", "split_by_games").distinct(), "game_id")
-        return self.meta.join(splits, "game_id").select(*GAME_OUTPUT)
+        return self.summary.join(splits, "game_id").select(*GAME_OUTPUT)
 
     def moves_out(self) -> DataFrame:
-        cutoffs = self.meta.select("game_id", F.col("plies_both_gt_thr").alias("cutoff")).join(selected_games(self.sampled), "game_id", "left_semi")
+        cutoffs = self.summary.select("game_id", F.col("plies_both_gt_thr").alias("cutoff")).join(selected_games(self.sampled), "game_id", "left_semi")
         return truncate_at_cutoff(self.moves, cutoffs)
 
     def tables(self) -> dict[str, DataFrame]:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import annotate as A
 from ..operators import checks as V
 from ..operators import games as G
 from ..operators import merge as M
@@ -18,7 +19,7 @@ from ..operators import sampling as S
 from ..operators import scoring as C
 from ..operators import sequence as Q
 from ..sources import archive, shared, tables
-from ..streaming import ingest
+from ..streaming import fold, ingest
 from . import fixtures as X
 from .dataset import Dataset
 
@@ -108,7 +109,26 @@ def stream_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, out, marks = (shared.shared_folder(spark, f"stream-{x}") for x in ("in", "out", "marks"))
     archive.write_archive(archive_games(spark, sf_dir), source)
     ingest.ingest(spark, source, out, marks).awaitTermination()
-    return spark.read.parquet(out).select("game_id", "half_move", "move", "eval", "clock")
+    return ingest.moves(spark, out).select("game_id", "half_move", "move", "eval", "clock")
+
+
+SPOILT = "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN event = 'Rated Bullet game' THEN 'not_eligible' WHEN k % 13 = 0 THEN 'parse_failure' WHEN k % 17 = 0 THEN 'no_id' ELSE 'kept' END AS reason FROM (SELECT DISTINCT game_id, event, CAST(substr(game_id, 2) AS BIGINT) AS k FROM raw_moves)) GROUP BY reason"
+
+
+def spoilt_games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive games, some of them spoilt on purpose: a bad clock, or no id."""
+    k = F.substring("game_id", 2, 20).cast("long")
+    spoilt = F.when(k % 13 == 0, F.regexp_replace("game", r"\n\n1\. (\w+) ", "\n\n1. $1 { [%clk x] } 1... a1 ")).when(k % 17 == 0, F.regexp_replace("game", r'\[Site "[^"]*"\]', '[Site ""]')).otherwise(F.col("game"))
+    return archive_games(spark, sf_dir).select(spoilt.alias("game"))
+
+
+@query(SPOILT)
+def stream_reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcomes that the stream itself has counted, batch by batch."""
+    source, out, marks = (shared.shared_folder(spark, f"stream-{x}") for x in ("in", "out", "marks"))
+    archive.write_archive(spoilt_games(spark, sf_dir), source)
+    ingest.ingest(spark, source, out, marks).awaitTermination()
+    return ingest.outcomes(spark, out)
 
 
 @query(f"SELECT game_id, event AS \"Event\", site AS \"Site\", strftime(date, '%Y.%m.%d') AS \"Date\", white AS \"White\", black AS \"Black\", CAST(white_elo AS STRING) AS \"WhiteElo\", CAST(black_elo AS STRING) AS \"BlackElo\", time_control AS \"TimeControl\", termination AS \"Termination\", result AS \"Result\" FROM {ONE_GAME}")
@@ -159,12 +179,9 @@ def explode_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.explode_moves(games)
 
 
-@query("SELECT reason, count(*) AS n FROM (SELECT CASE WHEN event = 'Rated Bullet game' THEN 'not_eligible' WHEN k % 13 = 0 THEN 'parse_failure' WHEN k % 17 = 0 THEN 'no_id' ELSE 'kept' END AS reason FROM (SELECT DISTINCT game_id, event, CAST(substr(game_id, 2) AS BIGINT) AS k FROM raw_moves)) GROUP BY reason")
+@query(SPOILT)
 def reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archive games, some of them spoilt on purpose: a bad clock, or no id."""
-    k = F.substring("game_id", 2, 20).cast("long")
-    spoilt = F.when(k % 13 == 0, F.regexp_replace("game", r"\n\n1\. (\w+) ", "\n\n1. $1 { [%clk x] } 1... a1 ")).when(k % 17 == 0, F.regexp_replace("game", r'\[Site "[^"]*"\]', '[Site ""]')).otherwise(F.col("game"))
-    return P.parse_games(archive_games(spark, sf_dir).select(spoilt.alias("game")))[1]
+    return P.parse_games(spoilt_games(spark, sf_dir))[1]
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_custkey % 9 AS INT) END AS increment FROM orders")
@@ -240,6 +257,25 @@ def preselect_players(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build(spark, sf_dir).preselected
 
 
+def top_lines(n: int) -> str:
+    return f"SELECT flag, line FROM (SELECT flag, line, row_number() OVER (PARTITION BY flag ORDER BY md5(concat('large:', line)), line) AS place FROM (SELECT l_returnflag AS flag, concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS line FROM lineitem)) WHERE place <= {n}"
+
+
+def line_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in three strata of unequal size."""
+    return X.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("line"))
+
+
+@query(top_lines(1001))
+def top_n_by_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.hash_top_n(line_keys(spark, sf_dir), ["flag"], "line", 1001, "large:")
+
+
+@query(top_lines(5000))
+def top_n_of_large_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.hash_top_n(line_keys(spark, sf_dir), ["flag"], "line", 5000, "large:")
+
+
 @query("SELECT * FROM eligible")
 def eligible_player_games(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build(spark, sf_dir).eligible
@@ -398,6 +434,19 @@ def ordered_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.ordered_fold(X.moves(spark, sf_dir).select("game_id", "half_move", "move"), ["game_id"], "half_move", "start", lambda state, row: f"{state}/{row['move']}")
 
 
+@query(FOLD)
+def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a stateful stream: the moves come in files that mix their order, and two runs share them."""
+    source, out, marks = (shared.shared_folder(spark, f"fold-{x}") for x in ("in", "out", "marks"))
+    moves = X.moves(spark, sf_dir).select("game_id", "half_move", "move")
+    early = F.md5(F.concat("game_id", F.col("half_move").cast("string"))) < "8"
+    for part in (early, ~early):
+        moves.where(part).write.mode("append").parquet(source)
+        rows = fold.fold_stream(spark.readStream.schema(moves.schema).parquet(source), ["game_id"], "half_move", "start", lambda state, row: f"{state}/{row['move']}")
+        rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).where("NOT late").drop("late")
+
+
 @query(FOLD)
 def ordered_fold_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.sql_fold(X.moves(spark, sf_dir), ["game_id"], "half_move", "move", F.lit("start"), lambda state, move: F.concat(state, F.lit("/"), move))
@@ -416,6 +465,24 @@ def successor_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.successor_state(rows, "fen_before", "move", play).select("game_id", "half_move", "state_after", "failure")
 
 
+def rules(state: str, move: str) -> tuple[str, str]:
+    """The stand-in for a rules library that also spells moves out: no piece may go to the eighth rank as long as the start is near."""
+    if move.endswith("8") and state.count("/") < 2:
+        raise ValueError("not allowed")
+    return move + move, f"{state}/{move}"
+
+
+REFUSED = "(SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY half_move) AS place FROM annotated)"
+
+
+@query(f"""SELECT m.game_id, m.half_move, CASE WHEN r.place IS NULL OR m.place < r.place THEN m.move_uci END AS move_uci, CASE WHEN r.place IS NULL OR m.place < r.place THEN f.state_before END AS fen_before,
+ CASE WHEN r.place IS NULL OR m.place < r.place THEN f.state_after END AS fen_after, m.clock_delta, CASE WHEN m.place = r.place THEN 'not allowed' END AS failure
+FROM {REFUSED} m JOIN ({FOLD}) f USING (game_id, half_move) LEFT JOIN (SELECT game_id, min(place) AS place FROM {REFUSED} WHERE place <= 2 AND move LIKE '%8' GROUP BY game_id) r ON r.game_id = m.game_id""")
+def annotate_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.annotate_moves(X.moves(spark, sf_dir).select("game_id", "half_move", "move", "clock"), "start", rules)
+    return rows.select("game_id", "half_move", "move_uci", "fen_before", "fen_after", "clock_delta", "failure")
+
+
 @query("SELECT player, game_id, half_move, (player_color = 'white') = (half_move % 2 = 1) AS is_own FROM player_rows")
 def own_move_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.player_rows(spark, sf_dir).select("player", "game_id", "half_move", T.own_move(F.col("player_color"), F.col("half_move")).alias("is_own"))
@@ -427,7 +494,8 @@ def expected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def player_move_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return PM.build_player_moves(X.labelled_player_games(spark, sf_dir), X.annotated(spark, sf_dir), 1, 5, 2, check=False)
+    """The checked build; games may have few used half-moves here."""
+    return PM.build_player_moves(X.labelled_player_games(spark, sf_dir), X.annotated(spark, sf_dir), 1, 5, 0, save=True)
 
 
 USED = "(a.half_move > 1 AND a.half_move <= least(g.plies_both_gt_thr, 5))"
@@ -458,6 +526,26 @@ def check_min_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.check_min_segment(PM.used_length(player_move_rows(spark, sf_dir)), 2)
 
 
+@query("""SELECT * FROM (VALUES ('colours', (SELECT count(*) FROM player_games WHERE player_elo > 1900)), ('numbers of player games', (SELECT count(*) FROM player_games WHERE n_plies = 3)),
+ ('time controls without an increment', (SELECT count(*) FROM player_games WHERE time_control = '180+1')),
+ ('a game with two rows of a colour', (SELECT count(*) FROM (SELECT game_id, CASE WHEN player_elo > 1900 THEN 'green' ELSE player_color END AS c FROM player_games GROUP BY ALL HAVING count(*) > 1))),
+ ('a game with two rows of a player', 0), ('numbers of moves', 0), ('nulls in moves', (SELECT count(*) FROM moves WHERE clock IS NULL)), ('a half-move with two rows', (SELECT count(*) FROM moves WHERE half_move = 2))) t(what, n)""")
+def player_input_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the checks find in inputs that are spoilt on purpose."""
+    games, moves = X.labelled_player_games(spark, sf_dir), X.annotated(spark, sf_dir)
+    games = games.withColumn("player_color", F.when(F.col("player_elo") > 1900, "green").otherwise(F.col("player_color")))
+    games = games.withColumn("opponent_elo", F.when(F.col("n_plies") == 3, "x").otherwise(F.col("opponent_elo").cast("string"))).withColumn("time_control", F.when(F.col("time_control") == "180+1", "180").otherwise(F.col("time_control")))
+    moves = moves.withColumn("fen_after", F.when(F.col("clock").isNotNull(), F.col("fen_after")))
+    return PM.input_checks(games, moves.union(moves.where("half_move = 2").withColumn("fen_after", F.lit("x")))).select("what", "n")
+
+
+@query(f"""SELECT 'games without moves' AS what, count(*) FILTER (WHERE kept = 0) AS n FROM (SELECT game_id, count(*) FILTER (WHERE half_move > 3) AS kept FROM moves GROUP BY game_id) UNION ALL
+SELECT 'short games', count(*) FROM (SELECT game_id, count(*) FILTER (WHERE half_move > 3) AS kept, count(*) FILTER (WHERE half_move > 3 AND {USED}) AS used FROM annotated a JOIN games_meta g USING (game_id) GROUP BY game_id) WHERE kept > 0 AND used < 2""")
+def player_game_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Games without moves and with too few used ones, when moves up to the third are not there."""
+    return PM.game_checks(X.player_games(spark, sf_dir), X.annotated(spark, sf_dir).where("half_move > 3"), 1, 5, 2).select("what", "n")
+
+
 # ------------------------------------------------------------ checks
 
 
@@ -554,6 +642,23 @@ def score_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid(spark, sf_dir)
 
 
+class Engine:
+    """A stand-in for an engine that is dear to start, and that fails on moves to a corner of the board."""
+
+    def __init__(self, param: str):
+        self.score = stand_in("param", "fen_before", "white_elo")
+
+    def __call__(self, frame: pd.DataFrame) -> pd.Series:
+        if frame["fen_before"].str.contains("h1 ", regex=False).any():
+            raise ValueError("not on the board")
+        return self.score(frame)
+
+
+@query(f"SELECT game_id, half_move, param, CASE WHEN move != 'h1' THEN score END AS score, CASE WHEN move = 'h1' THEN 'not on the board' END AS failure FROM ({GRID}) JOIN moves USING (game_id, half_move)")
+def score_with_engines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.score_with_engines(X.annotated(spark, sf_dir), ["game_id", "half_move"], ["fen_before", "white_elo"], PARAMS, Engine)
+
+
 @query(f"SELECT game_id, half_move, max(score) FILTER (WHERE param = 'p1050') AS move_model_p1050, max(score) FILTER (WHERE param = 'p1550') AS move_model_p1550, max(score) FILTER (WHERE param = 'p2050') AS move_model_p2050 FROM ({GRID}) GROUP BY ALL")
 def widen_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.widen_scores(grid(spark, sf_dir), ["game_id", "half_move"], PARAMS, "move_model")
@@ -619,6 +724,29 @@ def eval_missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.evaluate_missing(rows, ["game_id", "half_move"], F.col("half_move") % 2 == 1, stand_in("state")).select("game_id", "half_move", "eval_b", "eval_before", "eval_a")
 
 
+OLD = "SELECT DISTINCT state FROM (SELECT fen_a AS state FROM dated WHERE is_old UNION ALL SELECT fen_b FROM dated WHERE is_old UNION ALL SELECT fen_before FROM dated WHERE is_old) WHERE trim(state) != ''"
+DATED = "dated AS (SELECT s.*, m.date < DATE '1995-01-01' AS is_old FROM states s JOIN moves m USING (game_id, half_move))"
+
+
+@query(f"SELECT * FROM (WITH {DATED}, o AS ({OLD}), a AS ({OLD.replace('WHERE is_old', '')}) SELECT 'first' AS run, (SELECT count(*) FROM o) AS n_new, (SELECT count(*) FROM o) AS n_stored UNION ALL SELECT 'again', 0, (SELECT count(*) FROM o) UNION ALL SELECT 'grown', (SELECT count(*) FROM a) - (SELECT count(*) FROM o), (SELECT count(*) FROM a))")
+def score_store_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many states three runs score: on the games of some years, on the same again, and on the table as it has grown since."""
+    dates = X.moves(spark, sf_dir).select("game_id", "half_move", "date")
+    whole = X.states(spark, sf_dir).drop("opponent_elo").join(dates, ["game_id", "half_move"])
+    store, old, counts = C.ScoreStore(spark, shared.shared_folder(spark, "scores"), {"state": "string"}), whole.where("date < DATE '1995-01-01'"), []
+    for run, table in (("first", old), ("again", old), ("grown", whole)):
+        _, added = C.evaluate_stored(table, ["game_id", "half_move"], F.lit(True), stand_in("state"), store)
+        counts.append((run, added, store.stored().count()))
+    return spark.createDataFrame(counts, "run string, n_new long, n_stored long")
+
+
+@query(f"SELECT game_id, half_move, 7 AS eval_b, CASE WHEN half_move % 2 = 1 THEN CAST({scored('fen_before')} AS INT) END AS eval_before, CASE WHEN half_move % 2 = 1 AND fen_a IS NOT NULL THEN CAST({scored('fen_a')} AS INT) END AS eval_a FROM states")
+def eval_stored_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = C.ScoreStore(spark, shared.shared_folder(spark, "scores"), {"state": "string"})
+    rows = X.states(spark, sf_dir).withColumn("eval_b", F.lit(7))
+    return C.evaluate_stored(rows, ["game_id", "half_move"], F.col("half_move") % 2 == 1, stand_in("state"), store)[0].select("game_id", "half_move", "eval_b", "eval_before", "eval_a")
+
+
 @query("SELECT game_id, half_move, CASE WHEN half_move % 3 = 0 THEN 0 ELSE coalesce(CAST(clock AS INT), 0) END AS seconds FROM moves")
 def seconds_or_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(F.col("half_move") % 3 == 0, "bad").otherwise(F.col("clock").cast("string"))
@@ -650,6 +778,26 @@ def key_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.key_agreement(main, one)
 
 
+FAULTY = """SELECT player, game_id, half_move, CASE WHEN half_move % 2 = 1 THEN 1 ELSE 0 END AS a, CASE WHEN half_move > 2 THEN 2 WHEN half_move > 1 THEN 1 ELSE 0 END AS b, 1 AS c FROM player_rows"""
+
+
+@query(f"""SELECT player, game_id, half_move, CAST(1 AS INT) AS "table", CAST(1 AS BIGINT) AS n_main, CAST(a AS BIGINT) AS n_side FROM ({FAULTY}) WHERE a != 1 UNION ALL
+SELECT player, game_id, half_move, 2, 1, b FROM ({FAULTY}) WHERE b != 1 UNION ALL SELECT DISTINCT concat(player, '?'), game_id, half_move, 2, 0, 1 FROM player_rows WHERE half_move = 1""")
+def merge_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three side tables: one lacks keys, one lacks some, has some twice and some of its own, one is right."""
+    main, (one, two) = sides(spark, sf_dir)
+    alien = main.where("half_move = 1").select(F.concat("player", F.lit("?")).alias("player"), "game_id", "half_move")
+    keys = two.select(*M.KEYS)
+    return M.merge_faults(main, [one, keys.union(keys.where("half_move > 2")).union(alien), main])
+
+
+@query(f"SELECT player, game_id, half_move, player_color, move, CASE WHEN {OWN} THEN concat(move, '!') END AS move_one, CASE WHEN {OWN} THEN concat(move, '?') END AS move_two FROM player_rows")
+def verified_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    main, _ = sides(spark, sf_dir)
+    complete = [main.select(*M.KEYS, F.concat("move", F.lit(end)).alias(name)) for end, name in (("!", "move_one"), ("?", "move_two"))]
+    return M.verified_merge(main, complete, M.KEYS, T.expected_row(F.col("player_color"), F.col("half_move"), 2))[0]
+
+
 @query(f"SELECT player, game_id, half_move, player_color, move, CASE WHEN {OWN} THEN move_one END AS move_one, shared, CASE WHEN {OWN} THEN move_two END AS move_two FROM {MERGED}")
 def mask_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = M.merge_side_tables(*sides(spark, sf_dir))

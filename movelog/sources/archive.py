@@ -2,24 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What opens a game, and so what separates two games.
+#: What opens a game at the start of a line, and so what separates two games.
 OPENING = '[Event "'
 SEPARATOR = "\n" + OPENING
-#: How the rest of an event tag begins: with its value and the quote after it, and not as a line of its own.
-REST = r'^(?:[^\[%;"\r\n][^"\r\n]*)?"'
+#: The same after a line end that is a carriage return alone.
+_RETURN = re.compile("\r(?=" + re.escape(OPENING) + ")")
 
 
-def framed(value: Column) -> Column:
-    """A record as a game with its opening put back, which the separator has taken; null for text before the first game.
+def framed(text: DataFrame) -> DataFrame:
+    """game: the games of a text table that was read with SEPARATOR, with the opening put back that the separator has taken.
 
-    A game begins at every line that begins with the opening, with or without a blank line before it.
+    A game begins at every line that begins with the opening, and at no other. A record begins right
+    after a separator, unless it is the first of its file; that one has its own opening, or it is text
+    before the first game, which goes. Which record is a file's first is told by the place of its split
+    within the file: split by split, the first record of a split that begins at 0.
     Line ends become single line feeds.
     """
-    text = F.rtrim(F.regexp_replace(value, "\r\n?", "\n"), F.lit(" \t\n"))
-    return F.when(text.startswith(OPENING), text).when(text.rlike(REST), F.concat(F.lit(OPENING), text))
+    rows = text.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = None
+        for batch in batches:
+            games: list[str] = []
+            for value, path, start in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                first, split = start == 0 and split != (path, start), (path, start)
+                parts = _RETURN.split(value if first else OPENING + value)
+                games += [clean(part) for part in parts if part.startswith(OPENING)]
+            yield pa.RecordBatch.from_pydict({"game": games}, pa.schema([("game", pa.string())]))
+
+    return rows.mapInArrow(run, "game string")
+
+
+def clean(game: str) -> str:
+    return game.replace("\r\n", "\n").replace("\r", "\n").rstrip(" \t\n")
 
 
 def read_games(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
@@ -27,7 +49,7 @@ def read_games(spark: SparkSession, path: str, partitions: int | None = None) ->
 
     A compressed archive is read by one task, so its games are dealt out again before any parsing.
     """
-    games = spark.read.option("lineSep", SEPARATOR).text(path).select(framed(F.col("value")).alias("game")).where("game IS NOT NULL")
+    games = framed(spark.read.option("lineSep", SEPARATOR).text(path))
     return games.repartition(partitions) if partitions else games
 
 

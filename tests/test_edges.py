@@ -175,17 +175,20 @@ def test_fold_streams_over_batches(spark):
 def test_input_checks_of_player_moves(spark):
     games = spark.createDataFrame([("p", "g", "White", 3, 1500, 1500, "180+2")], "player string, game_id string, player_color string, plies_both_gt_thr int, player_elo int, opponent_elo int, time_control string")
     moves = spark.createDataFrame([("g", 1, "e4", "u", "a", "b", 1.0, 0.0)], "game_id string, half_move int, move string, move_uci string, fen_before string, fen_after string, clock double, clock_delta double")
-    assert all(v.count() == 0 for v in PM.input_checks(games, moves).values())
+    games, moves = games.withColumns({c: F.lit("x") for c in ("rating_bin", "split_by_player", "split_by_games")}), moves
+    assert [r.n for r in PM.input_checks(games, moves).collect()] == [0] * 8
     wrong = {
         "colours": (games.withColumn("player_color", F.lit("green")), moves),
         "a game with two rows of a colour": (games.union(games.withColumn("player", F.lit("q"))), moves),
+        "a game with two rows of a player": (games.union(games.withColumn("player_color", F.lit("black"))), moves),
+        "a half-move with two rows": (games, moves.union(moves)),
         "numbers of player games": (games.withColumn("player_elo", F.lit("x")), moves),
         "numbers of moves": (games, moves.withColumn("clock", F.lit("x"))),
         "nulls in moves": (games, moves.withColumn("fen_after", F.lit(None).cast("string"))),
         "time controls without an increment": (games.withColumn("time_control", F.lit("180")), moves),
     }
     for what, (g, m) in wrong.items():
-        assert [k for k, v in PM.input_checks(g, m).items() if v.count()] == [what]
+        assert [r.what for r in PM.input_checks(g, m).where("n > 0").collect()] == [what]
         with pytest.raises(V.CheckFailed, match=what):
             PM.build_player_moves(g, m, 1, 5, 2)
 
@@ -214,7 +217,7 @@ def test_plans(spark):
     data = Dataset(fixtures.moves(spark, "/root/testdata/sf0.001"))
     plan = data.preselected._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
-    meta = data.meta._jdf.queryExecution().executedPlan().toString()
+    meta = G.games_meta(fixtures.moves(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in meta and "l_comment" not in meta
 
 
