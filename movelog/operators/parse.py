@@ -51,7 +51,7 @@ def section_moves(section: Column) -> Column:
     bare = F.translate(section, BEGIN + PART + END, "\ufffd" * 3)
     marked = F.regexp_replace(bare, F.lit(MOVE), F.lit(f"{BEGIN}$1{PART}$2{PART}$3{END}"))
     found = F.split(marked, BEGIN)
-    each = F.transform(F.slice(found, 2, F.size(found)), lambda m: F.split(F.substring_index(m, END, 1), PART))
+    each = F.transform(F.slice(found, 2, 1 << 30), lambda m: F.split(F.substring_index(m, END, 1), PART))
     note = lambda m, pattern: F.nullif(F.trim(F.regexp_extract(m[2], pattern, 1)), F.lit(""))
     return F.transform(each, lambda m: F.struct(m[0].cast("int").alias("number"), m[1].alias("move"), note(m, EVAL).alias("eval_text"), note(m, CLOCK).alias("clock_text")))
 

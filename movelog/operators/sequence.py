@@ -121,7 +121,7 @@ def successor_state(df: DataFrame, state: str, action: str, step: Callable[[str,
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             after, failure = [], []
-            for row in plain_rows(frame[[state, action]]):
+            for row in plain_rows(frame[[*dict.fromkeys((state, action))]]):
                 try:
                     after.append(None if row[action] is None else step(row[state], row[action]))
                     failure.append(None)

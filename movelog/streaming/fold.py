@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
+#: Types whose values travel as text, and what reads them.
+NUMBERS = {"byte": int, "short": int, "integer": int, "long": int, "float": float, "double": float}
 #: Keyed state with timers is kept by this provider.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -36,9 +38,15 @@ class OrderedFold(StatefulProcessor):
     def standing(self) -> tuple[int, Any]:
         return tuple(self.now.get()) if self.now.exists() else (self.first, self.start)
 
+    @staticmethod
+    def read(row: dict, of: StructField) -> Any:
+        """A value of a row that came in; numbers came as text."""
+        value = row[of.name]
+        return value if value is None or of.dataType.typeName() not in NUMBERS else NUMBERS[of.dataType.typeName()](value)
+
     def frame(self, rows: list[tuple]) -> pd.DataFrame:
         """Rows as a frame in which whole numbers stay whole."""
-        return pd.DataFrame({f.name: pd.Series([r[k] for r in rows], dtype="Int64" if f.dataType.typeName() in ("long", "integer", "short", "byte") else object) for k, f in enumerate(self.out.fields)})
+        return pd.DataFrame({f.name: pd.Series([r[k] for r in rows], dtype="Int64" if NUMBERS.get(f.dataType.typeName()) is int else object) for k, f in enumerate(self.out.fields)})
 
     def folded(self, rows: list[tuple], place: int, state: Any) -> tuple[list[tuple], int, Any]:
         """Folds rows with their numbers; gives them with their states, the next number and the state after."""
@@ -59,8 +67,8 @@ class OrderedFold(StatefulProcessor):
         for frame in rows:
             arrived = max(arrived, int(frame["arrival"].max().timestamp() * 1000))
             for row in frame["row"]:
-                values = tuple(row[c] for c in self.schema.names)
-                number = row[self.order]
+                values = tuple(self.read(row, f) for f in self.schema.fields)
+                number = values[self.schema.names.index(self.order)]
                 if number is None or number < place or number in came or self.waiting.containsKey((number,)):
                     out.append((*values, None, None, True))
                 else:
@@ -108,6 +116,7 @@ def fold_stream(rows: DataFrame, keys: list[str], order: str, start: Any, step:
     states = StructType.fromDDL(f"state_before {state_type}, state_after {state_type}")
     out = StructType([*rows.schema.fields, *states.fields, StructField("late", BooleanType())])
     fold = OrderedFold(rows.schema, out, order, first, start, step, state_type, patience)
-    # Rows travel as one struct, in which whole numbers stay whole beside nulls; the watermark follows their arrival.
-    came = rows.select(F.to_json(F.struct(*keys)).alias("key"), F.struct(*rows.columns).alias("row"), F.current_timestamp().alias("arrival")).withWatermark("arrival", "0 seconds")
+    # Rows travel as one struct with numbers as text, as a null beside them would make floats of them; the watermark follows the rows' arrival.
+    row = [F.col(f.name).cast("string").alias(f.name) if f.dataType.typeName() in NUMBERS else F.col(f.name) for f in rows.schema.fields]
+    came = rows.select(F.to_json(F.struct(*keys)).alias("key"), F.struct(*row).alias("row"), F.current_timestamp().alias("arrival")).withWatermark("arrival", "0 seconds")
     return came.groupBy("key").transformWithStateInPandas(statefulProcessor=fold, outputStructType=out, outputMode="append", timeMode="EventTime")
