@@ -7,16 +7,17 @@ where no pivot tells them apart. So each document first finds the pivots it can
 1. Equal sets collapse to the smallest doc_id. Shingles have one order for the whole corpus, the rare
    ones first. Of a set of n shingles, the first n - ceil(0.8 n) + 1 are its prefix: two sets at
    similarity 0.8 share a shingle of both prefixes, always.
-2. The documents that share a prefix shingle take the one among them that shares the most as their pivot. Distances
-   to pivots are exact, from full sets; documents within theta are linked with their pivot at once.
+2. Of the documents that share a prefix shingle, the one that shares most with others is their pivot.
    A pivot's region is all documents that have found it, so any two linked documents share a region.
-3. A region falls into rings of width theta around its pivot. A document is replicated over the
-   border of its ring into the next one, as far as the triangle inequality asks: documents two rings
-   apart are more than theta apart.
-4. Rings whose documents are not all linked yet are joined recursively: new pivots among them
-   create Voronoi cells, a document enters each cell whose pivot is at most 2 theta farther than its
-   nearest one, and cells are cut again until they are small, or until all of a cell is linked. Small
-   cells compare full sets. Rings too large for one task meet in blocks of bounded size.
+   Documents that share too little of their prefixes with each other one of the region leave it.
+3. Regions join recursively: pivots far from each other create Voronoi cells, a document enters each
+   cell whose pivot is at most 2 theta farther than its nearest one, and cells are cut again until
+   they are small or all of a cell is linked. Small cells compare full sets.
+4. A region too large for one task is first cut around its pivot, to which all distances are found:
+   documents within theta are linked with it, and the region falls into rings of width theta. A
+   document is replicated over the border of its ring into the next one, as documents two rings apart
+   are more than theta apart. Rings that are not all linked yet are joined as in 3, in blocks of
+   bounded size that hold what lies outside the main component against all others.
 5. Links are joined into components.
 
 The order of shingles changes the work, never the result: tasks count shingles over all texts, and
@@ -37,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .buckets import Search, complete, gathered, stars
+from .buckets import Search, complete, gathered
 from .common import BROADCAST_IDS, blocks, map_frames, materialise, most_frequent, table, texts
 from .components import components
 from .op02_near_dedup import sets_of
@@ -47,6 +48,8 @@ from .shingles import shingle_sets
 COMMON = 500_000
 #: Shingles that a task counts at one time, and the count from which it reports one.
 KEPT_SHINGLES, REPORTED = 2_000_000, 3
+#: Documents of a region that one task joins, and the sum of their sizes.
+ROOM_ROWS, ROOM_SIZES = 1_024, 1_000_000
 #: Documents of a cell that are compared without further pivots, and pivots of a cell.
 LEAF, PIVOTS = 48, 12
 #: Cells with more documents in all than this times their parent's are not worth another cut.
@@ -131,14 +134,13 @@ def distances(docs: DataFrame, pairs: DataFrame, width: int, name: str) -> DataF
     return materialise(counted.select("a", "b", "both", (F.col("sum") - F.col("both")).alias("either")), f"{name}-distances")
 
 
-def rings(shared: DataFrame, reached: DataFrame, percent: int) -> DataFrame:
+def rings(regions: DataFrame, reached: DataFrame, percent: int) -> DataFrame:
     """band, node: every document in its ring around each of its pivots, and over the border in the next ring."""
     both_ways = reached.select(F.col("a").alias("node"), F.col("b").alias("leader"), "both", "either").union(reached.select("b", "a", "both", "either"))
-    own = shared.select("node", "leader").distinct()
-    far = own.where("node != leader").join(both_ways, ["node", "leader"])
+    far = regions.where("node != leader").join(both_ways, ["node", "leader"])
     # floor(d / theta) in whole numbers, for d = (either - both) / either.
     ring = F.expr(f"((either - both) * 100) div (either * {max(100 - percent, 1)})")
-    placed = far.select("node", "leader", ring.alias("ring")).union(own.where("node = leader").select("node", "leader", F.lit(0).cast("long")))
+    placed = far.select("node", "leader", ring.alias("ring")).union(regions.where("node = leader").select("node", "leader", F.lit(0).cast("long")))
     each = placed.select("node", "leader", F.explode(F.array(F.col("ring"), F.col("ring") + 1)).alias("ring"))
     return each.select(F.xxhash64("leader", "ring").alias("band"), "node").distinct()
 
@@ -195,11 +197,11 @@ class Cell:
             return
         if len(members) <= LEAF:
             return self.compare(members)
-        # Pivots are of different parts where there are several, and far from those chosen before.
+        # Each pivot is the document farthest from those before; nearer than 2 theta, its cell would hold theirs.
         seen = [self.distance(int(members[0]), members)]
         while len(seen) < PIVOTS:
             nearest = np.min(seen, axis=0)
-            apart = nearest > self.theta
+            apart = nearest > 2 * self.theta
             if not apart.any():
                 break
             seen.append(self.distance(int(members[np.flatnonzero(apart)[nearest[apart].argmax()]]), members))
@@ -224,6 +226,51 @@ def joined(percent: int) -> Search:
     return run
 
 
+def possible(percent: int) -> Search:
+    """For one region: the documents that some other one shares enough of its prefix with.
+
+    Say x's prefix ends before y's in the order of shingles. What they share is in both prefixes or
+    behind the end of x's, so it is at most the shared part of the prefixes and the rest of x.
+    """
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        n, rows = rows["n"].to_numpy(np.int64), rows.assign(shingles=rows["bands"], part=0)
+        cell, every = Cell(rows, percent), np.arange(len(rows))
+        rest, kept = n - cell.n, np.zeros(len(rows), bool)
+        for k in range(len(rows)):
+            others = every[k + 1 :]
+            others = others[np.minimum(n[others], n[k]) * 100 >= np.maximum(n[others], n[k]) * percent]
+            if len(others):
+                least = -((-percent * (n[others] + n[k])) // (100 + percent))  # what sets of these sizes have to share
+                near = others[cell.both(k, others) + np.maximum(rest[others], rest[k]) >= least]
+                kept[near] = True
+                kept[k] |= len(near) > 0
+        return pd.DataFrame({"leader": key[0], "node": cell.node[kept]})
+
+    return run
+
+
+def region_links(docs: DataFrame, regions: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: links of regions (leader, node) that one task can join."""
+    # A shingle's last 31 bits will do here: shingles that they mix up only let more documents stay.
+    short = reps.select("node", "n", F.transform("bands", lambda s: F.pmod(s, F.lit(1 << 31)).cast("int")).alias("bands"))
+    likely = regions.join(short, "node").groupBy("leader").applyInPandas(possible(percent), "leader long, node long")
+    likely = materialise(likely, "join-likely")
+    sets = materialise(sets_of(docs, materialise(likely.select("node").distinct(), "join-near-ids"), width), "join-near-sets")
+    met = likely.join(sets, "node").withColumn("part", F.col("node")).groupBy("leader")
+    return materialise(met.applyInPandas(joined(percent), "a long, b long").distinct(), "join-near-links")
+
+
+def large_region_links(docs: DataFrame, regions: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
+    """The same of larger regions: by their pivots, then by rings, in blocks."""
+    pairs = regions.where("node != leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    reached = distances(docs, materialise(pairs, "join-stars"), width, "join")
+    links = materialise(reached.where(F.col("both") * 100 >= F.col("either") * F.lit(percent)).select("a", "b"), "join-links")
+    held = lambda ids: sets_of(docs, ids, width)
+    sizes = reps.groupBy("node").agg(F.max("n").alias("size"))
+    return links.union(complete(materialise(rings(regions, reached, percent), "join-rings"), links, sizes, held, joined(percent), "join-rest"))
+
+
 def jaccard_join(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every document."""
     docs = texts(df, id_col, text_col)
@@ -231,12 +278,12 @@ def jaccard_join(df: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     known = all_rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     sets = materialise(known.groupBy("set_key").agg(F.min("doc_id").alias("node")), "join-sets")
     reps = materialise(prefixes(docs, sets.select("node"), common_shingles(all_rows), width, percent), "join-prefixes")
-    shared = gathered(reps, "join")
-    reached = distances(docs, materialise(stars(shared), "join-stars"), width, "join")
-    links = materialise(reached.where(F.col("both") * 100 >= F.col("either") * F.lit(percent)).select("a", "b"), "join-links")
-    held = lambda ids: sets_of(docs, ids, width)
-    more = complete(materialise(rings(shared, reached, percent), "join-rings"), links, reps.groupBy("node").agg(F.max("n").alias("size")), held, joined(percent), "join-rest")
-    linked = components(links.union(more), "join-all")
+    regions = materialise(gathered(reps, "join").select("leader", "node").distinct(), "join-regions")
+    sizes = materialise(regions.join(reps.select("node", "n"), "node").groupBy("leader").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("size")), "join-sizes")
+    fits = (F.col("rows") <= ROOM_ROWS) & (F.col("size") <= ROOM_SIZES)
+    of_size = lambda fit: regions.join(sizes.where(fit).select("leader"), "leader", "left_semi")
+    links = region_links(docs, of_size(fits), reps, width, percent).union(large_region_links(docs, of_size(~fits), reps, width, percent))
+    linked = components(links, "join-all")
     of_set = sets.join(linked, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
     out = all_rows.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
