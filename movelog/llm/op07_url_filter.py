@@ -1,8 +1,9 @@
 """URL filters: host and path rules first, else logistic regression on hashed character n-grams.
 
 Everything is DataFrame functions and pyspark.ml, so that it runs inside the JVM. The model is
-fitted on a small table of labelled URLs, which are made from word lists and not from the data, and of
-which a part is held out to measure it; scoring is one pass over the pages without a shuffle.
+fitted on a small table of labelled URLs, written out by topic and without a look at any data. Some
+hosts of each topic, and some topics as a whole, are held out to measure it. Scoring is one pass
+over the pages without a shuffle.
 
 Defined results: a null url, or one without `://`, has empty host and path, fits no rule and gets
 the verdict of the method on no n-grams (allow, by the intercept); repeated rows give one row each;
@@ -24,41 +25,84 @@ from .common import table
 #: (host and path, verdict); a rule fits its host and all subdomains, if the path starts with its path.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
-#: Words from which the labelled URLs are made: topics of the unwanted kind, ordinary ones, and words that
-#: stand beside either kind, as paths do.
-UNWANTED = (
-    "casino", "poker", "jackpot", "slots", "roulette", "betting", "bets", "lottery", "pills", "pharmacy", "viagra", "steroids", "payday", "loans",
-    "replica", "porn", "xxx", "escort", "webcam", "spam", "malware", "warez", "torrent", "popup", "ads", "adserver", "tracker", "phishing", "clickbait", "giveaway",
-)
-ORDINARY = (
-    "library", "museum", "school", "garden", "weather", "history", "hospital", "railway", "theatre", "recipes", "university", "council", "forum", "wiki",
-    "news", "music", "science", "travel", "farming", "sailing", "bakery", "market", "physics", "poetry", "cycling", "village", "theory", "station", "thread", "thesis",
-)
-BESIDE = ("best", "my", "online", "city", "free", "win", "cheap", "north", "farm", "track", "server", "open", "old", "big", "real", "today")
-PATHS = ("/", "/en/{n}", "/de/{n}.html", "/index.html", "/fr/{n}?page=2", "/es/{n}/", "/page/{n}", "/en/{n}#top")
-SYLLABLES = ("ber", "lin", "ta", "mor", "vel", "san", "ki", "ren", "do", "the", "ing", "har", "on", "est", "al", "nu")
-
-
-def labelled_urls() -> list[tuple[str, float, bool]]:
-    """url, label (1: unwanted) and whether it is held out of fitting, of 600 URLs made from the words by rule.
-
-    Each topic stands beside six words, before or after them, with and without a hyphen; as many ordinary
-    hosts are names of syllables. Paths and the words beside say nothing, as both kinds have them.
-    """
-    hosts = []
-    for label, topics in ((1.0, UNWANTED), (0.0, ORDINARY)):
-        for t, topic in enumerate(topics):
-            for k in range(6):
-                beside = BESIDE[(5 * t + 7 * k) % len(BESIDE)]
-                hosts.append(((f"{topic}-{beside}", f"{beside}-{topic}", f"{beside}{topic}")[k % 3], label))
-    n = len(SYLLABLES)
-    hosts += [(SYLLABLES[k % n] + SYLLABLES[(3 * k + k // n) % n] + (SYLLABLES[(7 * k + 1) % n] if k % 2 else ""), 0.0) for k in range(240)]
-    start = ("http://", "https://www.", "https://", "http://m.", "https://blog.")
-    urls = [(f"{start[k % 5]}{host}.test{PATHS[k % 8].format(n=37 * k % 1000)}", label) for k, (host, label) in enumerate(hosts)]
-    return [(url, label, zlib.crc32(url.encode()) % 4 == 0) for url, label in urls]
+# The labelled URLs, host and path, by topic. The first topics are unwanted, the others ordinary.
+UNWANTED = {
+    "gambling": (
+        "luckyroulette.test/play", "mega-jackpot.test/bonus", "pokerroom24.test/join", "slotmania.test/spin/7", "royal-blackjack.test/vip", "onlinebetting.test/odds", "lotto-results.test/claim", "bingopalace.test/deposit", "highroller-club.test/bonus?code=50",
+        "sportwager.test/live", "spinthewheel.test/register", "baccarat-live.test/table/3",
+    ),
+    "drugs": (
+        "rx-pharmacy.test/order", "discountmeds.test/viagra", "cialis-generic.test/buy", "steroidshop.test/cart", "nopresciption-drugs.test/sale", "hgh-supplement.test/offer", "weightloss-miracle.test/trial", "dietketo-slim.test/order", "painkiller-store.test/buy",
+        "sildenafil24.test/checkout", "onlinepharma.test/discount", "anabolic-market.test/shop",
+    ),
+    "loans": (
+        "payday-loans.test/apply", "fastcash-now.test/approve", "easycredit.test/nocheck", "quick-loan24.test/apply", "bad-credit-ok.test/instant", "cashadvance.test/today", "debt-eraser.test/offer", "instantmoney.test/approve", "earn-from-home.test/rich",
+        "crypto-doubler.test/invest", "forexprofit.test/signal", "passive-income.test/secret",
+    ),
+    "malware": (
+        "codec-update.test/setup.exe", "flashplayer-install.test/download.exe", "pc-cleaner-pro.test/scan", "virus-alert.test/fix.exe", "driverupdater.test/setup.zip", "keygen-serial.test/crack.exe", "toolbar-install.test/get.exe", "system-warning.test/call",
+        "browserupdate.test/urgent.exe", "antivirus-expired.test/renew", "speedup-pc.test/install", "mediaplayer-hd.test/codec.exe",
+    ),
+    "phishing": (
+        "secure-login-verify.test/account", "paypa1-security.test/signin", "bank-update.test/confirm", "account-suspended.test/verify", "appleid-unlock.test/login", "verify-wallet.test/seed", "netbank-alert.test/password", "mail-quota.test/signin",
+        "refund-tax.test/claim", "parcel-redelivery.test/pay", "signin-confirm.test/session", "wallet-recovery.test/phrase",
+    ),
+    "pornography": (
+        "hotgirls-cam.test/live", "xxxvideos.test/watch", "nude-webcam.test/chat", "pornhits.test/top", "sexychat.test/rooms", "milf-tube.test/watch/9", "erotic-clips.test/hd", "nakedcams.test/join", "fetish-tube.test/new", "hardcore-movies.test/scene",
+        "escort-service.test/city", "livesex.test/models",
+    ),
+    "replicas": (
+        "replica-watches.test/rolex", "luxurybags-outlet.test/sale", "fake-designer.test/shop", "swiss-replica.test/buy", "sneaker-outlet.test/discount", "brandcopy.test/gucci", "knockoff-store.test/order", "watchcopy.test/omega", "handbag-replica.test/lv",
+    ),
+    "dating": ("meet-singles.test/tonight", "lonelywives.test/chat", "hookup-now.test/join", "mailorderbride.test/gallery", "flirtnearby.test/signup", "sugar-dating.test/profiles", "secret-affair.test/match", "datehotties.test/register"),
+    "piracy": ("torrent-movies.test/download", "warezplanet.test/full", "crackedgames.test/iso", "stream-pirate.test/episode/4", "mp3-leech.test/album", "putlocker-hd.test/watch", "serialz-keygen.test/get", "rip-dvd.test/torrent"),
+}
+ORDINARY = {
+    "schools": (
+        "riverside-school.test/timetable", "st-marys-college.test/admissions", "university-press.test/catalogue", "physics-department.test/lectures/3", "openlearning.test/course/algebra", "kindergarten-sunshine.test/news", "teachersunion.test/about",
+        "student-housing.test/rooms", "mathclub.test/problems", "language-lessons.test/grammar", "graduateschool.test/thesis/88", "parents-council.test/minutes",
+    ),
+    "news": (
+        "morningherald.test/politics/2021", "daily-courier.test/local", "evening-post.test/weather", "worldreport.test/economy", "the-observer.test/opinion/12", "radiocity.test/schedule", "harbour-times.test/sport", "sciencenews.test/astronomy", "businessjournal.test/markets",
+        "village-voice.test/letters", "pressagency.test/archive/1998", "weekly-review.test/books",
+    ),
+    "food": (
+        "grandmas-kitchen.test/recipes/soup", "breadandbutter.test/baking", "vegetarian-table.test/lentils", "coffee-roasters.test/beans", "ricecooking.test/basics", "italian-pasta.test/sauces", "cheesemakers.test/guide", "seasonal-cook.test/autumn",
+        "teahouse.test/menu", "orchard-kitchen.test/bread", "restaurant-linden.test/menu", "spicebook.test/cumin",
+    ),
+    "health": (
+        "city-hospital.test/visitors", "children-clinic.test/contact", "nursing-journal.test/issue/4", "dentist-miller.test/hours", "mentalhealth-help.test/advice", "redcross-blood.test/donate", "eyecare.test/glasses", "pharmacology-review.test/article/31",
+        "physio-centre.test/exercises", "vaccination-info.test/faq", "healthministry.test/statistics", "sleep-research.test/study",
+    ),
+    "programming": (
+        "python-tutorial.test/lists", "opensource-docs.test/api/v2", "compilerblog.test/parsing", "linux-users.test/kernel", "database-guide.test/joins", "webstandards.test/css", "code-review.test/issues/204", "algorithms.test/sorting", "devforum.test/thread/17",
+        "rust-book.test/ownership", "data-engineering.test/pipelines", "packageindex.test/numpy",
+    ),
+    "nature": (
+        "birdwatchers.test/species/owl", "alpine-garden.test/plants", "ocean-institute.test/currents", "forestry-office.test/trees", "beekeeping.test/hives", "weather-station.test/rainfall", "mountain-hikes.test/trail/6", "river-trust.test/salmon",
+        "mushroomguide.test/edible", "wildlife-fund.test/projects", "geology-museum.test/minerals", "national-park.test/map",
+    ),
+    "crafts": (
+        "woodworking.test/joints", "knitting-patterns.test/socks", "pottery-studio.test/glazes", "bicycle-repair.test/brakes", "modelrailway.test/layout", "quiltcircle.test/blocks", "photo-club.test/exposure", "violin-maker.test/varnish", "paper-folding.test/crane",
+    ),
+    "museums": ("art-gallery.test/exhibitions", "maritime-museum.test/ships", "history-archive.test/letters/1871", "castle-tours.test/tickets", "folkmuseum.test/costumes", "library-catalogue.test/search", "theatre-royal.test/programme", "opera-house.test/season"),
+    "transport": ("railway-timetable.test/north", "airport-info.test/arrivals", "ferry-line.test/routes", "bus-service.test/stops/12", "metro-map.test/line/3", "cyclingroutes.test/coast", "roadworks.test/closures", "tram-museum.test/depot"),
+}
+#: Topics of which nothing is fitted, to measure the model on what it has never seen.
+HELD_TOPICS = ("dating", "piracy", "museums", "transport")
+
+
+def labelled_urls() -> list[tuple[str, float, str, bool]]:
+    """url, label (1: unwanted), topic, and whether it is held out of fitting: all of HELD_TOPICS, and a quarter of the other hosts."""
+    start = ("http://", "https://www.", "https://", "http://m.", "https://blog.")  # by the hash of the host, as both kinds have them
+    rows = [(rest, label, topic) for label, topics in ((1.0, UNWANTED), (0.0, ORDINARY)) for topic, urls in topics.items() for rest in urls]
+    hashed = [zlib.crc32(rest.partition("/")[0].encode()) for rest, _, _ in rows]
+    return [(start[h // 4 % 5] + rest, label, topic, topic in HELD_TOPICS or h % 4 == 0) for h, (rest, label, topic) in zip(hashed, rows, strict=True)]
 
 
 SIZES = (3, 4, 5)
+#: The share of unwanted URLs that fitting assumes; a filter meets more ordinary ones.
+PRIOR = 0.2
 FEATURES = 1 << 16
 
 
@@ -80,7 +124,7 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) -> t
 
 
 def ngrams(text: Column, mark: str) -> Column:
-    """Character n-grams of a bounded text, each under the mark of the part it is from."""
+    """Character n-grams of a text, each under the mark of the part it is from."""
     padded = F.concat(F.lit("^"), text, F.lit("$"))
 
     def of(n: int) -> Column:
@@ -96,11 +140,12 @@ def features(df: DataFrame) -> DataFrame:
     return HashingTF(inputCol="__grams", outputCol="__features", numFeatures=FEATURES, binary=True).transform(grams)
 
 
-def fit(spark: SparkSession, urls: list[tuple[str, float]] | None = None) -> LogisticRegressionModel:
+def fit(spark: SparkSession, urls: list[tuple[str, float]] | None = None, prior: float = PRIOR) -> LogisticRegressionModel:
     """Fits the regression on labelled URLs (1: unwanted); by default those of the table that are not held out."""
-    rows = [(u, y) for u, y, held in labelled_urls() if not held] if urls is None else urls
-    share = sum(y for _, y in rows) / max(len(rows), 1)  # each class weighs as a whole
-    listed = ", ".join(f"('{u}', {y}D, {(1 - share if y else share)}D)" for u, y in rows)  # as SQL, so that no Python rows are shipped
+    rows = [(u, y) for u, y, _, held in labelled_urls() if not held] if urls is None else urls
+    share = sum(y for _, y in rows) / max(len(rows), 1)
+    weight = lambda y: prior * (1 - share) if y else (1 - prior) * share  # noqa: E731 - each class weighs as a whole, by the prior
+    listed = ", ".join(f"('{u}', {y}D, {weight(y)}D)" for u, y in rows)  # as SQL, so that no Python rows are shipped
     labelled = spark.sql(f"SELECT * FROM VALUES {listed} AS t(url, label, weight)").coalesce(1)
     host, path = url_parts(F.col("url"))
     train = features(labelled.select("label", "weight", host.alias("host"), path.alias("path"))).select("label", "weight", F.col("__features"))
