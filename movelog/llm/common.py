@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+
+from ..functions.frames import map_frames  # noqa: F401 - the operators take it from here
 
 #: Characters of text that a Python task holds as numpy arrays at one time, and rows of an Arrow batch.
 BLOCK_CHARS = 500_000
@@ -38,31 +37,6 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
-    """As mapInPandas, but whole numbers stay whole beside nulls.
-
-    pandas would read a column of longs with a null as floats, which merges ids above 2^53. Such
-    columns come as nullable integers here, and results are cast to the schema from Arrow's side;
-    columns that a result leaves out are null.
-    """
-    wanted = to_arrow_schema(StructType.fromDDL(schema))
-
-    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            frame = batch.to_pandas()
-            for column, values in zip(batch.schema.names, batch.columns, strict=True):
-                if values.null_count and pa.types.is_integer(values.type):
-                    frame[column] = pd.array(values.to_pylist(), "Int64")
-            yield frame
-
-    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in run(frames(batches)):
-            frame = frame.assign(**{name: None for name in wanted.names if name not in frame})
-            yield pa.RecordBatch.from_pandas(frame, wanted, preserve_index=False)
-
-    return df.mapInArrow(mapped, schema)
-
-
 def blocks(frames: Iterator[pd.DataFrame], column: str = "text", limit: int = BLOCK_CHARS) -> Iterator[pd.DataFrame]:
     """Cuts batches so that each holds about `limit` characters at most, or one row."""
     for frame in frames:

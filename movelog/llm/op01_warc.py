@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .common import shared_dir, table
+from .common import materialise, shared_dir, table
 
 SCHEMA = "record_type string, record_id string, target_uri string, warc_date string, payload_digest string, refers_to string, payload_bytes long, computed_digest string, payload binary"
 #: Column -> header, for the columns that are a header's text.
@@ -287,8 +287,9 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """The records of an archive of pages: of equal payloads of least_bytes at least, the largest id responds."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("target_uri"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("payload_digest", base32_sha1(F.col("payload"))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    # Partial sums meet the hot payloads before the shuffle; the join's hot partitions are split by AQE.
-    keepers = rows.groupBy("payload_digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    # Partial sums meet the hot payloads before the shuffle. They are written before they are joined, as
+    # Spark splits a hot payload only in a join of two exchanges.
+    keepers = materialise(rows.groupBy("payload_digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"), "warc-keepers")
     joined = rows.join(keepers, "payload_digest", "left")
     revisit = F.coalesce((F.col("keeper") != F.coalesce(F.col("page_id"), F.col("keeper") - 1)) & (F.col("payload_bytes") >= least_bytes), F.lit(False))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))

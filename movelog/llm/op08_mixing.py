@@ -133,9 +133,10 @@ def schedule(df: DataFrame, weights: dict[str | None, float] | None = None, bloc
 
 def mix(df: DataFrame, weights: dict[str | None, float] | None = None, block_chars: int = BLOCK_CHARS, epochs: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of df in the order of the mix, with all their columns; a short source's rows come up to `epochs` times."""
-    rows = placed(df, weights, block_chars, id_col, text_col, source_col, epochs)
-    rows = rows.withColumn("__slot", F.explode(F.col("__turns.slot"))).drop("__turns")
-    return rows.repartitionByRange("__slot", "__offset").sortWithinPartitions("__slot", "__offset", "__order", id_col).select(*[F.col(f"`{c}`") for c in df.columns])
+    # The row travels as one struct, so that no column of it can clash with those of the placing.
+    own = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), F.struct("*").alias("row"))
+    rows = placed(own, weights, block_chars, "doc_id", "text", "source", epochs, narrow=True).withColumn("__slot", F.explode(F.col("__turns.slot")))
+    return rows.repartitionByRange("__slot", "__offset").sortWithinPartitions("__slot", "__offset", "__order", "doc_id").select("row.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
