@@ -20,6 +20,7 @@ from ..operators import scoring as C
 from ..operators import sequence as Q
 from ..sources import archive, shared, tables
 from ..streaming import fold, ingest
+from . import features
 from . import fixtures as X
 from .dataset import Dataset
 
@@ -836,3 +837,33 @@ def embeddings_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT source_col, count(*) AS n_rows, count(vec) AS n_filled FROM {VECTORS} GROUP BY source_col")
 def fill_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.fill_stats(vectors(spark, sf_dir))
+
+
+def state_vectors(frame: pd.DataFrame) -> pd.Series:
+    """A stand-in for a network: two numbers for each state and rating."""
+    return stand_in("state", "opponent_elo")(frame).map(lambda x: [float(x), float(x) + 1])
+
+
+def featurised(spark: SparkSession, sf_dir: str) -> features.Features:
+    """All state columns of the moves, where the first half-move's opponent has no rating."""
+    rows = X.states(spark, sf_dir).withColumn("opponent_elo", F.when(F.col("half_move") > 1, F.col("opponent_elo")))
+    return features.featurise(rows, ["game_id", "half_move"], "fen_", ["opponent_elo"], state_vectors, shared.shared_folder(spark, "features"))
+
+
+RATED = "concat(state, ':', CASE WHEN half_move > 1 THEN CAST(opponent_elo AS STRING) ELSE '0' END)"
+
+
+@query(f"SELECT game_id, half_move, source_col, CASE WHEN state IS NOT NULL AND lower(trim(state)) NOT IN ('', 'none', 'nan') THEN CAST({scored(RATED)} AS DOUBLE) END AS first_value, CASE WHEN state IS NOT NULL AND lower(trim(state)) NOT IN ('', 'none', 'nan') THEN CAST({scored(RATED)} + 1 AS DOUBLE) END AS second_value FROM {CELLS}")
+def featurise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = lambda k: F.get("vec", F.lit(k)).cast("double")
+    return featurised(spark, sf_dir).vectors.select("game_id", "half_move", "source_col", value(0).alias("first_value"), value(1).alias("second_value"))
+
+
+@query(f"SELECT (SELECT count(*) FROM {CELLS}) AS n_cells, count(*) AS n_used, count(DISTINCT {RATED}) AS n_unique, (SELECT count(*) FROM states WHERE half_move = 1) AS n_filled_extras FROM {FILLED}")
+def featurise_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return featurised(spark, sf_dir).totals
+
+
+@query(f"SELECT source_col, count(*) AS n_rows, count(*) FILTER (WHERE state IS NOT NULL AND lower(trim(state)) NOT IN ('', 'none', 'nan')) AS n_filled FROM {CELLS} GROUP BY source_col")
+def featurise_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return featurised(spark, sf_dir).filled
