@@ -4,11 +4,13 @@ import random
 
 import corpus_pipeline
 from movelog.llm import op03_bpe
+from movelog.llm.common import materialise
 from movelog.llm.queries import QUERIES
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from .test_operators import DOCS, brute_components
+from .test_operators import DOCS, brute_components, odd  # noqa: F401
 
 
 def test_stages(spark, tmp_path):
@@ -42,5 +44,19 @@ def test_stages(spark, tmp_path):
         assert r.n_tokens == len(codec.encode([by[r.doc_id]])[0]) // 4
 
 
+def test_stages_on_odd_rows_and_none(spark, tmp_path, odd):  # noqa: F811
+    """Nulls, repeats, very long texts and columns of inner names; no labelled row, so nothing is toxic."""
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name in ("__gone", "__slot", "__order", "row"):
+        odd = odd.withColumn(name, F.col("doc_id") * 2)  # noqa: F811
+    for docs, wanted in ((odd, [11, 10, 10, 10]), (odd.limit(0), [0, 0, 0, 0])):
+        for (name, stage), n in zip(corpus_pipeline.STAGES, wanted, strict=True):
+            out = materialise(stage(spark, docs, str(tmp_path)), f"odd-{name}")
+            assert out.count() == n
+            if name != "bpe":
+                assert out.columns == docs.columns and out.exceptAll(docs).count() == 0
+            docs = out
+
+
 def test_a_query_for_each_operator():
     assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
