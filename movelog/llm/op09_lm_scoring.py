@@ -40,11 +40,14 @@ CLASSES = 1 + TOP + ENDINGS
 HIDDEN, ROUNDS = 24, 100
 #: Rounds and step of the training in tasks, where each round is a job.
 TASK_ROUNDS, TASK_STEP = 40, 0.06
-KEPT_WORDS = 200_000
+#: Words that a task remembers at one time; it starts anew beyond.
+KEPT_WORDS = 80_000
 #: Words whose counts are sent to the tasks that score; all others are joined.
 COMMON = 100_000
 #: Windows that a task adds up at one time.
-KEPT_WINDOWS = 4_000_000
+KEPT_WINDOWS = 2_000_000
+#: Characters of text that are scored at one time.
+SCORED_CHARS = 200_000
 #: Tasks of a round of training, at most.
 TRAINERS = 24
 _WORDS = re.compile(r"\w+|[^\w\s]").findall
@@ -133,6 +136,7 @@ def window_counts(docs: DataFrame, top: list[str], endings: int = ENDINGS) -> Da
                 held, n = [], 0
         if n:
             yield from sums()
+        held.clear()
 
     def dense(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         counts = np.zeros(size**2, np.int64)
@@ -289,7 +293,7 @@ def pseudo_likelihood(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         hidden = np.tanh(p["left"][:, None] + p["right"][None]).reshape(size**2, HIDDEN)  # of all contexts, classes squared
         row = TaskContext.get().partitionId() << 40
         words = ScoredWords(Classes(top, endings), known, of_class)
-        for frame in blocks(frames):
+        for frame in blocks(frames, limit=SCORED_CHARS):
             batch = words_of(frame.text.tolist())
             counts = np.array([len(x) for x in batch], np.int64)
             ids = words.number(batch, int(counts.sum()))
@@ -300,6 +304,7 @@ def pseudo_likelihood(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             sums, ends = np.concatenate([[0.0], np.cumsum(logp + words.share[ids])]), np.cumsum(counts)
             yield pd.DataFrame({"row": row + np.arange(len(frame)), "doc_id": frame.doc_id.array, "n_words": counts, "sum": sums[ends] - sums[ends - counts], "rest": words.rare(ids, counts)})
             row += len(frame)
+        words.forget()  # an idle worker keeps no words
 
     scored = materialise(map_frames(docs, run, "row long, doc_id long, n_words long, sum double, rest array<struct<word: string, k: long>>"), "lm-scored")
     rare = scored.select("row", F.inline("rest")).join(words, "word").groupBy("row").agg(F.sum(F.col("k") * F.log("n")).alias("more"))
