@@ -36,8 +36,10 @@ from .common import map_frames, materialise, table
 
 #: Widths of segments, level by level.
 WIDTHS = (16, 4, 2)
-#: Anchors of a block, and rows that meet them at one time.
-ANCHORS, ROWS = 2_048, 512
+#: Anchors of a block, which a task holds; anchors and rows that meet at one time.
+ANCHORS, CHUNK, ROWS = 32_768, 2_048, 512
+#: Tasks at most, whatever the number of cells.
+TASKS = 20_000
 #: Rows of a part at most; every part meets every block of anchors in a task.
 PART = 250_000
 #: Products are whole in floating point up to here.
@@ -248,7 +250,7 @@ def met(rows: DataFrame, anchors: DataFrame, mining: Mining, kind: type[Positive
     own = anchors.withColumn("block", dealt(n_blocks, 2)).select("*", every(n_parts).alias("part")).select(*shape, F.lit(True).alias("is_anchor"), "positives")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cell, held, now = None, [], None
+        cell, held, now = None, [], []
         for frame in frames:
             if not len(frame):
                 continue
@@ -257,20 +259,21 @@ def met(rows: DataFrame, anchors: DataFrame, mining: Mining, kind: type[Positive
             for at, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(frame)], strict=True):
                 piece = frame.iloc[at:end]
                 if keys[at] != cell:
-                    if now is not None:
-                        yield now.found()
-                    cell, held, now = keys[at], [], None
+                    yield from (part.found() for part in now)
+                    cell, held, now = keys[at], [], []
                 if piece["is_anchor"].iloc[0]:
                     held.append(piece)
                     continue
                 if held:
-                    now, held = kind(pd.concat(held), mining), []
-                for k in range(0, len(piece) if now is not None else 0, ROWS):
-                    meet(now, piece.iloc[k : k + ROWS])
-        if now is not None:
-            yield now.found()
-
-    cells = each.union(own).repartition(n_blocks * n_parts, "block", "part").sortWithinPartitions("block", "part", F.desc("is_anchor"))
+                    anchors, held = pd.concat(held), []
+                    now = [kind(anchors.iloc[k : k + CHUNK], mining) for k in range(0, len(anchors), CHUNK)]
+                for k in range(0, len(piece) if now else 0, ROWS):
+                    rows = piece.iloc[k : k + ROWS]
+                    for part in now:
+                        meet(part, rows)
+        yield from (part.found() for part in now)
+
+    cells = each.union(own).repartition(min(n_blocks * n_parts, TASKS), "block", "part").sortWithinPartitions("block", "part", F.desc("is_anchor"))
     return materialise(map_frames(cells, run, "anchor long, slot int, id long, score long"), name)
 
 

@@ -118,7 +118,8 @@ def mined(df, is_anchor, **options):
 
 
 def test_negatives_by_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(op12_hard_negatives, "ANCHORS", 7)
+    monkeypatch.setattr(op12_hard_negatives, "ANCHORS", 20)
+    monkeypatch.setattr(op12_hard_negatives, "CHUNK", 7)
     monkeypatch.setattr(op12_hard_negatives, "ROWS", 40)
     monkeypatch.setattr(op12_hard_negatives, "PART", 100)
     rng = np.random.default_rng(12)
