@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ["player", "game_id", "half_move"]
@@ -18,12 +18,26 @@ def side_extras(known: list[str], side: DataFrame, keys: list[str]) -> DataFrame
 def merge_side_tables(main: DataFrame, sides: list[DataFrame], keys: list[str] = KEYS) -> DataFrame:
     """Side tables onto the main table by key; of columns with one name the first table's stays.
 
-    A key that a side table has twice raises while the result is made; `merge_faults` lists such keys.
+    All tables are one union, tagged by table: a single shuffle by key, however many side tables there
+    are. Rows stay rows that are sorted by key and may spill; a key's window gives each main row the new
+    columns, and no key's rows are collected. A key that a side table has twice raises while the result
+    is made; `merge_faults` lists such keys.
     """
-    merged = tagged_merge(main, sides, keys)
-    doubled = F.exists(F.array(*[F.col(f"__n{k}") for k in range(1, len(sides) + 1)]), lambda n: n > 1) if sides else F.lit(False)
-    checked = F.when(doubled, F.raise_error(F.concat(F.lit("a side table has several rows of the key "), F.to_json(F.struct(*keys))))).otherwise(F.col("__main"))
-    return merged.select(F.explode(checked).alias("__row"), "*").select(*[F.col(f"__row.{c}").alias(c) for c in main.columns], *new_columns(main, sides, keys))
+    new = {c: side.schema[c].dataType for side in reversed(sides) for c in side.columns if c in new_columns(main, sides, keys)}
+    rest = [f for f in main.schema.fields if f.name not in keys]
+    known, parts = set(main.columns), []
+    for k, df in enumerate([main, *sides]):
+        own = [c for c in df.columns if k and c not in known]
+        known |= set(df.columns)
+        of_main = [(F.lit(None).cast(f.dataType) if k else F.col(f.name)).alias(f.name) for f in rest]
+        parts.append(df.select(*keys, F.lit(k).alias("__table"), *of_main, *[(F.col(c) if c in own else F.lit(None).cast(new[c])).alias(c) for c in new]))
+    of_key = Window.partitionBy(*keys)
+    counts = [F.count_if(F.col("__table") == k).over(of_key).alias(f"__n{k}") for k in range(1, len(parts))]
+    seen = reduce(DataFrame.unionByName, parts).select(*keys, "__table", *[f.name for f in rest], *[F.first(c, ignorenulls=True).over(of_key).alias(c) for c in new], *counts)
+    doubled = reduce(Column.__or__, [F.col(f"__n{k}") > 1 for k in range(1, len(parts))], F.lit(False))
+    told = F.raise_error(F.concat(F.lit("a side table has several rows of the key "), F.to_json(F.struct(*keys))))
+    # Rows of side tables are judged too: a key that main lacks may be doubled.
+    return seen.where(F.when(doubled, told.cast("boolean")).otherwise(F.col("__table") == 0)).select(*main.columns, *new)
 
 
 def new_columns(main: DataFrame, sides: list[DataFrame], keys: list[str]) -> list[str]:
@@ -31,27 +45,10 @@ def new_columns(main: DataFrame, sides: list[DataFrame], keys: list[str]) -> lis
     return list(dict.fromkeys(c for side in sides for c in side.columns if c not in main.columns and c not in keys))
 
 
-def tagged_merge(main: DataFrame, sides: list[DataFrame], keys: list[str]) -> DataFrame:
-    """keys, __main (the main table's rows of the key), __n0, __n1, ... (rows of the key in each table) and the side tables' new columns.
-
-    All tables are one union, tagged by table, and one aggregate by key: a single shuffle, however
-    many side tables there are. A key that tables lack or have twice shows in their counts.
-    """
-    known, parts = set(main.columns), []
-    new = {f.name: f.dataType for side in reversed(sides) for f in side.schema.fields if f.name in new_columns(main, sides, keys)}
-    for k, df in enumerate([main, *sides]):
-        own = [c for c in df.columns if k and c not in known]
-        known |= set(df.columns)
-        row = F.struct(*[F.col(c) for c in main.columns]) if not k else F.lit(None).cast(main.schema)
-        parts.append(df.select(*keys, F.lit(k).alias("__table"), row.alias("__row"), *[(F.col(c) if c in own else F.lit(None).cast(new[c])).alias(c) for c in new]))
-    union = reduce(DataFrame.unionByName, parts)
-    counts = [F.count_if(F.col("__table") == k).alias(f"__n{k}") for k in range(len(parts))]
-    return union.groupBy(*keys).agg(F.collect_list("__row").alias("__main"), *counts, *[F.first(c, ignorenulls=True).alias(c) for c in new])
-
-
 def merge_faults(main: DataFrame, sides: list[DataFrame], keys: list[str] = KEYS) -> DataFrame:
     """keys, table (number of the side table, from 1), n_main, n_side: keys that a side table lacks, has alone or has more often than once."""
-    merged = tagged_merge(main.select(*keys), [side.select(*keys) for side in sides], keys)
+    tagged = [df.select(*keys, F.lit(k).alias("__table")) for k, df in enumerate([main, *sides])]
+    merged = reduce(DataFrame.unionByName, tagged).groupBy(*keys).agg(*[F.count_if(F.col("__table") == k).alias(f"__n{k}") for k in range(len(tagged))])
     each = F.array(*[F.struct(F.lit(k).alias("table"), F.col("__n0").alias("n_main"), F.col(f"__n{k}").alias("n_side")) for k in range(1, len(sides) + 1)])
     return merged.select(*keys, F.inline(each)).where("n_main != n_side OR n_side > 1")
 

@@ -209,6 +209,16 @@ def test_merge_shuffles_once_for_all_sides(spark):
     assert (row.c0, row.c1, row.c2) == (0, 1, 2)
 
 
+def test_merge_collects_no_rows_of_a_key(spark):
+    main = keyed(spark, [("p", "g", 1, "m"), (None, "g", 2, "n")], ", move string")
+    side = keyed(spark, [(None, "g", 2, 5), ("only here", "g", 1, 6)], ", x int")
+    merged = M.merge_side_tables(main, [side])
+    assert "ObjectHashAggregate" not in plan(merged) and "SortAggregate" not in plan(merged)
+    assert sorted(((r.player, r.x) for r in merged.collect()), key=str) == [("p", None), (None, 5)]
+    with pytest.raises(Exception, match="several rows of the key"):  # main does not have the key
+        M.merge_side_tables(main, [side.union(side.where("player IS NOT NULL"))]).collect()
+
+
 def test_index_columns_by_bitmaps(spark):
     rows = [(k, (k * 7) % 50, k + 1, k % 49, str(49 - k), None if k == 3 else k, k + 0.5, 5) for k in range(50)]
     df = spark.createDataFrame(rows, "u_a int, u_b int, u_c long, u_d int, u_e string, u_f int, u_g double, v int")
