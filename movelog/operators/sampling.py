@@ -39,24 +39,23 @@ def rank_in(by: list[str], *order: Column) -> Column:
 
 
 def cut_top_n(df: DataFrame, by: list[str], key: str, n: int, salt: str) -> DataFrame:
-    """n rows of each stratum by the hash of the key and then the key, for any n; no stratum is sorted or held whole.
+    """n rows of each stratum by the hash of the key and then the key, for any n; no stratum is sorted, joined or held whole.
 
     Rows are counted by stratum and slice of the hash, in every task before anything is shuffled. The
-    counts of a stratum, one for each slice, tell in which slice its n-th row lies. Rows of later slices
-    do not move, rows of earlier ones are in, and each slice is ranked on its own.
+    counts of a stratum, one for each slice, tell how many rows each slice gives: all of them before the
+    slice of the n-th row, some of that one. Rows of slices past every stratum's last do not move; the
+    others meet their slice's number by stratum and slice, and each slice is ranked on its own.
     """
-    digest = hash_order(salt, F.col(key))
     # Null keys come first, as in the order itself.
-    place = F.coalesce(F.conv(F.substring(digest, 1, SLICE_DIGITS), 16, 10).cast("int"), F.lit(-1))
-    rows = df.withColumns({"__digest": digest, "__slice": place})
+    place = lambda: F.coalesce(F.conv(F.substring(hash_order(salt, F.col(key)), 1, SLICE_DIGITS), 16, 10).cast("int"), F.lit(-1))
     upto = F.sum("__rows").over(Window.partitionBy(*by).orderBy("__slice"))
-    counts = rows.groupBy(*by, "__slice").agg(F.count(F.lit(1)).alias("__rows")).withColumn("__before", upto - F.col("__rows"))
-    cuts = counts.where((F.col("__before") < n) & (F.col("__before") + F.col("__rows") >= n))
-    cuts = cuts.select(*[F.col(c).alias(f"__of_{c}") for c in by], F.col("__slice").alias("__cut"), (F.lit(n) - F.col("__before")).alias("__left"))
-    # A stratum without a cut has fewer than n rows, which are all in.
-    found = rows.join(cuts, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in by], "left").where("__cut IS NULL OR __slice <= __cut")
-    ranked = found.withColumn("__rank", rank_in([*by, "__slice"], F.col("__digest"), F.col(key)))
-    return ranked.where("__cut IS NULL OR __slice < __cut OR __rank <= __left").select(*df.columns)
+    counts = df.select(*by, place().alias("__slice")).groupBy(*by, "__slice").agg(F.count(F.lit(1)).alias("__rows")).withColumn("__left", F.lit(n) - upto + F.col("__rows"))
+    wanted = counts.where("__left > 0").select(*[F.col(c).alias(f"__of_{c}") for c in by], F.col("__slice").alias("__of_slice"), "__left")
+    last = wanted.agg(F.max("__of_slice").alias("__last"))  # one row
+    rows = df.withColumn("__slice", place()).join(F.broadcast(last), F.col("__slice") <= F.col("__last"))
+    same = [F.col("__slice") == F.col("__of_slice"), *[F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in by]]
+    ranked = rows.join(wanted, same).withColumn("__rank", rank_in([*by, "__slice"], hash_order(salt, F.col(key)), F.col(key)))
+    return ranked.where("__rank <= __left").select(*df.columns)
 
 
 def hash_top_n(df: DataFrame, by: list[str], key: str, n: int, salt: str) -> DataFrame:

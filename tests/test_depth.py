@@ -52,6 +52,8 @@ def test_no_task_sorts_a_stratum(spark):
     text = cut._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in text.splitlines() if "Window [row_number" in line]
     assert windows and all("__slice" in line.split("],")[1] for line in windows)  # ranks are by stratum and slice
+    joins = [line for line in text.splitlines() if "Join " in line]
+    assert joins and all("__slice" in line for line in joins)  # no row is dealt by its stratum alone
 
 
 # ---------------------------------------------------------------- summaries
