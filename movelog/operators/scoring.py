@@ -26,6 +26,10 @@ Start = Callable[[str], Scorer]
 KEPT_ENGINES = 4
 _engines: OrderedDict[tuple[str, str], Scorer] = OrderedDict()
 
+#: Failing inputs that a worker remembers of an engine, and the attempts of its engines; both are dropped with the engine.
+REMEMBERED = 200_000
+_attempts: dict[tuple[str, str], Attempts] = {}
+
 
 def score(df: DataFrame, inputs: list[str], scorer: Scorer, result: str = "score", kind: str = "long") -> DataFrame:
     """The inputs and the scorer's result, in Arrow batches; whole numbers stay whole beside nulls."""
@@ -52,38 +56,77 @@ def engine(run: str, param: str, start: Start) -> Scorer:
     at = (run, param)
     if at not in _engines:
         while len(_engines) >= KEPT_ENGINES:
-            _, old = _engines.popitem(last=False)
+            dropped, old = _engines.popitem(last=False)
+            _attempts.pop(dropped, None)
             getattr(old, "close", lambda: None)()
         _engines[at] = start(param)
     _engines.move_to_end(at)
     return _engines[at]
 
 
-def tried(scorer: Scorer, frame: pd.DataFrame) -> tuple[list, list]:
-    """Results and failures of a frame's rows. A frame that fails is halved, so that only rows that fail by themselves have a failure."""
+def tried(scorer: Scorer, frame: pd.DataFrame, whole: bool = True) -> tuple[list, list]:
+    """Results and failures of a frame's rows. A frame that fails is halved, so that only rows that fail by themselves have a failure.
+
+    A frame of which it is known that it fails is halved without being scored (`whole` false): if the
+    first half of one that failed is right, the second has the fault.
+    """
     if not len(frame):
         return [], []
-    try:
-        found = list(scorer(frame))
-        if len(found) != len(frame):
-            raise ValueError(f"{len(found)} results for {len(frame)} rows")
-        return found, [None] * len(found)
-    except Exception as e:  # noqa: BLE001 - an engine may raise anything
-        if len(frame) == 1:
-            return [None], [str(e) or type(e).__name__]
-        half = len(frame) // 2
-        first, second = tried(scorer, frame.iloc[:half]), tried(scorer, frame.iloc[half:])
-        return first[0] + second[0], first[1] + second[1]
+    if whole or len(frame) == 1:
+        try:
+            found = list(scorer(frame))
+            if len(found) != len(frame):
+                raise ValueError(f"{len(found)} results for {len(frame)} rows")
+            return found, [None] * len(found)
+        except Exception as e:  # noqa: BLE001 - an engine may raise anything
+            if len(frame) == 1:
+                return [None], [str(e) or type(e).__name__]
+    half = len(frame) // 2
+    first = tried(scorer, frame.iloc[:half])
+    second = tried(scorer, frame.iloc[half:], any(f is not None for f in first[1]))
+    return first[0] + second[0], first[1] + second[1]
+
+
+class Attempts:
+    """An engine's attempts at frames, and the inputs it has failed on.
+
+    Rows whose inputs have failed before are tried one by one and apart from the rest, which then
+    succeeds at once more often. Every row is still tried: what is remembered only says in which company.
+    """
+
+    def __init__(self, inputs: list[str]):
+        self.inputs, self.failing = inputs, set()
+
+    def doubtful(self, frame: pd.DataFrame) -> pd.Series | None:
+        """Hashes of the rows' inputs; None where they cannot be hashed."""
+        try:
+            return pd.util.hash_pandas_object(frame[self.inputs], index=False)
+        except TypeError:
+            return None
+
+    def __call__(self, scorer: Scorer, frame: pd.DataFrame) -> tuple[list, list]:
+        if (marks := self.doubtful(frame)) is None:
+            return tried(scorer, frame)
+        apart = marks.isin(self.failing).to_numpy()
+        found, failed = pd.Series(None, range(len(frame)), object), pd.Series(None, range(len(frame)), object)
+        parts = [[k] for k in apart.nonzero()[0]] + ([(~apart).nonzero()[0]] if not apart.all() else [])
+        for places in parts:
+            found.iloc[places], failed.iloc[places] = (pd.Series(values, places, object) for values in tried(scorer, frame.iloc[places]))
+        if len(self.failing) < REMEMBERED:
+            self.failing.update(marks[[f is not None for f in failed]])
+        return found.tolist(), failed.tolist()
 
 
 def score_with_engines(df: DataFrame, keys: list[str], inputs: list[str], params: list[str], start: Start, kind: str = "long", tasks_each: int | None = None) -> DataFrame:
     """keys, param, score, failure: every row once for each parameter, by engines that are dear to start.
 
     Work is dealt by parameter: each task has rows of one parameter only, in `tasks_each` tasks for each
-    (by default all cores' share), and each worker starts an engine once for a parameter. Rows that
-    an engine fails on have a null score and the failure's text; the rest of their batch is scored.
+    (by default the share of all cores or of all shuffle partitions, whichever is more), and each worker
+    starts an engine once for a parameter. Rows that an engine fails on have a null score and the
+    failure's text; the rest of their batch is scored.
     """
-    run, parallel = uuid.uuid4().hex, df.sparkSession.sparkContext.defaultParallelism
+    run, spark = uuid.uuid4().hex, df.sparkSession
+    parallel = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     each = tasks_each or max(1, -(-parallel // max(len(params), 1)))
     wanted = [*dict.fromkeys([*keys, *inputs])]
     grid = df.select(*wanted, F.posexplode(F.array(*[F.lit(p) for p in params])).alias("__place", "param"))
@@ -93,7 +136,8 @@ def score_with_engines(df: DataFrame, keys: list[str], inputs: list[str], params
     def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for param, rows in frame.groupby("param", sort=False):
-                found, failed = tried(engine(run, param, start), rows)
+                attempt = _attempts.setdefault((run, param), Attempts(inputs))
+                found, failed = attempt(engine(run, param, start), rows)
                 yield rows.assign(score=pd.Series(found, rows.index, object), failure=pd.Series(failed, rows.index, object))
 
     schema = StructType([*dealt.schema.fields, *StructType.fromDDL(f"score {kind}, failure string").fields])

@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +133,37 @@ def test_an_engine_starts_once_for_each_worker_and_parameter(spark, tmp_path):
     assert C.score_with_engines(df.limit(0), ["k"], ["x"], params, lambda param: Counting(folder, param)).count() == 0
 
 
+def test_inputs_that_failed_are_tried_apart_from_then_on(spark):
+    calls, sound = [], []
+
+    def scorer(frame):
+        calls.append(len(frame))
+        if not sound and frame["x"].isin([3, 50]).any():
+            raise ValueError("unlucky")
+        return frame["x"] * 2
+
+    frame = pd.DataFrame({"k": range(1000, 2000), "x": [k % 100 for k in range(1000)]}, index=range(7, 1007))
+    wanted = ([None if k % 100 in (3, 50) else k % 100 * 2 for k in range(1000)], ["unlucky" if k % 100 in (3, 50) else None for k in range(1000)])
+    attempt = C.Attempts(["x"])
+    assert attempt(scorer, frame) == wanted
+    calls.clear()
+    assert attempt(scorer, frame) == wanted and sorted(calls) == [1] * 20 + [980]
+    sound.append(True)  # what failed once is no verdict
+    assert attempt(scorer, frame)[1] == [None] * 1000
+    lists = pd.DataFrame({"x": [[1], [2]]})  # cannot be hashed
+    assert C.Attempts(["x"])(lambda f: f["x"].str.len(), lists) == ([1, 1], [None, None])
+
+
+def test_engine_tasks_grow_with_the_shuffle_partitions(spark):
+    df = spark.range(9).selectExpr("id AS k", "id AS x")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        assert C.score_with_engines(df, ["k"], ["x"], ["a", "b"], lambda param: lambda frame: frame["x"]).rdd.getNumPartitions() == 40
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_a_task_has_one_parameter(spark):
     df = spark.range(90).selectExpr("id AS k", "id AS x")
     each = C.score_with_engines(df, ["k"], ["x"], ["a", "b", "c"], lambda param: lambda frame: frame["x"], tasks_each=3)
