@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,8 +27,9 @@ Start = Callable[[str], Scorer]
 KEPT_ENGINES = 4
 _engines: OrderedDict[tuple[str, str], Scorer] = OrderedDict()
 
-#: Failing inputs that a worker remembers of an engine, and the attempts of its engines; both are dropped with the engine.
-REMEMBERED = 200_000
+#: Failing inputs (and values of each column) that a worker remembers of an engine, rows of the first part that
+#: an engine gets, and the attempts of a worker's engines; what is remembered is dropped with the engine.
+REMEMBERED, FIRST_PART = 200_000, 1_000
 _attempts: dict[tuple[str, str], Attempts] = {}
 
 
@@ -90,31 +92,59 @@ def tried(scorer: Scorer, frame: pd.DataFrame, whole: bool = True) -> tuple[list
 class Attempts:
     """An engine's attempts at frames, and the inputs it has failed on.
 
-    Rows whose inputs have failed before are tried one by one and apart from the rest, which then
-    succeeds at once more often. Every row is still tried: what is remembered only says in which company.
+    Rows that are likely to fail are tried one by one and apart from the rest, which then succeeds at
+    once more often: those whose inputs have failed before, and those with a value in one column that
+    has failed and never passed since. Every row is still tried: what is remembered only says in
+    which company. An engine's first frames are cut into parts that double, so that what the first of
+    them teach spares the others.
     """
 
     def __init__(self, inputs: list[str]):
-        self.inputs, self.failing = inputs, set()
+        self.inputs, self.failing, self.part = inputs, set(), FIRST_PART
+        self.suspect, self.cleared = {c: set() for c in inputs}, {c: set() for c in inputs}
 
-    def doubtful(self, frame: pd.DataFrame) -> pd.Series | None:
-        """Hashes of the rows' inputs; None where they cannot be hashed."""
+    def marks(self, frame: pd.DataFrame) -> tuple[pd.Series, dict[str, pd.Series]] | None:
+        """Hashes of the rows' inputs, together and by column; None where they cannot be hashed."""
         try:
-            return pd.util.hash_pandas_object(frame[self.inputs], index=False)
+            return pd.util.hash_pandas_object(frame[self.inputs], index=False), {c: pd.util.hash_pandas_object(frame[c], index=False) for c in self.inputs}
         except TypeError:
             return None
 
+    def learn(self, whole: pd.Series, by_column: dict[str, pd.Series], failed: np.ndarray) -> None:
+        """A value of a column is suspect while it has failed only; one that has passed is so never again."""
+        if failed.any() and len(self.failing) < REMEMBERED:
+            self.failing.update(whole[failed])
+        for c, values in by_column.items():
+            if failed.any() and len(self.suspect[c]) < REMEMBERED:
+                self.suspect[c].update(set(values[failed]) - self.cleared[c])
+            if passed := self.suspect[c].intersection(values[~failed]):
+                self.suspect[c] -= passed
+                self.cleared[c] |= passed if len(self.cleared[c]) < REMEMBERED else set()
+
     def __call__(self, scorer: Scorer, frame: pd.DataFrame) -> tuple[list, list]:
-        if (marks := self.doubtful(frame)) is None:
+        found, failed, at = [], [], 0
+        while at < len(frame):
+            values, faults = self.attempt(scorer, frame.iloc[at : at + self.part])
+            at, self.part = at + self.part, 2 * self.part
+            found += values
+            failed += faults
+        return found, failed
+
+    def attempt(self, scorer: Scorer, frame: pd.DataFrame) -> tuple[list, list]:
+        if (marks := self.marks(frame)) is None:
             return tried(scorer, frame)
-        apart = marks.isin(self.failing).to_numpy()
-        found, failed = pd.Series(None, range(len(frame)), object), pd.Series(None, range(len(frame)), object)
-        parts = [[k] for k in apart.nonzero()[0]] + ([(~apart).nonzero()[0]] if not apart.all() else [])
-        for places in parts:
-            found.iloc[places], failed.iloc[places] = (pd.Series(values, places, object) for values in tried(scorer, frame.iloc[places]))
-        if len(self.failing) < REMEMBERED:
-            self.failing.update(marks[[f is not None for f in failed]])
-        return found.tolist(), failed.tolist()
+        whole, by_column = marks
+        apart = whole.isin(self.failing).to_numpy()
+        for c, values in by_column.items():
+            apart |= values.isin(self.suspect[c]).to_numpy()
+        rest = np.flatnonzero(~apart)
+        found, failed = [None] * len(frame), [None] * len(frame)
+        for place in np.flatnonzero(apart).tolist():
+            (found[place],), (failed[place],) = tried(scorer, frame.iloc[place : place + 1])
+        for place, value, fault in zip(rest.tolist(), *tried(scorer, frame.iloc[rest] if len(rest) < len(frame) else frame), strict=True):
+            found[place], failed[place] = value, fault
+        self.learn(whole, by_column, np.array([f is not None for f in failed]))
+        return found, failed
 
 
 def score_with_engines(df: DataFrame, keys: list[str], inputs: list[str], params: list[str], start: Start, kind: str = "long", tasks_each: int | None = None) -> DataFrame:

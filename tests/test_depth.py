@@ -154,6 +154,29 @@ def test_inputs_that_failed_are_tried_apart_from_then_on(spark):
     assert C.Attempts(["x"])(lambda f: f["x"].str.len(), lists) == ([1, 1], [None, None])
 
 
+def test_a_value_that_has_only_failed_is_tried_apart_with_other_values_beside_it():
+    calls = []
+
+    def scorer(frame):
+        calls.append(len(frame))
+        if (frame["x"] == "bad").any():
+            raise ValueError("unlucky")
+        return frame["n"] * 2
+
+    attempt = C.Attempts(["x", "n"])
+    for at in range(0, 8_000, 2_000):  # n is never the same twice, so that no row's inputs have failed before
+        frame = pd.DataFrame({"x": ["bad" if k % 100 == 7 else "good" for k in range(2_000)], "n": range(at, at + 2_000)})
+        calls.clear()
+        assert attempt(scorer, frame) == ([None if k % 100 == 7 else 2 * (at + k) for k in range(2_000)], ["unlucky" if k % 100 == 7 else None for k in range(2_000)])
+        assert len(calls) < 250  # halving takes some 320
+        if at:
+            assert sorted(calls) == [1] * 20 + [1_980]
+    calls.clear()
+    frame = pd.DataFrame({"x": "good", "n": [7, 8, 107]})  # numbers that failed beside "bad" pass once, and are clear from then on
+    assert attempt(scorer, frame) == ([14, 16, 214], [None] * 3) and attempt(scorer, frame)[0] == [14, 16, 214]
+    assert calls[-1] == 3
+
+
 def test_engine_tasks_grow_with_the_shuffle_partitions(spark):
     df = spark.range(9).selectExpr("id AS k", "id AS x")
     before = spark.conf.get("spark.sql.shuffle.partitions")
