@@ -372,6 +372,19 @@ def test_stream_fold_over_runs_with_late_and_abandoned_rows(spark, tmp_path):
     assert [(r.k, r.state_before, r.state_after) for r in left] == [(2, "", "/m2:1"), (4, "/m2:1", "/m2:1/m4:1")]
 
 
+def test_games_of_a_bucket_are_folded_apart_and_share_a_state_value(spark, tmp_path):
+    df = spark.range(600).selectExpr("id % 60 AS g", "CAST(id DIV 60 + 1 AS INT) AS k", "if(id % 7 = 0, NULL, id % 2 = 0) AS yes", "if(id % 5 = 0, NULL, timestamp_seconds(id)) AS t", "array(id) AS `a b`")
+    for part in (df.where("k > 4 OR g = 3"), df.where("k <= 4 AND g != 3")):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = fold_stream(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), ["g"], "k", "", lambda s, r: f"{s}/{r['yes']}{r['k']}", buckets=2)
+        query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/marks").trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert max(x["numRowsTotal"] for p in query.recentProgress for x in p["stateOperators"]) < 20  # and not one for each of 60 games
+    wanted = Q.ordered_fold(df, ["g"], "k", "", lambda s, r: f"{s}/{r['yes']}{r['k']}")
+    rows = lambda found: sorted(str(r) for r in found.select("g", "k", "yes", "t", "a b", "state_before", "state_after").collect())
+    assert rows(spark.read.parquet(f"{tmp_path}/out").where("NOT late")) == rows(wanted)
+
+
 def test_sql_fold_takes_every_step_once(spark):
     df = spark.createDataFrame([("g", k, f"m{k}") for k in range(1, 200)], "g string, k int, m string")
     rows = Q.sql_fold(df, ["g"], "k", "m", F.lit(0), lambda s, m: s + F.length(m)).orderBy("k").collect()
