@@ -3,7 +3,8 @@
 toxicity: documents that the classifier's verdict rejects go. near_dedup: of each group of near
 copies (five-word shingles, similarity 0.8) the document of the smallest id stays. mixing: sources
 are interleaved to tempered target weights, every document once. bpe: every text is encoded and
-decoded again, in small blocks, as the executors of earlier stages leave Python less room.
+decoded again, in small blocks, as the executors of earlier stages leave Python less room; `place` is
+where the mix has put the text, so that the encoded rows can be taken in its order.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from movelog.llm import op02_near_dedup, op03_bpe, op04_toxicity, op08_mixing
-from movelog.llm.common import materialise
+from movelog.llm.common import materialise, placed_in_files
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +30,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op03_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, block=5_000_000)
+    return op03_bpe.round_trip(placed_in_files(docs), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, block=5_000_000, keep=("place",))
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("mixing", mixing), ("bpe", bpe)]

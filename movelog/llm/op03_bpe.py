@@ -22,6 +22,7 @@ import pandas as pd
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from .common import blocks, map_frames, table, texts
 from .merges import MergeReplay, WordTable, spread
@@ -76,22 +77,22 @@ class Codec:
         which = np.frombuffer(ids, "<u4")
         return spread(self.token_bytes, self.token_at[which], self.token_len[which])[0].tobytes()
 
-    def encoded(self, frames: Iterator[pd.DataFrame], block: int = BLOCK) -> Iterator[tuple[pd.api.extensions.ExtensionArray, list[bytes]]]:
-        """doc_ids and ids, block by block; a block's words are replayed together."""
-        held: list[tuple[pd.api.extensions.ExtensionArray, tuple[np.ndarray, np.ndarray]]] = []
+    def encoded(self, frames: Iterator[pd.DataFrame], block: int = BLOCK) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
+        """Rows without their texts, and ids, block by block; a block's words are replayed together."""
+        held: list[tuple[pd.DataFrame, tuple[np.ndarray, np.ndarray]]] = []
         chars = 0
 
-        def flush() -> Iterator[tuple[pd.api.extensions.ExtensionArray, list[bytes]]]:
+        def flush() -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
             self.learn()
-            for doc_ids, numbered in held:
-                yield doc_ids, self.ids(*numbered)
+            for rows, numbered in held:
+                yield rows, self.ids(*numbered)
             held.clear()
             if len(self.table.index) > block // 50:
                 self.table.forget()
 
         for frame in blocks(frames):
             texts = frame.text.tolist()
-            held.append((frame.doc_id.array, self.table.number(map(self.split, texts))))
+            held.append((frame.drop(columns="text"), self.table.number(map(self.split, texts))))
             chars += sum(map(len, texts))
             if chars > block or len(self.table.index) > block // 25:
                 yield from flush()
@@ -110,8 +111,8 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     """doc_id, ids binary: the ids of each whole text as little-endian unsigned 32-bit integers."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for doc_ids, ids in codec(path, pattern).encoded(frames):
-            yield pd.DataFrame({"doc_id": doc_ids, "ids": ids})
+        for rows, ids in codec(path, pattern).encoded(frames):
+            yield rows.assign(ids=ids)
 
     return map_frames(texts(df, id_col, text_col), run, "doc_id long, ids binary")
 
@@ -128,22 +129,20 @@ def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
     return map_frames(df.select("doc_id", "ids"), run, "doc_id long, ids binary, decoded binary")
 
 
-def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes, then decodes the ids, in one pass."""
+def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and the columns to keep: encodes, then decodes the ids, in one pass."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = codec(path, pattern)
-        for doc_ids, ids in bpe.encoded(frames, block):
-            yield pd.DataFrame(
-                {
-                    "doc_id": doc_ids,
-                    "n_tokens": [len(x) // 4 for x in ids],
-                    "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-                    "decoded_sha256": [hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids],
-                }
+        for rows, ids in bpe.encoded(frames, block):
+            yield rows.assign(
+                n_tokens=[len(x) // 4 for x in ids],
+                ids_sha256=[hashlib.sha256(x).hexdigest() for x in ids],
+                decoded_sha256=[hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids],
             )
 
-    return map_frames(texts(df, id_col, text_col), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    found = StructType([*StructType.fromDDL("doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string").fields, *df.select(*keep).schema.fields])
+    return map_frames(texts(df, id_col, text_col, keep), run, found)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

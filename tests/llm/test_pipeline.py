@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from movelog.llm import op03_bpe
+from movelog.llm import op03_bpe, op08_mixing
 from movelog.llm.common import materialise
 from movelog.llm.queries import QUERIES
 
@@ -44,6 +44,17 @@ def test_stages(spark, tmp_path):
         assert r.n_tokens == len(codec.encode([by[r.doc_id]])[0]) // 4
 
 
+def test_encoded_rows_have_their_place_in_the_mix(spark, tmp_path):
+    rows = [(k, f"tree {k} stone", "en", f"s{k % 3}", 10) for k in range(200)]
+    mixed = corpus_pipeline.mixing(spark, spark.createDataFrame(rows, DOCS), str(tmp_path))
+    mixed.write.option("maxRecordsPerFile", 37).parquet(f"{tmp_path}/mixed")
+    order = [r.doc_id for r in op08_mixing.schedule(spark.createDataFrame(rows, DOCS), epochs=1).orderBy("slot", "offset", F.xxhash64("doc_id")).collect()]
+    docs = spark.read.parquet(f"{tmp_path}/mixed")
+    assert len(docs.inputFiles()) > 3
+    found = corpus_pipeline.bpe(spark, docs, str(tmp_path)).orderBy("place").collect()
+    assert [r.doc_id for r in found] == order and [r.place for r in found] == list(range(200))
+
+
 def test_stages_on_odd_rows_and_none(spark, tmp_path, odd):  # noqa: F811
     """Nulls, repeats, very long texts and columns of inner names; no labelled row, so nothing is toxic."""
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
