@@ -755,6 +755,28 @@ def test_edit_distance_by_brute_force():
         assert [op10_edit_fingerprint.within(a, b, k) for k in (d - 1, d, d + 1)] == [False, True, True]
 
 
+def test_a_leader_that_is_near_is_found_behind_a_likelier_one_that_is_not(spark):
+    rng = random.Random(5)
+    rows = []
+    for family in range(60):
+        base = [rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(2_000)]
+        for k in range(8):  # each a few edits from the one before, so that some of a family are near and others a little less than near
+            for _ in range(18):
+                base[rng.randrange(len(base))] = rng.choice("abcdefghijklmnopqrstuvwxyz")
+            rows.append((100 * family + k, "".join(base)))
+    docs, texts = spark.createDataFrame(rows, "doc_id long, text string"), dict(rows)
+    prints = op10_edit_fingerprint.fingerprints(docs)
+    _, shared, links, _ = op10_edit_fingerprint.near_leaders(docs, prints, 2, 0.15, "doc_id", "text")
+    digits = {r.doc_id: np.frombuffer(r.fingerprint.encode(), np.uint8)[None] for r in prints.collect()}
+    none = np.zeros(1, bool)
+    wanted = {
+        r.node: max((x, b) for b in r.leaders if (x := op10_edit_fingerprint.likeness(digits[r.node], digits[b], none, none)[0]) >= 0.15 and op10_edit_fingerprint.near(texts[r.node], texts[b], 2))[1]
+        for r in shared.where("node != leader").groupBy("node").agg(F.collect_set("leader").alias("leaders")).collect()
+        if any(op10_edit_fingerprint.likeness(digits[r.node], digits[b], none, none)[0] >= 0.15 and op10_edit_fingerprint.near(texts[r.node], texts[b], 2) for b in r.leaders)
+    }
+    assert wanted and {r.a: r.b for r in links.collect()} == wanted
+
+
 def test_near_texts_find_the_pairs_of_brute_force(spark):
     rng, rows = random.Random(12), []
     for g in range(40):
