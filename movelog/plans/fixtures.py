@@ -12,6 +12,7 @@ from ..functions.text import rating_bin
 from ..operators.games import games_meta, perspectives
 from ..operators.sampling import split_by_hash
 from ..operators.sequence import clock_delta
+from ..sources.shared import dealt_by_size
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def raw_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Move rows with what the archive needs besides: event, site, eval_text."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
+    lines = dealt_by_size(table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
     n = table(spark, sf_dir, "customer").agg(F.count(F.lit(1)).alias("n"))
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
     other = (F.col("o_custkey") + 1 + F.col("o_orderkey") % 97) % F.col("n")

@@ -20,6 +20,7 @@ from movelog.operators import sequence as Q
 from movelog.plans import fixtures
 from movelog.sources import archive
 from movelog.streaming import ingest
+from movelog.sources import shared
 from movelog.streaming.fold import fold_stream
 
 BIG = 2**53 + 1
@@ -409,3 +410,13 @@ def test_annotate(spark):
     with pytest.raises(V.CheckFailed, match="doubled half-moves"):
         A.annotate_moves(df.union(df), "s", rules)
     assert A.annotate_moves(fixtures.moves(spark, "/root/testdata/sf0.001").limit(0), "s", rules).count() == 0
+
+
+def test_shuffles_begin_with_partitions_by_the_rows_of_the_input(spark, monkeypatch):
+    monkeypatch.setattr(shared, "ROWS_A_TASK", 100)
+    try:
+        assert shared.dealt_by_size(spark.range(1_001)).count() == 1_001 and spark.conf.get(shared.INITIAL) == "11"
+        shared.dealt_by_size(spark.range(5))
+        assert spark.conf.get(shared.INITIAL) == spark.conf.get("spark.sql.shuffle.partitions")
+    finally:
+        spark.conf.unset(shared.INITIAL)
