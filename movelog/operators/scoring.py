@@ -10,12 +10,14 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..functions.frames import map_frames
+from ..functions.frames import map_frames, whole_frame
 from ..functions.text import is_missing
 
 #: A scorer gets a frame of inputs and returns one value per row.
@@ -138,11 +140,17 @@ class Attempts:
         for c, values in by_column.items():
             apart |= values.isin(self.suspect[c]).to_numpy()
         rest = np.flatnonzero(~apart)
-        found, failed = [None] * len(frame), [None] * len(frame)
-        for place in np.flatnonzero(apart).tolist():
-            (found[place],), (failed[place],) = tried(scorer, frame.iloc[place : place + 1])
-        for place, value, fault in zip(rest.tolist(), *tried(scorer, frame.iloc[rest] if len(rest) < len(frame) else frame), strict=True):
-            found[place], failed[place] = value, fault
+        values, faults = tried(scorer, frame.iloc[rest] if len(rest) < len(frame) else frame)
+        if len(rest) == len(frame):
+            found, failed = values, faults
+        else:
+            found, failed = [None] * len(frame), [None] * len(frame)
+            for place, value, fault in zip(rest.tolist(), values, faults, strict=True):
+                found[place], failed[place] = value, fault
+            places = np.flatnonzero(apart)
+            few = frame.iloc[places]  # single rows are cut from a small frame
+            for k, place in enumerate(places.tolist()):
+                (found[place],), (failed[place],) = tried(scorer, few.iloc[k : k + 1])
         self.learn(whole, by_column, np.array([f is not None for f in failed]))
         return found, failed
 
@@ -163,15 +171,21 @@ def score_with_engines(df: DataFrame, keys: list[str], inputs: list[str], params
     task = (F.col("__place") * each + F.pmod(F.xxhash64(*keys), F.lit(each))).cast("int")
     dealt = grid.withColumn("__task", task).repartitionById(max(len(params) * each, 1), "__task").drop("__place", "__task")
 
-    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for param, rows in frame.groupby("param", sort=False):
-                attempt = _attempts.setdefault((run, param), Attempts(inputs))
-                found, failed = attempt(engine(run, param, start), rows)
-                yield rows.assign(score=pd.Series(found, rows.index, object), failure=pd.Series(failed, rows.index, object))
+    out = dealt.select(*keys, "param")
+    schema = StructType([*out.schema.fields, *StructType.fromDDL(f"score {kind}, failure string").fields])
+    wanted_arrow, passed = to_arrow_schema(schema), out.columns
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            frame = whole_frame(batch)
+            (param,) = set(frame["param"])  # a task has one
+            found, failed = _attempts.setdefault((run, param), Attempts(inputs))(engine(run, param, start), frame)
+            made = [pa.array(pd.Series(x, dtype=object), f.type, from_pandas=True) for x, f in zip((found, failed), list(wanted_arrow)[-2:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).cast(wanted_arrow.field(c).type) for c in passed], *made], schema=wanted_arrow)
 
-    schema = StructType([*dealt.schema.fields, *StructType.fromDDL(f"score {kind}, failure string").fields])
-    return map_frames(dealt, scored, schema).select(*keys, "param", "score", "failure")
+    return dealt.mapInArrow(scored, schema)
 
 
 def widen_scores(long: DataFrame, keys: list[str], params: list[str], prefix: str) -> DataFrame:
@@ -181,9 +195,23 @@ def widen_scores(long: DataFrame, keys: list[str], params: list[str], prefix: st
 
 
 def score_where(df: DataFrame, mask: Column, keys: list[str], inputs: list[str], scorer: Scorer, name: str = "score") -> DataFrame:
-    """The scorer's result in the rows of the mask, null in the others."""
-    found = score(df.where(mask), [*dict.fromkeys([*keys, *inputs])], scorer, name)
-    return df.join(found.select(*keys, name), keys, "left")
+    """The scorer's result in the rows of the mask with a whole key, null in the others; rows stay where they are."""
+    wanted = [*dict.fromkeys([*keys, *inputs])]
+    known = [F.col(k).isNotNull() for k in keys]
+    marked = df.withColumn("__scored", F.coalesce(reduce(Column.__and__, known, mask), F.lit(False)))
+    schema = StructType([*df.schema.fields, *StructType.fromDDL(f"`{name}` long").fields])
+    arrow, own = to_arrow_schema(schema), df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = np.flatnonzero(batch.column("__scored").to_numpy(zero_copy_only=False))
+            values = np.full(batch.num_rows, None, object)
+            if len(hit):
+                values[hit] = list(scorer(whole_frame(batch.select(wanted).take(pa.array(hit)))))
+            made = pa.array(values, arrow.field(name).type, from_pandas=True)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).cast(arrow.field(c).type) for c in own], made], schema=arrow)
+
+    return marked.mapInArrow(run, schema)
 
 
 def long_states(df: DataFrame, keys: list[str], columns: list[str], sentinels: tuple[str, ...] = ("", "none", "nan")) -> DataFrame:

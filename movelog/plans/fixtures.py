@@ -20,16 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Move rows with what the archive needs besides: event, site, eval_text."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
-    lines = dealt_by_size(table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
+    """Move rows with what the archive needs besides: event, site, eval_text.
+
+    Games have their id from the scan on: all that follows is by game_id, so that windows, summaries and
+    joins of games with their moves find the rows where the first shuffle has put them.
+    """
+    game = lambda key: F.concat(F.lit("g"), F.col(key).cast("string")).alias("game_id")
+    orders = table(spark, sf_dir, "orders").select(game("o_orderkey"), "o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
+    lines = dealt_by_size(table(spark, sf_dir, "lineitem")).select(game("l_orderkey"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
     n = table(spark, sf_dir, "customer").agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    place = F.row_number().over(Window.partitionBy("game_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
     other = (F.col("o_custkey") + 1 + F.col("o_orderkey") % 97) % F.col("n")
     elo = lambda c: (F.lit(1000) + (c * 37) % 1300 + F.col("o_orderkey") % 50).cast("int")
-    rows = lines.withColumn("half_move", place).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(F.broadcast(n), F.lit(True))  # n is one row
+    rows = lines.withColumn("half_move", place).join(orders, "game_id").join(F.broadcast(n), F.lit(True))  # n is one row
     return rows.select(
-        F.concat(F.lit("g"), F.col("o_orderkey").cast("string")).alias("game_id"),
+        "game_id",
         F.col("o_orderdate").cast("date").alias("date"),
         F.concat(F.lit("p"), F.col("o_custkey").cast("string")).alias("white"),
         F.concat(F.lit("p"), other.cast("string")).alias("black"),

@@ -683,7 +683,7 @@ def best_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT player, game_id, half_move, CASE WHEN (player_color = 'white') = (half_move % 2 = 1) THEN {scored('fen_before')} END AS score FROM player_rows")
 def score_where(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.player_rows(spark, sf_dir)
+    rows = X.player_rows(spark, sf_dir).select("player", "game_id", "half_move", "player_color", "fen_before")
     return C.score_where(rows, T.own_move(F.col("player_color"), F.col("half_move")), ["player", "game_id", "half_move"], ["fen_before"], stand_in("fen_before")).select("player", "game_id", "half_move", "score")
 
 

@@ -420,3 +420,17 @@ def test_shuffles_begin_with_partitions_by_the_rows_of_the_input(spark, monkeypa
         assert spark.conf.get(shared.INITIAL) == spark.conf.get("spark.sql.shuffle.partitions")
     finally:
         spark.conf.unset(shared.INITIAL)
+
+
+def test_masked_rows_are_scored_in_place(spark):
+    """No shuffle brings the scores back, and a key that repeats stays one row each."""
+    df = spark.createDataFrame([(1, "a", 7), (1, "a", 7), (2, "bc", None), (3, None, BIG), (None, "d", 1)], "k long, x string, other long")
+    rows = C.score_where(df, F.col("k") != 2, ["k"], ["x"], lambda frame: frame["x"].fillna("").str.len())
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, rows.collect()), key=repr) == sorted([(1, "a", 7, 1), (1, "a", 7, 1), (2, "bc", None, None), (3, None, BIG, 0), (None, "d", 1, None)], key=repr)
+
+
+def test_game_views_shuffle_moves_once(spark):
+    """Moves go to their game's place; windows, summaries and joins by game find them there."""
+    plan = fixtures.player_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(game_id" in plan and "hashpartitioning(l_orderkey" not in plan and plan.count("Exchange hashpartitioning") <= 4
