@@ -299,6 +299,23 @@ def test_toxicity_collects_each_id_once(spark):
     assert rows.doc_id.tolist() == kept and len(op04_toxicity.labelled(docs, labels, max_rows=1)) <= 2
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    """A word that only the last toxic rows by hash have is learnt too, from several parts, and twice the same."""
+    monkeypatch.setattr(op04_toxicity, "PART_ROWS", 1_500)
+    ids = [k for k in range(9_000) if zlib.crc32(str(k).encode()) % 4 != 2]
+    hashes = {r.id: r.h for r in spark.range(9_000).select("id", F.xxhash64("id").alias("h")).collect()}
+    late = set(sorted(ids, key=hashes.get)[-150:])
+    rows = [(k, "vile thing" if k % 2 and k not in late else "a qwertz b" if k in late else "good day", "en") for k in ids]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, int(k % 2 or k in late)) for k in ids], "doc_id long, quality int, toxic int")
+    found = op04_toxicity.coded(op04_toxicity.examples(docs, labels), 4)
+    assert found.select(F.explode("labels")).count() == len(ids)
+    net = op04_toxicity.fit(docs, labels)
+    assert op04_toxicity.Scorer(net)(["a qwertz b", "vile thing", "good day"], ["en"] * 3)[1].tolist() == [True, True, False]
+    again = op04_toxicity.fit(docs, labels)
+    assert np.array_equal(net.emb, again.emb) and net.common == again.common
+
+
 def test_toxicity_query_and_edges(spark, odd):
     rows = op04_toxicity.op4_toxicity(spark, SF).collect()
     assert len(rows) == 200
