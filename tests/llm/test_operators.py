@@ -862,3 +862,26 @@ def test_ids_above_2_53_beside_nulls(spark, odd):
     }.items():
         assert {r.doc_id for r in out.select("doc_id").collect()} == {big, None, big + 2}, name
     assert {r.component_id for r in op02_near_dedup.near_duplicates(docs, 2).collect()} == {big, None}
+
+
+def test_edit_leaders_of_other_lengths_are_not_verified(spark, monkeypatch):
+    """Longer texts that share bands with a document cannot be near it: their texts do not move, and the near copy is still found."""
+    rng, pairs = random.Random(5), []
+    write = op10_edit_fingerprint.materialise
+
+    def seen(df, name):
+        out = write(df, name)
+        if name == "edit-stars":
+            pairs.extend((r.a, x.b) for r in out.collect() for x in r.leaders)
+        return out
+
+    monkeypatch.setattr(op10_edit_fingerprint, "materialise", seen)
+    rows = []
+    for k in range(0, 120, 3):
+        text = "".join(rng.choice("abcdefghij klmnop") for _ in range(2_000))
+        rows += [(k, text), (k + 1, text + "!" * 90), (k + 2, text[:1_990] + "y" * 10)]
+    found = op10_edit_fingerprint.fingerprinted(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    size = {k: len(t) for k, t in rows}
+    assert pairs and all(abs(size[a] - size[b]) <= max(size[a], size[b]) * 2 // 100 for a, b in pairs)
+    led = {r.doc_id: r.near_leader for r in found if r.near_leader is not None}
+    assert led and all({a % 3, b % 3} == {0, 2} and a // 3 == b // 3 for a, b in led.items())
