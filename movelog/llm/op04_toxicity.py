@@ -30,7 +30,7 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, map_frames, materialise, small_batches, table
@@ -287,12 +287,26 @@ def in_fold(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
 
 
-def examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, toxic, text, lang of every labelled row that is not held out; an id that repeats counts once."""
-    rows = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~in_fold()).select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("__toxic")).distinct()
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"))
-    met = own.join(rows, F.col("doc_id") == F.col("__id")).select("doc_id", F.col("__toxic").alias("toxic"), F.struct("text", "lang").alias("row"))
-    return met.groupBy("doc_id", "toxic").agg(F.min("row").alias("row")).select("doc_id", "toxic", "row.*")
+def dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """The rows with their part by doc_id, each part in a partition of its own."""
+    return rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(parts)).cast("int")).repartitionById(parts, "part")
+
+
+def examples(docs: DataFrame, labels: DataFrame, parts: int | None = None) -> DataFrame:
+    """doc_id, toxic, text, lang (and part, draw) of every labelled row that is not held out; an id that repeats counts once.
+
+    With parts, texts move once: labels, in tables of any size, meet them where both have been dealt, and the
+    sort that finds repeated ids is by draw, a hash, which is the order that a part is read in.
+    """
+    wanted = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~in_fold())
+    rows = wanted.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType), F.col("toxic").cast("int").alias("toxic"))
+    own = docs.where("doc_id IS NOT NULL").where(~in_fold()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"))
+    if parts is None:
+        met, place = own.join(rows.distinct(), "doc_id"), []
+    else:
+        met, place = dealt(own, parts).join(dealt(rows, parts).distinct().hint("shuffle_hash"), ["part", "doc_id"]).withColumn("draw", F.xxhash64("doc_id")), ["part", "draw"]
+    nth = F.row_number().over(Window.partitionBy(*place, "doc_id", "toxic").orderBy("text", "lang"))
+    return met.withColumn("__nth", nth).where("__nth = 1").select("doc_id", "toxic", "text", "lang", *place)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, max_rows: int = 3_000) -> pd.DataFrame:
@@ -308,8 +322,9 @@ CODED = "part int, ids binary, flat binary, lengths array<int>, labels array<int
 def coded(found: DataFrame, parts: int) -> DataFrame:
     """The examples as numbers, written once in blocks: a part's blocks follow one another, in an order by hash."""
     small_batches(found.sparkSession)  # blocks do not depend on the session's batches
-    part, held = (F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(n)).cast("int") for salt, n in (("part", parts), ("held", 5)))
-    dealt = found.select(part.alias("part"), (held == 0).alias("held"), F.xxhash64("doc_id").alias("draw"), "doc_id", "toxic", "text", "lang").repartitionById(parts, "part").sortWithinPartitions("part", "draw", "doc_id", "toxic")
+    held = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(5)).cast("int") == 0
+    own = found if "part" in found.columns else dealt(found, parts).withColumn("draw", F.xxhash64("doc_id"))
+    own = own.withColumn("held", held).sortWithinPartitions("part", "draw", "doc_id", "toxic")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -320,7 +335,7 @@ def coded(found: DataFrame, parts: int) -> DataFrame:
                     ids = np.array([hashed("")] + [hashed(w) for w in words.index], np.uint16)  # BUCKETS is 2^16
                     yield pd.DataFrame({"part": [part], "ids": [ids.tobytes()], "flat": [np.concatenate(numbered).tobytes()], "lengths": [list(map(len, numbered))], "labels": [block.toxic.tolist()], "langs": [block.lang.tolist()], "held": [block.held.tolist()]})
 
-    return materialise(map_frames(dealt.select("part", "held", "toxic", "text", "lang"), run, CODED), "toxicity-coded")
+    return materialise(map_frames(own.select("part", "held", "toxic", "text", "lang"), run, CODED), "toxicity-coded")
 
 
 def block_of(row: object) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
@@ -339,7 +354,8 @@ def fit(docs: DataFrame, labels: DataFrame, epochs: int = EPOCHS) -> Network | N
     """
     spark = docs.sparkSession
     n = labels.where("toxic IN (0, 1)").where(~in_fold()).count()
-    rows = coded(examples(docs, labels), min(max(1, n // PART_ROWS), TRAINERS))
+    parts = min(max(1, n // PART_ROWS), TRAINERS)
+    rows = coded(examples(docs, labels, parts), parts)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)  # a row is a block
     try:
         return fit_coded(rows, epochs)

@@ -316,6 +316,18 @@ def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
     assert np.array_equal(net.emb, again.emb) and net.common == again.common
 
 
+def test_toxicity_texts_move_once(spark):
+    """Of small tables too: one exchange of each table and one sort, no broadcast, and the rows of the plain join."""
+    docs = spark.createDataFrame([(k % 90, f"text {k % 7}", "en" if k % 3 else None) for k in range(300)] + [(None, "x", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k % 60, 1, k % 2 if k < 70 else 1 - k % 2) for k in range(80)] + [(None, 1, 1), (5, 1, None), (7, 1, 2)], "doc_id int, quality int, toxic int")
+    met = op04_toxicity.examples(docs, labels, 4)
+    plan = met.sortWithinPartitions("part", "draw", "doc_id", "toxic")._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("Exchange"), plan.count("Broadcast"), plan.count("+- Sort ")) == (2, 0, 1)
+    rows = lambda df: sorted(map(tuple, df.select("doc_id", "toxic", "text", "lang").collect()))
+    assert rows(met) == rows(op04_toxicity.examples(docs, labels)) and len(set(rows(met))) == met.count() > 45
+    assert met.select(F.spark_partition_id().alias("p"), "part").where("p != part").count() == 0
+
+
 def test_toxicity_query_and_edges(spark, odd):
     rows = op04_toxicity.op4_toxicity(spark, SF).collect()
     assert len(rows) == 200
