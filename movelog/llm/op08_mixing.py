@@ -13,7 +13,7 @@ that the mix keeps its weights, EPOCHS times in all at most; `mix` gives each ro
 told otherwise. Until a source leaves, all shares hold; then those of the others to each other do.
 
 Running sizes within a source come from sums over SUBS hash ranges of it, so a hot source is spread
-over as many tasks. Weights that are not positive and finite are refused.
+over as many tasks. Whole rows move twice: by hash range, where they also meet the slots, and into the order of the mix. Weights that are not positive and finite are refused.
 
 Defined results: a null source is a source of its own; null or empty texts take no room and stay;
 rows that repeat a doc_id are placed one after another; an empty table gives no rows; extra columns
@@ -86,6 +86,9 @@ def placed(df: DataFrame, weights: dict[str | None, float] | None, block_chars:
     size = F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")
     order = F.xxhash64(F.col(id_col))
     rows = df.withColumn("__size", size).withColumn("__tie", F.xxhash64(text_col)).withColumn("__order", order).withColumn("__sub", F.shiftrightunsigned("__order", 52).cast("int"))
+    # Sources by two columns without nulls: the join then finds the rows where the window's shuffle has put them.
+    keyed = lambda rows, source: rows.withColumns({"__key": F.coalesce(F.col(source).cast("string"), F.lit("")), "__none": F.col(source).isNull()})
+    rows = keyed(rows, source_col)
     rows = rows.drop(text_col) if narrow else rows
     # One row for each source and hash range: these sums alone decide where each range begins.
     sums = df.select(F.col(source_col).alias("__source"), size.alias("__size"), F.shiftrightunsigned(order, 52).cast("int").alias("__of")).groupBy("__source", "__of").agg(F.sum("__size").alias("__size"))
@@ -110,14 +113,14 @@ def placed(df: DataFrame, weights: dict[str | None, float] | None, block_chars:
     each = starts.select("__source", "__of", "__start", "__blocks", F.explode(reach).alias("__at"))
     each = each.join(slots, each["__source"].eqNullSafe(slots["__name"]) & (each["__at"] == slots["__block"]))
     starts = each.groupBy("__source", "__of", "__start", "__blocks").agg(F.min("__at").alias("__first"), F.array_sort(F.collect_list(F.struct("__at", "__turns"))).alias("__all"))
-    starts = materialise(starts, "mix-starts")
-    within = Window.partitionBy(source_col, "__sub").orderBy("__order", F.col(id_col), "__tie").rowsBetween(Window.unboundedPreceding, -1)
+    starts = keyed(materialise(starts, "mix-starts"), "__source").withColumnRenamed("__of", "__sub").drop("__source")
+    within = Window.partitionBy("__key", "__none", "__sub").orderBy("__order", F.col(id_col), "__tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__within", F.coalesce(F.sum("__size").over(within), F.lit(0)))
-    rows = rows.join(starts, rows[source_col].eqNullSafe(starts["__source"]) & (rows["__sub"] == starts["__of"]), "left")
+    rows = rows.join(starts, ["__key", "__none", "__sub"], "left")
     at = F.col("__start") + F.col("__within")
     rows = rows.withColumn("__block", block(at)).withColumn("__offset", at - F.col("__block") * block_chars)
     rows = rows.withColumn("__turns", F.get("__all", (F.col("__block") - F.col("__first")).cast("int"))["__turns"])
-    return rows.drop("__start", "__within", "__size", "__source", "__of", "__blocks", "__first", "__all", "__sub", "__tie")
+    return rows.drop("__start", "__within", "__size", "__key", "__none", "__blocks", "__first", "__all", "__sub", "__tie")
 
 
 def schedule(df: DataFrame, weights: dict[str | None, float] | None = None, block_chars: int = BLOCK_CHARS, epochs: int = EPOCHS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

@@ -607,6 +607,20 @@ def test_many_sources_keep_their_exact_weights(spark):
     assert all((r.release, r.deadline) == (3 * r.block, 3 * (r.block + 1)) for r in big)
 
 
+def test_mix_moves_whole_rows_twice(spark):
+    """By hash range and into the order of the mix; where the slots are too large to be broadcast, they come to the rows."""
+    df = spark.range(600).selectExpr("id AS doc_id", "repeat('x', 3000) AS text", "element_at(array('a', '', NULL), 1 + CAST(id % 3 AS INT)) AS source")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = op08_mixing.mix(df)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert (plan.count("SortMergeJoin"), plan.count("Exchange"), plan.count("Window ")) == (1, 3, 1)
+        first = [r.source for r in found.limit(30).collect()]
+        assert sorted(r.doc_id for r in found.collect()) == list(range(600)) and min(first.count(s) for s in ("a", "", None)) >= 5
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_mix_edges(spark, odd):
     out = op08_mixing.mix(odd)
     assert out.columns == odd.columns and out.select("text").distinct().count() == odd.select("text").distinct().count()
