@@ -12,7 +12,7 @@ import sentencepiece
 import tokenizers
 from pyspark.sql import functions as F
 
-from movelog.llm import op11_jaccard_join, op12_hard_negatives, op13_alignment
+from movelog.llm import buckets, op11_jaccard_join, op12_hard_negatives, op13_alignment
 from movelog.llm.op06_token_counts import byte_characters
 
 from .test_operators import brute_components, empty, odd, random_texts  # noqa: F401
@@ -86,6 +86,24 @@ def test_prefixes_meet_whatever_the_order():
             assert np.intersect1d(*(op11_jaccard_join.prefix(s, common, 80) for s in (a, b))).size
 
 
+def test_bands_move_once(spark, monkeypatch):
+    """Buckets' members are counted where the one shuffle of all bands puts them, even if no table is small enough to be broadcast."""
+    rng, plans = random.Random(5), []
+    reps = [(k, rng.sample(range(400), 6) + ([1000] if k % 2 else [])) for k in range(200)]
+    write = buckets.materialise
+    monkeypatch.setattr(buckets, "materialise", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = buckets.gathered(spark.createDataFrame(reps, "node long, bands array<long>"), "test").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum("Generate explode" in p for p in plans) == 1 and plans[0].count("Exchange") == 1
+    members = Counter(b for _, bands in reps for b in bands)
+    weight = {k: sum(members[b] for b in bands if members[b] > 1) for k, bands in reps}
+    leader = {b: max((weight[k], -k) for k, bands in reps if b in bands)[1] for b in members}
+    assert sorted(map(tuple, found)) == sorted((b, k, -leader[b]) for k, bands in reps for b in bands if members[b] > 1)
+
+
 def test_join_edges(spark, odd):  # noqa: F811
     rows = op11_jaccard_join.jaccard_join(odd).collect()
     assert len(rows) == odd.count()
