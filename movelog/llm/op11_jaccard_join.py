@@ -4,12 +4,15 @@ The Jaccard distance of two shingle sets is a metric, so a document y within the
 pivot p, at a distance within theta of d(x, p). But sets that share nothing are all at distance 1,
 where no pivot tells them apart. So each document first finds the pivots it can have a neighbour near:
 
-1. Equal sets collapse to the smallest doc_id. Shingles have one order for the whole corpus, the rare
-   ones first. Of a set of n shingles, the first n - ceil(0.8 n) + 1 are its prefix: two sets at
-   similarity 0.8 share a shingle of both prefixes, always.
-2. Of the documents that share a prefix shingle, the one that shares most with others is their pivot.
+1. Equal sets collapse to the smallest doc_id. A hash deals all shingles into parts. Two sets at similarity
+   0.8 differ in d = 0.25 n shingles at most, n the size of either, and so in d parts at most: all others
+   are equal. Parts have one order for the whole corpus, those with many and rare shingles first, so the
+   first of the equal parts is among the first d + 1 parts of both sets. These are a set's prefix. Parts
+   of two shingles and more are seldom equal by chance, so what meets grows as the corpus does. Their
+   number follows a set's size by scales; a set near the end of one has a prefix in the next one too.
+2. Of the documents that share a part of their prefixes, the one that shares most with others is their pivot.
    A pivot's region is all documents that have found it, so any two linked documents share a region.
-   Documents that share too little of their prefixes with each other one of the region leave it.
+   Documents that share too few parts with any of a region leave it, and regions within another one go.
 3. Regions join recursively: pivots far from each other create Voronoi cells, a document enters each
    cell whose pivot is at most 2 theta farther than its nearest one, and cells are cut again until
    they are small or all of a cell is linked. Small cells compare full sets.
@@ -20,8 +23,8 @@ where no pivot tells them apart. So each document first finds the pivots it can
    bounded size that hold what lies outside the main component against all others.
 5. Links are joined into components.
 
-The order of shingles changes the work, never the result: tasks count shingles over all texts, and
-those of the COMMON with the highest counts come last, by count; the others come by their hash.
+The order of parts changes the work, never the result: tasks count shingles over all texts, and a part's
+shingles count by their rarity, as far as they are of the COMMON with the highest counts.
 
 Defined results: null or empty texts have no shingles and are linked with nothing; rows that repeat
 a doc_id count as one document in links and give one row each; a null doc_id is linked with nothing
@@ -35,17 +38,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .buckets import Search, complete, gathered
 from .common import BROADCAST_IDS, blocks, map_frames, materialise, most_frequent, table, texts
 from .components import components
 from .op02_near_dedup import sets_of
-from .shingles import shingle_sets
+from .shingles import mix, shingle_sets
 
-#: Shingles whose order is by their count; the list goes to the tasks (16 bytes each).
+#: Shingles whose rarity is by their count; the list goes to the tasks (16 bytes each).
 COMMON = 500_000
+#: What a shingle of no known count weighs in the order of parts; each doubling of a count takes one off.
+RARE = 24
+#: A scale is of sets from one power of this on; it has half as many parts again as its smallest set shingles.
+SPREAD = 6
+#: Below this similarity most parts may differ, and each shingle is a part.
+ALIKE = 67
 #: Shingles that a task counts at one time, and the count from which it reports one.
 KEPT_SHINGLES, REPORTED = 2_000_000, 3
 #: Documents of a region that one task joins, and the sum of their sizes.
@@ -95,34 +104,67 @@ def common_shingles(found: DataFrame, limit: int = COMMON) -> tuple[np.ndarray,
     return shingles[order], n[order]
 
 
-def prefix_length(n: int, percent: int) -> int:
-    """How many of a set's first shingles suffice: n - ceil(percent / 100 * n) + 1."""
-    return n + (-percent * n) // 100 + 1
+def differing(n: int | np.ndarray, percent: int) -> int | np.ndarray:
+    """In how many shingles, of both together, a set of n and one linked with it differ at most."""
+    return n * (100 - percent) // percent
 
 
-def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
-    """The first shingles of a set in the corpus's order: by count, unknown ones first, then by hash."""
-    keys, counts = common
-    size = prefix_length(len(shingles), percent)
-    if not len(keys):
-        return shingles[:size]
-    at = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
-    known = np.where(keys[at] == shingles, counts[at], 0)
-    return shingles[np.argsort(known, kind="stable")[:size]]
+def scales(n: int, percent: int) -> Iterator[tuple[int, int]]:
+    """The scales that a set of n shingles is in, and their numbers of parts: the smaller of two linked sets is at home where they meet."""
+    k = 0
+    while SPREAD**k <= n:
+        after = SPREAD ** (k + 1)
+        if n < after or n * percent < after * 100:
+            yield k, max(SPREAD**k * 3 // 2, differing(-(-after * 100 // percent), percent) + 1)
+        k += 1
 
 
-def prefixes(docs: DataFrame, ids: DataFrame, common: tuple[np.ndarray, np.ndarray], width: int, percent: int) -> DataFrame:
-    """node, n, bands: the size and the prefix of the documents with these ids."""
+def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
+    """Hashes of the first parts of a set in the corpus's order: by the weight of their shingles, then by hash; empty parts are last."""
+    keys, counts = common
+    weights = np.full(len(shingles), RARE)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
+        known = keys[at] == shingles
+        weights[known] = np.maximum(RARE - np.frexp(counts[at[known]])[1], 1)
+    if percent < ALIKE:  # of two linked sets, one lacks n - ceil(percent / 100 * n) of the other's n shingles at most
+        return shingles[np.lexsort((shingles, -weights))[: len(shingles) + (-percent * len(shingles)) // 100 + 1]]
+    hashes, size, out = mix(shingles), differing(len(shingles), percent) + 1, []
+    for scale, n in scales(len(shingles), percent):
+        part = mix(hashes + np.uint64(scale)) % np.uint64(n)
+        order = np.argsort(part)
+        part = part[order]
+        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        part, weight, content = part[starts], np.add.reduceat(weights[order], starts), np.add.reduceat(hashes[order], starts)
+        first = np.lexsort((part, content, -weight))[:size]
+        part, content = part[first], content[first]
+        if len(part) < size:
+            none = np.setdiff1d(np.arange(n, dtype=np.uint64), part)[: size - len(part)]
+            part, content = np.concatenate([part, none]), np.concatenate([content, np.zeros(len(none), np.uint64)])
+        out.append(mix(content + mix(part * np.uint64(64) + np.uint64(scale))))
+    return np.concatenate(out) if out else hashes
+
+
+def without_copies(docs: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
+    """The documents that stand for a set. The shorter of the lists of those that do and those that don't goes to the tasks, so that texts stay where they are."""
+    nodes = sets.select("node")
+    copies = materialise(known.select("doc_id").join(nodes, F.col("doc_id") == F.col("node"), "left_anti").distinct(), "join-copies")
+    n_nodes, n_copies = nodes.count(), copies.count()
+    if n_copies < n_nodes:
+        return docs.where("doc_id IS NOT NULL").join(F.broadcast(copies) if n_copies <= BROADCAST_IDS else copies, "doc_id", "left_anti")
+    return docs.join(F.broadcast(nodes) if n_nodes <= BROADCAST_IDS else nodes, docs.doc_id == nodes.node, "left_semi")
+
+
+def prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], width: int, percent: int) -> DataFrame:
+    """node, bands: the prefixes of the documents."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in blocks(frames):
             sets = shingle_sets(frame.text.tolist(), width)
-            yield pd.DataFrame({"node": frame.doc_id, "n": [len(s) for s in sets], "bands": [prefix(s, sent.value, percent).view(np.int64) for s in sets]})
+            yield pd.DataFrame({"node": frame.doc_id, "bands": [prefix(s, sent.value, percent).view(np.int64) for s in sets]})
 
-    small = ids.count() <= BROADCAST_IDS
-    wanted = docs.join(F.broadcast(ids) if small else ids, docs.doc_id == ids.node, "left_semi")
-    return map_frames(wanted, run, "node long, n long, bands array<long>").where("n > 0")
+    return map_frames(docs, run, "node long, bands array<long>")
 
 
 def distances(docs: DataFrame, pairs: DataFrame, width: int, name: str) -> DataFrame:
@@ -226,48 +268,71 @@ def joined(percent: int) -> Search:
     return run
 
 
-def possible(percent: int) -> Search:
-    """For one region: the documents that some other one shares enough of its prefix with.
+def possible(n: np.ndarray, met: np.ndarray, percent: int) -> np.ndarray:
+    """Which documents of a region some other one may be linked with, by size and the number of parts met in any region.
 
-    Say x's prefix ends before y's in the order of shingles. What they share is in both prefixes or
-    behind the end of x's, so it is at most the shared part of the prefixes and the rest of x.
+    Of two linked sets, one's prefix ends before the other's in the order of parts. Its parts are equal to the
+    other's but for as many as the sets differ in, and what is equal is in both prefixes.
     """
+    less, more = np.minimum(n[:, None], n), np.maximum(n[:, None], n)
+    near = less * 100 >= more * percent
+    if percent >= ALIKE:
+        near &= np.minimum(met[:, None], met) > differing(less, percent) - (less + more) * (100 - percent) // (100 + percent)
+    np.fill_diagonal(near, False)
+    return near.any(axis=0)
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        n, rows = rows["n"].to_numpy(np.int64), rows.assign(shingles=rows["bands"], part=0)
-        cell, every = Cell(rows, percent), np.arange(len(rows))
-        rest, kept = n - cell.n, np.zeros(len(rows), bool)
-        for k in range(len(rows)):
-            others = every[k + 1 :]
-            others = others[np.minimum(n[others], n[k]) * 100 >= np.maximum(n[others], n[k]) * percent]
-            if len(others):
-                least = -((-percent * (n[others] + n[k])) // (100 + percent))  # what sets of these sizes have to share
-                near = others[cell.both(k, others) + np.maximum(rest[others], rest[k]) >= least]
-                kept[near] = True
-                kept[k] |= len(near) > 0
-        return pd.DataFrame({"leader": key[0], "node": cell.node[kept]})
 
-    return run
+def likely(regions: DataFrame, sizes: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """The rows of regions (leader, node) that one task can hold, without documents that nothing of their region can be linked with."""
 
+    def found(rows: pd.DataFrame) -> pd.DataFrame:
+        leader, n, m = (rows[c].to_numpy(np.int64) for c in ("leader", "size", "met"))
+        cuts = [0, *(np.flatnonzero(leader[1:] != leader[:-1]) + 1).tolist(), len(rows)] if len(rows) else []
+        kept = [possible(n[a:b], m[a:b], percent) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return rows.loc[np.concatenate([np.zeros(0, bool), *kept]), ["leader", "node"]]
 
-def region_links(docs: DataFrame, regions: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None  # of the region that a batch ends in
+        for frame in frames:
+            if len(frame):
+                frame = pd.concat([rest, frame], ignore_index=True)
+                ends = frame["leader"] == frame["leader"].iat[-1]
+                rest = frame[ends]
+                yield found(frame[~ends])
+        if rest is not None:
+            yield found(rest)
+
+    # The rows are few bytes and much work: a fixed number of tasks is not merged.
+    parts = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = regions.join(sizes, "node").join(met, "node").select("leader", "node", "size", "met").repartition(parts, "leader").sortWithinPartitions("leader")
+    return map_frames(rows, run, "leader long, node long").distinct()
+
+
+def outermost(regions: DataFrame) -> DataFrame:
+    """The regions without those that lie in another one: all of whose documents have the same other region as their largest."""
+    of_leader, of_node = Window.partitionBy("leader"), Window.partitionBy("node")
+    sized = regions.withColumn("rows", F.count(F.lit(1)).over(of_leader))
+    largest = sized.withColumn("largest", F.max(F.struct("rows", "leader")).over(of_node)["leader"])
+    ends = largest.withColumn("low", F.min("largest").over(of_leader)).withColumn("high", F.max("largest").over(of_leader))
+    return ends.where("low != high OR low = leader").select("leader", "node")
+
+
+def region_links(docs: DataFrame, regions: DataFrame, sizes: DataFrame, met: DataFrame, width: int, percent: int) -> DataFrame:
     """a, b: links of regions (leader, node) that one task can join."""
-    # A shingle's last 31 bits will do here: shingles that they mix up only let more documents stay.
-    short = reps.select("node", "n", F.transform("bands", lambda s: F.pmod(s, F.lit(1 << 31)).cast("int")).alias("bands"))
-    likely = regions.join(short, "node").groupBy("leader").applyInPandas(possible(percent), "leader long, node long")
-    likely = materialise(likely, "join-likely")
-    sets = materialise(sets_of(docs, materialise(likely.select("node").distinct(), "join-near-ids"), width), "join-near-sets")
-    met = likely.join(sets, "node").withColumn("part", F.col("node")).groupBy("leader")
-    return materialise(met.applyInPandas(joined(percent), "a long, b long").distinct(), "join-near-links")
+    near = materialise(outermost(materialise(likely(regions, sizes, met, percent), "join-likely")), "join-near")
+    sets = sets_of(docs, materialise(near.select("node").distinct(), "join-near-ids"), width)
+    # Sets meet their regions where they are made, and then move once.
+    small = near.count() <= BROADCAST_IDS
+    held = sets.join(F.broadcast(near) if small else near, "node").withColumn("part", F.col("node")).groupBy("leader")
+    return materialise(held.applyInPandas(joined(percent), "a long, b long").distinct(), "join-near-links")
 
 
-def large_region_links(docs: DataFrame, regions: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
+def large_region_links(docs: DataFrame, regions: DataFrame, sizes: DataFrame, width: int, percent: int) -> DataFrame:
     """The same of larger regions: by their pivots, then by rings, in blocks."""
     pairs = regions.where("node != leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     reached = distances(docs, materialise(pairs, "join-stars"), width, "join")
     links = materialise(reached.where(F.col("both") * 100 >= F.col("either") * F.lit(percent)).select("a", "b"), "join-links")
     held = lambda ids: sets_of(docs, ids, width)
-    sizes = reps.groupBy("node").agg(F.max("n").alias("size"))
     return links.union(complete(materialise(rings(regions, reached, percent), "join-rings"), links, sizes, held, joined(percent), "join-rest"))
 
 
@@ -277,12 +342,16 @@ def jaccard_join(df: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     all_rows = materialise(measured(docs, width), "join-measured")
     known = all_rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     sets = materialise(known.groupBy("set_key").agg(F.min("doc_id").alias("node")), "join-sets")
-    reps = materialise(prefixes(docs, sets.select("node"), common_shingles(all_rows), width, percent), "join-prefixes")
-    regions = materialise(gathered(reps, "join").select("leader", "node").distinct(), "join-regions")
-    sizes = materialise(regions.join(reps.select("node", "n"), "node").groupBy("leader").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("size")), "join-sizes")
+    reps = prefixes(without_copies(docs, known, sets), common_shingles(all_rows), width, percent)
+    shared = gathered(reps, "join")
+    regions = materialise(shared.select("leader", "node").distinct(), "join-regions")
+    met = shared.groupBy("node").agg(F.count(F.lit(1)).alias("met"))
+    of_node = known.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("size")).distinct()
+    sizes = materialise(regions.join(of_node, "node").groupBy("leader").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("size")), "join-sizes")
+    largest = of_node.groupBy("node").agg(F.max("size").alias("size"))
     fits = (F.col("rows") <= ROOM_ROWS) & (F.col("size") <= ROOM_SIZES)
     of_size = lambda fit: regions.join(sizes.where(fit).select("leader"), "leader", "left_semi")
-    links = region_links(docs, of_size(fits), reps, width, percent).union(large_region_links(docs, of_size(~fits), reps, width, percent))
+    links = region_links(docs, of_size(fits), of_node, met, width, percent).union(large_region_links(docs, of_size(~fits), largest, width, percent))
     linked = components(links, "join-all")
     of_set = sets.join(linked, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
     out = all_rows.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left")

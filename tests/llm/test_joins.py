@@ -86,6 +86,52 @@ def test_prefixes_meet_whatever_the_order():
             assert np.intersect1d(*(op11_jaccard_join.prefix(s, common, 80) for s in (a, b))).size
 
 
+def test_prefixes_meet_at_any_size():
+    rng, linked = np.random.default_rng(6), 0
+    for _ in range(1500):
+        percent = int(rng.choice([60, 67, 80, 90, 100]))
+        a = np.unique(rng.integers(0, 1 << 62, int(np.exp(rng.uniform(0, 6.5))) + 1).astype(np.uint64))
+        kept = int(np.ceil(len(a) * rng.uniform(percent / 100, 1)))
+        more = int(rng.integers(0, max(1, kept * 100 // percent - len(a) + 1)))
+        b = np.unique(np.concatenate([rng.permutation(a)[:kept], rng.integers(0, 1 << 62, more).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if both * 100 >= percent * (len(a) + len(b) - both):
+            linked += 1
+            common = (np.unique(rng.permutation(a)[: len(a) // 2]), rng.integers(1, 1 << 40, len(a) // 2))
+            x, y = (op11_jaccard_join.prefix(s, common, percent) for s in (a, b))
+            met = np.array([len(np.intersect1d(x, y))] * 2)
+            assert met[0] and op11_jaccard_join.possible(np.array([len(a), len(b)]), met, percent).all()
+    assert linked > 1000
+
+
+def test_chance_makes_no_regions(spark, monkeypatch):
+    """Documents that share single shingles of their prefixes, as more and more do in a growing corpus, meet nowhere."""
+    rng, tables = random.Random(12), {}
+    lines = [" ".join(f"line{k}x{j}" for j in range(5)) for k in range(150)]
+    texts = [" ".join([*(f"w{k}x{j}" for j in range(150)), *rng.sample(lines, 3)]) for k in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:5] + [texts[7] + " end"])), "doc_id long, text string")
+    write = op11_jaccard_join.materialise
+    monkeypatch.setattr(op11_jaccard_join, "materialise", lambda df, name: tables.update({name: write(df, name)}) or tables[name])
+    found = {r.doc_id: r.component_id for r in op11_jaccard_join.jaccard_join(docs).collect()}
+    assert found == {k: k for k in range(150)} | {150 + k: k for k in range(5)} | {155: 7}
+    assert {r.node for r in tables["join-regions"].collect()} == {7, 155}
+
+
+def test_regions_within_others_go(spark):
+    regions = [(1, k) for k in (1, 2, 3, 4)] + [(2, k) for k in (2, 3)] + [(4, k) for k in (4, 5)] + [(9, k) for k in (8, 9)]
+    found = op11_jaccard_join.outermost(spark.createDataFrame(regions, "leader long, node long")).collect()
+    assert sorted(map(tuple, found)) == [r for r in regions if r[0] != 2]
+
+
+def test_texts_stay_where_documents_are_many(spark, monkeypatch):
+    monkeypatch.setattr(op11_jaccard_join, "BROADCAST_IDS", 50)
+    docs = spark.createDataFrame([(k, f"text {k % 190}") for k in range(200)] + [(None, "none")], "doc_id long, text string")
+    known = docs.where("doc_id IS NOT NULL").select("doc_id", F.md5("text").alias("set_key"))
+    kept = op11_jaccard_join.without_copies(docs, known, known.groupBy("set_key").agg(F.min("doc_id").alias("node")))
+    assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(190))
+
+
 def test_bands_move_once(spark, monkeypatch):
     """Buckets' members are counted where the one shuffle of all bands puts them, even if no table is small enough to be broadcast."""
     rng, plans = random.Random(5), []
