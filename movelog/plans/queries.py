@@ -756,8 +756,8 @@ def seconds_or_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[DataFrame]]:
-    """A main table, which is written once, as all side tables are made of it."""
-    main = shared.kept(X.player_rows(spark, sf_dir).select("player", "game_id", "half_move", "player_color", "move"), "main-rows")
+    """A main table, which is written once, as all side tables are made of it, in buckets of games, so that they merge where they lie."""
+    main = shared.kept_by(X.player_rows(spark, sf_dir).select("player", "game_id", "half_move", "player_color", "move"), "main-rows", "game_id", 2)
     one = main.where("half_move % 2 = 1").select("player", "game_id", "half_move", F.concat("move", F.lit("!")).alias("move_one"), F.lit(1).alias("shared"))
     two = main.where("half_move > 1").select("player", "game_id", "half_move", F.concat("move", F.lit("?")).alias("move_two"), F.lit(2).alias("shared"), F.lit("x").alias("move"))
     return main, [one, two]

@@ -17,7 +17,7 @@ from movelog.operators import parse as P
 from movelog.operators import sampling as S
 from movelog.operators import scoring as C
 from movelog.operators import sequence as Q
-from movelog.plans import fixtures
+from movelog.plans import fixtures, queries
 from movelog.sources import archive
 from movelog.streaming import ingest
 from movelog.sources import shared
@@ -277,6 +277,23 @@ def test_merge_collects_no_rows_of_a_key(spark):
         M.merge_side_tables(main, [side.union(side.where("player IS NOT NULL"))]).collect()
 
 
+def test_tables_in_buckets_merge_where_they_lie(spark):
+    rows = [(f"p{k % 5}", None if k % 9 == 0 else f"g{k % 9}", k, f"m{k}") for k in range(90)]
+    main = shared.kept_by(keyed(spark, rows, ", move string"), "kept-rows", "game_id", 2)
+    sides = [main.where("half_move % 2 = 1").select(*M.KEYS, F.concat("move", F.lit("!")).alias("one")), main.select(*M.KEYS, F.lit(2).alias("two"))]
+    merged, faults = M.merge_side_tables(main, sides), M.merge_faults(main, sides)
+    assert "Exchange" not in plan(merged) and "Exchange" not in plan(faults)
+    assert {(r.player, r.game_id, r.half_move, r.move, r.one, r.two) for r in merged.collect()} == {(*r, f"{r[3]}!" if r[2] % 2 else None, 2) for r in rows}
+    assert {(r.half_move, r.table, r.n_main, r.n_side) for r in faults.collect()} == {(k, 1, 1, 0) for k in range(0, 90, 2)}
+    with pytest.raises(ValueError, match="do not match"):
+        M.verified_merge(main, sides, M.KEYS, F.lit(True))
+
+
+def test_verified_merge_moves_no_rows(spark):
+    merged = queries.QUERIES["verified_merge"](spark, "/root/testdata/sf0.001")
+    assert "Exchange" not in plan(merged) and merged.count() == 12_000
+
+
 def test_index_columns_by_bitmaps(spark):
     rows = [(k, (k * 7) % 50, k + 1, k % 49, str(49 - k), None if k == 3 else k, k + 0.5, 5) for k in range(50)]
     df = spark.createDataFrame(rows, "u_a int, u_b int, u_c long, u_d int, u_e string, u_f int, u_g double, v int")
